@@ -42,7 +42,7 @@ def extract_city(address: Column | str) -> Column:
 def split_address(address: Column | str) -> Column:
     """STRUCT<street, city, state, zip> from a one-line address."""
     a = as_col(address)
-    parts = F.transform(F.split(a, ","), F.trim)
+    parts = F.transform(F.split(a, ","), lambda p: F.trim(p))
     n = F.size(parts)
     last = F.element_at(parts, -1)
     tail = r"^([A-Za-z]{2})\s+(\d{5}(?:-\d{4})?)"

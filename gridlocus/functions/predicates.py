@@ -122,7 +122,7 @@ def feature_kept(name, filter_value, filter_text, exclude_names) -> Column:
 
 def is_compound_key(name: Column | str) -> Column:
     n = as_col(name)
-    parts = F.transform(F.split(n, ", "), F.trim)
+    parts = F.transform(F.split(n, ", "), lambda p: F.trim(p))
     return (
         n.contains(", ")
         & ~F.exists(parts, lambda p: F.length(p) <= 3)

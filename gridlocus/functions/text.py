@@ -11,6 +11,11 @@ from gridlocus.functions import rules
 from gridlocus.functions.address import as_col
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _empty(c: Column | str) -> Column:
     return F.coalesce(as_col(c), F.lit(""))
 
@@ -44,13 +49,15 @@ def _strip_suffixes(c: Column, suffixes: list[str], fold_case: bool) -> Column:
 def title_case(name: Column) -> Column:
     """A capital after every non-letter, the rest lower ("AT&T CO-OP" -> "At&T Co-Op")."""
     words = F.regexp_extract_all(F.lower(name), F.lit("([a-z]+|[^a-z]+)"), F.lit(1))
-    return F.array_join(F.transform(words, F.initcap), "")
+    return F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
 
 
 def clean_passthrough(name: Column | str) -> Column:
-    bare = _strip_suffixes(F.trim(_empty(name)), rules.LEGAL_SUFFIXES, fold_case=True)
-    shout = (bare == F.upper(bare)) & (F.length(bare) > 3)
-    return F.when(shout, title_case(bare)).otherwise(bare)
+    def shown(bare):
+        shout = (bare == F.upper(bare)) & (F.length(bare) > 3)
+        return F.when(shout, title_case(bare)).otherwise(bare)
+
+    return let(_strip_suffixes(F.trim(_empty(name)), rules.LEGAL_SUFFIXES, fold_case=True), shown)
 
 
 def strip_display_suffixes(name: Column) -> Column:
@@ -117,14 +124,13 @@ def normalize_catalog_title(title: Column | str) -> Column:
     ]:
         t = F.regexp_replace(t, pattern, full)
     t = _title_rules(t, rules.CATALOG_TITLE_RULES)
-    t = _state_american_water(t)
+    t = let(t, _state_american_water)
     t = _title_rules(t, rules.CATALOG_TITLE_RULES_LATE)
-    squeezed = F.regexp_replace(t, "[&\\- ]", "")
     short = {}
     for key, full in rules.CATALOG_ABBREVIATIONS.items():
         short.setdefault(re.sub("[& ]", "", key), full)
     table = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
-    t = F.coalesce(F.try_element_at(table, squeezed), t)
+    t = let(t, lambda v: F.coalesce(F.try_element_at(table, F.regexp_replace(v, "[&\\- ]", "")), v))
     t = F.regexp_replace(t, r"(?i)\s*[-–]\s*\(?[A-Z]{2}\)?\s*$", "")
     t = F.regexp_replace(t, r"(?i)\s*\([A-Z]{2}\)\s*$", "")
     for suffix in rules.CATALOG_LEGAL_SUFFIXES:
@@ -133,24 +139,30 @@ def normalize_catalog_title(title: Column | str) -> Column:
 
 
 def _title_rules(t: Column, table: list) -> Column:
-    # A rule's result may satisfy a later rule, so each rule sees the text so far.
-    for every, some, replacement in table:
-        hit = F.lit(True)
-        for word in every:
-            hit = hit & t.contains(word)
-        if some:
-            hit = hit & t.rlike(rules.any_of(some))
-        t = F.when(hit, F.lit(replacement)).otherwise(t)
-    return t
+    """The rules in order, each on the text so far: all words of the first list, and
+    one of the second unless it is empty, give the replacement."""
+    words = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
+    listed = F.array(*[
+        F.struct(words(every).alias("every"), words(some).alias("some"), F.lit(new).alias("new")) for every, some, new in table
+    ])
+
+    def apply(text_so_far, rule):
+        has = lambda w: text_so_far.contains(w)
+        hit = F.forall(rule["every"], has) & ((F.size(rule["some"]) == 0) | F.exists(rule["some"], has))
+        return F.when(hit, rule["new"]).otherwise(text_so_far)
+
+    return F.aggregate(listed, t, apply)
 
 
 def _state_american_water(t: Column) -> Column:
-    wide = F.when(t.contains("amer"), F.regexp_replace(t, r"\bamer\b", "american")).otherwise(t)
-    out = F.when(F.lit(False), wide)
-    for short, full in rules.AMERICAN_WATER_STATES.items():
-        near = F.substring(wide, len(short) + 1, 12).contains("american")
-        out = out.when(wide.startswith(short) & near, F.lit(full + "american water"))
-    return out.otherwise(wide)
+    def expand(wide):
+        out = F.when(F.lit(False), wide)
+        for short, full in rules.AMERICAN_WATER_STATES.items():
+            near = F.substring(wide, len(short) + 1, 12).contains("american")
+            out = out.when(wide.startswith(short) & near, F.lit(full + "american water"))
+        return out.otherwise(wide)
+
+    return F.when(t.contains("amer"), let(F.regexp_replace(t, r"\bamer\b", "american"), expand)).otherwise(t)
 
 
 def state_word_in_title(title: Column | str, state: Column | str) -> Column:

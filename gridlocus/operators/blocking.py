@@ -75,62 +75,54 @@ def gram_candidates(
     min_score: float,
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs that may reach ``indel_ratio >= min_score``; none that does is lost.
+    """Distinct (on, left text, right text) that may reach ``indel_ratio >= min_score``;
+    none that does is lost.
 
     With LCS = L, two strings of n and m characters share at least
     ``(2q-1)L - (q-1)(n+m) - (q-1)`` grams, which bounds how many of the rarest
-    grams of each string have to be looked up (prefix filtering).  Columns other
-    than the text and ``on`` ride along and must differ between the sides.
+    grams of each string have to be looked up (prefix filtering).  Names of the text
+    columns and of ``on`` must differ.
     """
     t = min_score / 100.0
     q = 2 if t >= 0.82 else 1
     slope = _overlap_slope(t, q)
     on = list(on)
+    # Strings too short for a gram bound can only pass by being equal.
+    shortest = math.floor((q - 1) * (2 - t) / (2 * slope)) + 1
 
     def grams_of(df: DataFrame, text: str) -> DataFrame:
-        # Strings too short for a gram bound can only pass by being equal.
-        shortest = math.floor((q - 1) * (2 - t) / (2 * slope)) + 1
-        equal_only = F.length(text) < shortest
-        return (
-            df.select(*on, text).distinct()
-            .where(F.length(text) > 0)
-            .withColumn(
-                "_grams",
-                F.when(equal_only, F.array(F.concat(F.lit("="), F.col(text)))).otherwise(
-                    multiset_grams(F.col(text), q)
-                ),
-            )
-        )
+        whole = F.array(F.concat(F.lit("="), F.col(text)))
+        grams = F.when(F.length(text) < shortest, whole).otherwise(multiset_grams(F.col(text), q))
+        distinct = df.select(*on, text).distinct().where(F.length(text) > 0)
+        return distinct.select(*on, text, F.explode(grams).alias("_gram"))
 
     lg, rg = grams_of(left, left_text), grams_of(right, right_text)
-    frequency = rg.select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_df"))
+    frequency = rg.groupBy("_gram").agg(F.count("*").alias("_df"))
 
-    def prefixes(df: DataFrame, text: str, name: str) -> DataFrame:
+    def prefixes(df: DataFrame, text: str, tag: str) -> DataFrame:
+        """Grams by rarity, and the prefix of them to look up."""
         n = F.length(text)
-        least = F.ceil(slope * n * 2 / (2 - t) - 1e-9) - (q - 1)
-        keep = F.greatest(F.size("_order") - F.greatest(least, F.lit(1)) + 1, F.lit(1)).cast("int")
+        least = F.greatest(F.ceil(slope * n * 2 / (2 - t) - 1e-9) - (q - 1), F.lit(1))
+        ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("f"), F.col("_gram").alias("g"))))
         return (
-            df.select(*on, text, F.explode("_grams").alias("_gram"))
-            .join(frequency, "_gram", "left")
-            .groupBy(*on, text)
-            .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("f"), F.col("_gram").alias("g")))).alias("_order"))
-            .select(*on, text, F.slice(F.transform("_order", lambda s: s["g"]), F.lit(1), keep).alias(name))
+            df.join(frequency, "_gram", "left").groupBy(*on, text).agg(ranked.alias("_r"))
+            .select(*on, text, F.col("_r.g").alias(f"_{tag}"))
+            .withColumn(f"_{tag}n", F.greatest(F.size(f"_{tag}") - least + 1, F.lit(1)).cast("int"))
         )
 
-    lp, rp = prefixes(lg, left_text, "_lp"), prefixes(rg, right_text, "_rp")
-    le = lp.withColumn("_key", F.explode("_lp"))
-    re_ = rp.withColumn("_key", F.explode("_rp"))
+    le = prefixes(lg, left_text, "l").withColumn("_key", F.explode(F.slice("_l", F.lit(1), F.col("_ln"))))
+    re_ = prefixes(rg, right_text, "r").withColumn("_key", F.explode(F.slice("_r", F.lit(1), F.col("_rn"))))
     n, m = F.length(left_text), F.length(right_text)
-    overlap = F.size(F.array_intersect(multiset_grams(F.col(left_text), q), multiset_grams(F.col(right_text), q)))
-    pairs = (
+    first_shared = F.get(F.array_intersect(F.slice("_l", F.lit(1), F.col("_ln")), F.slice("_r", F.lit(1), F.col("_rn"))), F.lit(0))
+    overlap = F.size(F.array_intersect("_l", "_r"))
+    return (
         le.join(re_, on + ["_key"])
         .where((F.least(n, m) * 200.0) >= (n + m) * (min_score - 1e-9))
         # one row per pair: only under the first prefix gram both sides share
-        .where(F.get(F.array_intersect("_lp", "_rp"), F.lit(0)) == F.col("_key"))
+        .where(first_shared == F.col("_key"))
         .where((F.col(left_text) == F.col(right_text)) | (overlap >= F.ceil(slope * (n + m) - 1e-9) - (q - 1)))
         .select(*on, left_text, right_text)
     )
-    return pairs.join(left, on + [left_text]).join(right, on + [right_text])
 
 
 def similar_pairs(
@@ -141,12 +133,15 @@ def similar_pairs(
     min_score: float,
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """All pairs with ``indel_ratio >= min_score`` and their ``score``."""
-    return (
+    """All pairs with ``indel_ratio >= min_score`` and their ``score``; distinct texts
+    are scored once, then the columns of both sides are joined back."""
+    on = list(on)
+    scored = (
         gram_candidates(left, right, left_text, right_text, min_score, on)
         .withColumn("score", indel_ratio(left_text, right_text))
         .where(F.col("score") >= min_score)
     )
+    return scored.join(left, on + [left_text]).join(right, on + [right_text])
 
 
 def token_cover_candidates(

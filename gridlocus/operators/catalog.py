@@ -36,7 +36,8 @@ def match_catalog(
     """
     keys = ["name", "utility_type", "state"]
     base = (
-        names.select(*keys).where("name IS NOT NULL AND name <> ''").distinct()
+        names.select("name", "utility_type", F.coalesce("state", F.lit("")).alias("state"))
+        .where("name IS NOT NULL AND name <> ''").distinct()
         .withColumn("type_id", type_id_of(F.col("utility_type")))
         .withColumn("norm", text.normalize_catalog_title("name"))
         .withColumn("sorted_norm", sorted_tokens("norm"))
@@ -56,7 +57,7 @@ def match_catalog(
         return F.when(F.col(column).isNotNull(), F.struct(
             F.lit(100.0).alias("score"), F.lit(method).alias("method"), F.col(column).alias("entry")))
 
-    base = base.withColumn("_hit", F.coalesce(hit("_forced", "override"), hit("_exact", "exact")))
+    base = cut_lineage(base.withColumn("_hit", F.coalesce(hit("_forced", "override"), hit("_exact", "exact"))))
     if fuzzy:
         form = ["type_id", "state", "sorted_norm", "norm"]
         open_forms = base.where("_hit IS NULL AND type_id IS NOT NULL").select(*form).distinct()
@@ -72,7 +73,7 @@ def match_catalog(
         any_state = similar_pairs(open_forms, right, "sorted_norm", "csorted", 82.0, on=["type_id"]).select(
             *form, F.lit(3).alias("stage"), "score", "ordinal", entry.alias("entry")
         )
-        sorted_hits = in_state.unionByName(any_state)
+        sorted_hits = cut_lineage(in_state.unionByName(any_state))
         rest = open_forms.join(sorted_hits.select(*form).distinct(), form, "left_anti")
         shared = _token_set_hits(rest, right, form, entry)
         ranked = (
@@ -128,6 +129,7 @@ def attach_catalog_ids(
 
     ``rows``: row_id, utility_type, state, provider, alternatives ARRAY<STRUCT<provider, …>>.
     """
+    rows = rows.withColumn("state", F.coalesce("state", F.lit("")))
     alts = rows.select("row_id", "utility_type", "state", F.posexplode("alternatives").alias("pos", "alt"))
     used = rows.select(F.col("provider").alias("name"), "utility_type", "state").unionByName(
         alts.select(F.col("alt.provider").alias("name"), "utility_type", "state")

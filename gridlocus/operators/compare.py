@@ -9,6 +9,7 @@ from gridlocus.functions import predicates as P
 from gridlocus.functions import rules
 from gridlocus.operators.catalog import catalog_alias
 from gridlocus.operators.names import match_name_multi, name_facts, names_match, water_names_match
+from gridlocus.session import cut_lineage
 
 CORRECT = ["MATCH", "MATCH_TDU", "MATCH_PARENT"]
 SCOREABLE = [*CORRECT, "MISMATCH"]
@@ -45,7 +46,7 @@ def compare_providers(
         F.coalesce(alt_names, F.array().cast("array<string>")).alias("alts"),
     )
     df = rows.withColumn("_early", early).withColumn("_case", F.when(F.col("_early").isNull(), F.md5(F.to_json(case))))
-    cases = (
+    cases = cut_lineage(
         df.where("_early IS NULL").select(case.alias("c"), F.col("_case").alias("case_id")).dropDuplicates(["case_id"])
         .select("case_id", "c.*")
     )
@@ -61,17 +62,17 @@ def compare_providers(
 
 def _judge(cases, aliases, reps, rebrands, parents, min_score) -> DataFrame:
     segments = match_name_multi(cases.select(F.col("tenant").alias("name")), aliases, reps, "name", min_score)
-    segs = segments.select(F.col("name").alias("tenant"), "pos", F.trim("segment").alias("segment"),
-                           F.coalesce("display_name", F.lit("")).alias("display"))
+    segs = cut_lineage(segments.select(F.col("name").alias("tenant"), "pos", F.trim("segment").alias("segment"),
+                                       F.coalesce("display_name", F.lit("")).alias("display")))
     others = cases.select("case_id", F.posexplode("alts").alias("alt_pos", "candidate"))
     sides = cases.select("case_id", F.lit(-1).alias("alt_pos"), F.col("engine").alias("candidate")).unionByName(others)
     pairs = sides.join(cases.select("case_id", "tenant", "utility_type"), "case_id").join(segs, "tenant")
-    distinct = pairs.select("candidate", "segment", "display", "utility_type").distinct()
+    distinct = cut_lineage(pairs.select("candidate", "segment", "display", "utility_type").distinct())
     used = (
         distinct.select(F.col("candidate").alias("name")).unionByName(distinct.select(F.col("segment").alias("name")))
         .unionByName(distinct.select(F.col("display").alias("name"))).distinct()
     )
-    facts = name_facts(used, aliases, reps, rebrands, parents, "name", min_score)
+    facts = cut_lineage(name_facts(used, aliases, reps, rebrands, parents, "name", min_score))
 
     def with_facts(df, column, out):
         return df.join(facts.select(F.col("name").alias(column), F.col("facts").alias(out)), column)

@@ -10,6 +10,7 @@ from gridlocus.functions import predicates as P
 from gridlocus.functions import rules, text
 from gridlocus.functions.similarity import indel_ratio, sorted_tokens
 from gridlocus.operators.blocking import contained_pairs, similar_pairs
+from gridlocus.session import cut_lineage
 
 MATCH_COLUMNS = ["canonical_id", "display_name", "matched", "is_rep", "match_type", "similarity", "matched_on"]
 
@@ -32,14 +33,14 @@ def match_name(
         base = base.withColumn("_rep", F.lit(None).cast("boolean"))
     entry = F.struct("canonical_id", "display_name", F.col("alias_lower").alias("matched_on"))
     exact = aliases.select(F.col("alias_lower").alias("_lookup"), entry.alias("_exact"))
-    base = base.join(exact, "_lookup", "left")
+    base = cut_lineage(base.join(exact, "_lookup", "left"))
     open_names = base.where("_kind IS NULL AND _rep IS NULL AND _exact IS NULL").select("_lookup").distinct()
 
     inside = contained_pairs(
         open_names.where(F.length("_lookup") > 4), aliases, "_lookup", "alias_lower", min_len=4
     ).join(aliases, "alias_lower")
     longest = inside.groupBy("_lookup").agg(
-        F.min_by(entry, F.struct(-F.length("alias_lower"), F.col("ordinal"))).alias("_inside")
+        F.min_by(entry, F.struct(-F.length("alias_lower"), F.col("ordinal"), F.col("alias_lower"))).alias("_inside")
     )
     base = base.join(longest, "_lookup", "left")
     if min_score is not None:
@@ -47,7 +48,7 @@ def match_name(
             fuzzy_alias_scores(open_names, aliases, min_score)
             .groupBy("_lookup")
             .agg(
-                F.min_by(entry, F.struct(-F.col("score"), F.col("ordinal"))).alias("_fuzzy"),
+                F.min_by(entry, F.struct(-F.col("score"), F.col("ordinal"), F.col("alias_lower"))).alias("_fuzzy"),
                 F.max("score").alias("_score"),
             )
         )
@@ -106,7 +107,7 @@ def name_segments(names: DataFrame, aliases: DataFrame, name: str = "name") -> D
     base = base.withColumn("_whole", F.when(F.col("_clean").contains(","), F.lower("_clean"))).join(
         whole, "_whole", "left"
     )
-    parts = F.filter(F.transform(F.split("_clean", ","), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split("_clean", ","), lambda p: F.trim(p)), lambda s: s != "")
     segments = F.when(
         F.col("_whole").isNull() | F.col("_known").isNotNull(), F.array("_clean")
     ).otherwise(parts)
@@ -118,7 +119,7 @@ def match_name_multi(
     name: str = "name", min_score: float | None = 85.0,
 ) -> DataFrame:
     """One row per (name, segment) with the match columns."""
-    segments = name_segments(names, aliases, name)
+    segments = cut_lineage(name_segments(names, aliases, name))
     matches = match_name(segments, aliases, reps, "segment", min_score)
     return segments.join(matches, "segment").select(name, "cleaned", "pos", "segment", *MATCH_COLUMNS)
 
@@ -191,9 +192,9 @@ def parent_of(names: DataFrame, parents: DataFrame, name: str = "name") -> DataF
     """(name, parent): exact name, else the first table entry that contains the name
     or is contained in it."""
     base = names.select(name).distinct().withColumn("_lower", F.lower(F.trim(F.col(name)))).where("_lower <> ''")
-    exact = base.join(
+    exact = cut_lineage(base.join(
         parents.select(F.col("name_lower").alias("_lower"), F.col("parent").alias("_exact")), "_lower", "left"
-    )
+    ))
     open_names = exact.where("_exact IS NULL").select("_lower").distinct()
     pairs = contained_pairs(open_names, parents, "_lower", "name_lower").unionByName(
         contained_pairs(parents, open_names, "name_lower", "_lower")
@@ -227,7 +228,7 @@ def name_facts(
     parents: DataFrame, name: str = "name", min_score: float | None = 85.0,
 ) -> DataFrame:
     """Everything pairwise comparison needs, one row per distinct name."""
-    base = names.select(name).where(F.col(name).isNotNull()).distinct()
+    base = cut_lineage(names.select(name).where(F.col(name).isNotNull()).distinct())
     base = base.join(resolve_names(base, aliases, reps, name, min_score), name, "left")
     base = base.join(parent_of(base, parents, name), name, "left")
     base = base.withColumn("lower", F.lower(F.trim(F.col(name))))

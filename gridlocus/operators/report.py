@@ -139,7 +139,7 @@ def top_unmatched(reported: DataFrame, aliases: DataFrame, reps: DataFrame, n: i
 def name_frequencies(reported: DataFrame) -> DataFrame:
     """Counts of whole values and, for values with a comma, of their segments too."""
     counted = _counted(reported)
-    parts = F.when(F.col("raw").contains(","), F.filter(F.transform(F.split("raw", ","), F.trim), lambda s: s != "")).otherwise(F.array())
+    parts = F.when(F.col("raw").contains(","), F.filter(F.transform(F.split("raw", ","), lambda p: F.trim(p)), lambda s: s != "")).otherwise(F.array())
     return counted.select("utility_type", F.explode(F.concat(F.array("raw"), parts)).alias("name"), "n").groupBy("utility_type", "name").agg(F.sum("n").alias("n"))
 
 
@@ -185,7 +185,7 @@ def extract_reps(reported: DataFrame, min_count: int = 2) -> DataFrame:
     ``reported``: state, raw (electric values).
     """
     counted = reported.where("state = 'TX' AND trim(raw) <> ''").groupBy("raw").agg(F.count("*").alias("n"))
-    segments = counted.select(F.explode(F.transform(F.split("raw", ","), F.trim)).alias("name"), "n").where("name <> ''")
+    segments = counted.select(F.explode(F.transform(F.split("raw", ","), lambda p: F.trim(p))).alias("name"), "n").where("name <> ''")
     totals = segments.groupBy("name").agg(F.sum("n").alias("n"))
     lower = F.lower("name")
     return totals.where(

@@ -67,8 +67,11 @@ def territory_candidates(addresses: DataFrame, territories: DataFrame, utility_t
         best = S.resolve_gas(hits)
     else:
         best = S.resolve_water(hits.drop("address_state"))
-    tags = {"electric": "HIFLD", "gas": "HIFLD", "water": "EPA_CWS"}  # fixed values
-    # The area rule for the water polygon's confidence is the general one, see resolve.
+    tags = {  # fixed values
+        "electric": "HIFLD Electric Retail Service Territories",
+        "gas": "HIFLD Natural Gas Service Territories",
+        "water": "EPA CWS Boundaries",
+    }
     return best.select(
         F.col("point_id").alias("address_id"), F.lit(utility_type).alias("utility_type"), F.col("name").alias("raw_name"),
         F.lit(tags[utility_type]).alias("source"), F.col("state").alias("candidate_state"),

@@ -23,6 +23,7 @@ ENGINE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": BROADCAST_BOUND,
     "spark.sql.adaptive.autoBroadcastJoinThreshold": BROADCAST_BOUND,
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.caseSensitive": "false",
     "spark.sql.parquet.filterPushdown": "true",
 }
@@ -46,8 +47,8 @@ def apply_conf(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint, so that an iterative plan stays short and survives the
-    loss of an executor.  The folder named by ``spark.checkpoint.dir`` is used; a
+    """Reliable checkpoint: an iterative plan, or one whose part is used many times,
+    stays short, is worked out once and survives the loss of an executor.  The folder named by ``spark.checkpoint.dir`` is used; a
     folder of our own is set only where the session names none (tests)."""
     spark = df.sparkSession
     context = spark.sparkContext
