@@ -17,7 +17,7 @@ WINDOW_SECONDS = 24 * HOUR
 
 
 def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts))
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def rolling_count(events: DataFrame, key: str, ts: str, event_id: str, seconds: int = WINDOW_SECONDS, bucket: int = HOUR) -> DataFrame:

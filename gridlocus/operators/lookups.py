@@ -237,8 +237,9 @@ def contact_join(providers: DataFrame, contacts: DataFrame) -> DataFrame:
         F.min_by(F.struct("phone", "url", "step"), F.col("step")).alias("c")
     )
     out = [F.nullif(F.col("c.phone"), F.lit("")).alias("phone"), F.nullif(F.col("c.url"), F.lit("")).alias("website")]
-    same = [distinct[k].eqNullSafe(best[k]) for k in keys]
-    return distinct.join(best, same, "left").select(*[distinct[k] for k in keys], *out)
+    best = best.select(*[F.col(k).alias(f"_{k}") for k in keys], "c")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return distinct.join(best, same, "left").select(*keys, *out)
 
 
 def contact_backfill(primaries: DataFrame, live: DataFrame, key: str = "address_id") -> DataFrame:

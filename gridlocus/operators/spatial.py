@@ -438,9 +438,10 @@ def territory_overlap(territories: DataFrame, step: float) -> DataFrame:
         .select("territory_id", "bbox", "_edges", F.explode(span("bbox.ymin", "bbox.ymax")).alias("iy"))
         .withColumn("_y", (F.col("iy") + 0.5) * step)
         .select("territory_id", "bbox", "iy", "_y",
-                F.filter("_edges", lambda e: (e["y1"] > F.col("_y")) != (e["y2"] > F.col("_y"))).alias("_row"))
+                F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= F.col("_y")) & (F.greatest(e["y1"], e["y2"]) >= F.col("_y"))).alias("_row"))
         .select("territory_id", "iy", "_y", "_row", F.explode(span("bbox.xmin", "bbox.xmax")).alias("ix"))
-        .where(crossings(F.col("_row"), (F.col("ix") + 0.5) * step, F.col("_y")) % 2 == 1)
+        .withColumn("_x", (F.col("ix") + 0.5) * step)
+        .where((crossings(F.col("_row"), F.col("_x"), F.col("_y")) % 2 == 1) & ~on_outline(F.col("_row"), F.col("_x"), F.col("_y")))
         .select("territory_id", "ix", "iy")
     )
     cell = F.lit(step * step)

@@ -240,7 +240,7 @@ SELECT {text('p_partkey')} AS alias_id, {text('p_partkey * 2')} AS canonical_id
 """
 BINDINGS["name_sources"] = f"""
 SELECT 's' || {text('p_partkey % 4')} AS source, 'name ' || {text('p_partkey')} AS canonical,
-       CASE WHEN p_partkey % 3 = 0 THEN 'Name ' || {text('p_partkey * 2')} WHEN p_partkey % 7 = 0 THEN 'Exelon' ELSE p_brand || ' ' || {text('floor(p_partkey / 40)')} || ',' END AS alias
+       CASE WHEN p_partkey % 3 = 0 THEN 'Name ' || {text('p_partkey * 2')} WHEN p_partkey % 7 = 0 THEN 'Exelon' ELSE p_brand || ' ' || {text('CAST(floor(p_partkey / 40) AS BIGINT)')} || ',' END AS alias
 FROM part
 """
 BINDINGS["registry_names"] = f"""
@@ -320,7 +320,7 @@ class Tables:
         """Run SQL over given tables and bindings."""
         used = {w for w in _NAME.findall(query) if w in BINDINGS or w in GIVEN}
         body = re.sub(r"@SERIES\((\d+)\)", lambda m: f"explode(sequence(0, {int(m.group(1)) - 1}))", query)
-        body = re.sub(r'"(\w+)"', r"`\1`", body)
+        body = re.sub(r'AS "(\w+)"', r"AS `\1`", body)
         frames = {}
         for w in used:
             pattern = rf"\b(FROM|JOIN)\s+{w}\b"
