@@ -41,7 +41,7 @@ def rolling_count(events: DataFrame, key: str, ts: str, event_id: str, seconds:
     counted = both.select(
         key, "_b", "_ghost", event_id,
         F.sum(1 - F.col("_ghost")).over(upto).alias("_own"),
-        F.sum("_ghost").over(after).alias("_open"),
+        F.coalesce(F.sum("_ghost").over(after), F.lit(0)).alias("_open"),
     ).where("_ghost = 0").drop("_ghost")
     between = Window.partitionBy(key).orderBy("_b").rangeBetween(-(steps - 1), -1)
     middle = per_bucket.select(key, "_b", F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_middle"))

@@ -636,7 +636,7 @@ def _(t):
 
 RUNS = """g AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ts, call_id) AS grp FROM source_calls),
  runs AS (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY source, grp ORDER BY ts, call_id) AS BIGINT) AS run_length FROM g),
- cb AS (SELECT call_id, source, CASE WHEN ok THEN 0 ELSE run_length END AS run_length, coalesce(lag(CASE WHEN ok THEN 0 ELSE run_length END) OVER w >= 3 AND epoch_us(ts) - epoch_us(lag(ts) OVER w) <= {0} * 1000000, false) AS disabled FROM runs WINDOW w AS (PARTITION BY source ORDER BY ts, call_id))"""
+ cb AS (SELECT call_id, source, CASE WHEN ok THEN 0 ELSE run_length END AS run_length, coalesce(lag(CASE WHEN ok THEN 0 ELSE run_length END) OVER w >= 3 AND epoch_us(ts) - epoch_us(lag(ts) OVER w) <= {0} * CAST(1000000 AS BIGINT), false) AS disabled FROM runs WINDOW w AS (PARTITION BY source ORDER BY ts, call_id))"""
 
 
 @query("w7_consecutive_failures", f"WITH {RUNS.replace('{0}', '7200')} SELECT call_id, source, run_length, run_length = 3 AS opens, disabled FROM cb")
