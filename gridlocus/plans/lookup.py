@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from gridlocus.operators import lookups as L
 from gridlocus.operators import resolve as V
 from gridlocus.operators import spatial as S
 from gridlocus.operators.catalog import attach_catalog_ids
+from gridlocus.session import cut_lineage
 
 
 @dataclass
@@ -141,22 +141,23 @@ def lookup(
     The stages follow one key, (address_id, utility_type), so the aggregation, the
     ranking and the alternatives reuse one exchange of the resolved candidates.
     """
-    addresses = fill_address_parts(addresses)
-    raw = gather(addresses, s, types, base)
+    # Each of these is read by several of the steps after it; they are written once.
+    addresses = cut_lineage(fill_address_parts(addresses))
+    raw = cut_lineage(gather(addresses, s, types, base))
     resolved = V.resolve_candidates(raw, s.aliases, s.reps, s.states, s.eia_index, min_score)
     ranked = V.rank_candidates(V.dedupe_and_boost(resolved, s.aliases))
     if "electric" in types:
-        ranked = V.demote_large_iou(ranked)
+        ranked = cut_lineage(V.demote_large_iou(ranked))
         if s.eia_zip is not None:
             ranked = V.apply_eia_verification(ranked, addresses.select("address_id", "zip_code"), s.eia_zip)
-    answers = V.primary_with_alternatives(ranked)
+    answers = cut_lineage(V.primary_with_alternatives(ranked))
     if sewer and s.catalog is not None:
         water = answers.where("utility_type = 'water'").select("address_id", "provider_name", "confidence")
         answers = answers.unionByName(
             V.sewer_resolution(addresses, water, s.catalog, s.catalog_overrides, min_score is not None).drop("catalog_id"), allowMissingColumns=True)
-    answers = answers.drop("provider_key", "first_ordinal", "source_ordinal")
+    answers = cut_lineage(answers.drop("provider_key", "first_ordinal", "source_ordinal"))
     if s.catalog is not None:
-        answers = with_catalog_ids(answers, addresses, s, min_score is not None)
+        answers = cut_lineage(with_catalog_ids(answers, addresses, s, min_score is not None))
     if s.contacts is not None:
         answers = answers.withColumn("_k", F.coalesce("canonical_id", F.lit("")))
         found = L.contact_join(answers.select("canonical_id", "provider_name", "utility_type"), s.contacts).withColumn(
@@ -186,7 +187,3 @@ def lookup_wide(addresses: DataFrame, answers: DataFrame, s: Sources) -> DataFra
             "internet_providers", "provider_count", "has_fiber", "has_cable", "max_download_speed", "source", "confidence").alias("internet"))
         out = out.join(blocks, "block_geoid", "left")
     return out
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

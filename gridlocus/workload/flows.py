@@ -276,7 +276,7 @@ def all_sources(t) -> Sources:
 
 @query("v17_lookup")
 def _(t):
-    answers = lookup(t.addresses, all_sources(t), base=BASE, sewer=True)
+    answers = lookup(t.addresses, all_sources(t), base=BASE, min_score=None, sewer=True)
     return answers.withColumn("alternatives", F.array_join(F.transform("alternatives", lambda a: a["provider"]), "|"))
 
 
