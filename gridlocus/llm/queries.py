@@ -39,3 +39,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_file("byte_bpe_50k.tiktoken")
     tokens = decode(encode(table(spark, sf_dir, "documents"), path), path)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlocus.llm.jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
