@@ -55,3 +55,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), r"^ | $", "")
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlocus.llm.toxicity import held_out, scored, train_model, training_rows
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_model(training_rows(documents, table(spark, sf_dir, "labels")))
+    scores = scored(documents, model)
+    return scores.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
