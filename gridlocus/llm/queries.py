@@ -65,3 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_model(training_rows(documents, table(spark, sf_dir, "labels")))
     scores = scored(documents, model)
     return scores.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlocus.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
