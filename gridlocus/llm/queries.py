@@ -72,3 +72,25 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlocus.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlocus.llm.chat import format_windows, parse_windows
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(r"\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    windows = parse_windows(format_windows(given.unionByName(more)))
+    ordered = windows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("cell", "part", "turns", "loss_texts", F.length("text").alias("size")))).alias("w"))
+    flat = ordered.select("conv_id", F.flatten(F.col("w.turns")).alias("turns"), F.array_join(F.flatten(F.col("w.loss_texts")), "").alias("loss"), F.aggregate(F.col("w.size"), F.lit(0).cast("long"), lambda a, x: a + x).alias("formatted_chars"))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return flat.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query
+def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlocus.llm.quality import judged
+
+    rows = judged(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
