@@ -94,3 +94,63 @@ def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = judged(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlocus.llm.warc import page_number, read_warc, write_warc
+
+    read = read_warc(spark, write_warc(table(spark, sf_dir, "pages")))
+    return read.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
+
+
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+b AS (SELECT page_id, octet_length(body) AS payload_bytes, from_hex(sha1(body)) AS digest, min(page_id) OVER (PARTITION BY sha1(body)) AS head FROM p),
+bits AS (SELECT *, array_to_string(list_transform(range(20), lambda i: bin(ascii(chr(('0x' || substr(hex(digest), CAST(2 * i + 1 AS BIGINT), 2))::INT + 256)) % 256 + 256)[2:]), '') AS s FROM b)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(1 + list_sum(list_transform(range(5), lambda k: (substr(s, CAST(5 * i + k + 1 AS BIGINT), 1) = '1')::BIGINT * (16 >> k::BIGINT))) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to
+FROM bits"""
+
+
+def number_of(name: str) -> str:
+    return f"cast(conv(substring(md5({name}), 1, 6), 16, 10) as int)"
+
+
+@query
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated lists made from the hosts of the table: some hosts blocked for a while, some of their sites for good, some language
+    folders allowed twice; every page is fetched on a day that follows from its id."""
+    from gridlocus.llm.url_lists import host_of, judge_captures
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id * 37 % 365 as int))").alias("fetched"))
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    day = lambda n: f"date_add(date'2024-01-01', {n})"
+    sites = hosts.select(F.expr("regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1)").alias("host")).where("host <> ''").distinct()
+    hosts, sites = hosts.withColumn("v", F.expr(number_of("host"))), sites.withColumn("v", F.expr(number_of("host")))
+    event = lambda kind, entry, action, at, lst="block": f"struct('{lst}' as list, '{kind}' as kind, {entry} as entry, '{action}' as action, {day(at)} as at)"
+    dated = [
+        hosts.where("v % 4 = 0").select(F.expr(f"explode(array({event('host', 'host', 'add', 'v % 300')}, {event('host', 'host', 'remove', 'v % 300 + 30 + v % 50')}))").alias("e")),
+        sites.where("v % 3 = 0").select(F.expr(event("domain", "host", "add", "v % 200")).alias("e")),
+        hosts.where("v % 5 = 0").select(F.expr(f"""explode(array({event("prefix", "host || '/en/'", "add", "v % 100", "allow")}, {event("prefix", "host || '/en/'", "remove", "v % 100 + 60", "allow")},
+            {event("prefix", "host || '/en/'", "add", "v % 100 + 150", "allow")}))""").alias("e")),
+    ]
+    events = dated[0].unionByName(dated[1]).unionByName(dated[2]).select("e.*")
+    return judge_captures(pages, events).select("page_id", "fetched", "blocked", "block_entry", "allow_entry")
+
+
+ORACLES["op5_url_lists"] = r"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INT) AS fetched, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
+h AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 6))::INT AS v FROM p WHERE host <> ''),
+s AS (SELECT DISTINCT site, ('0x' || substr(md5(site), 1, 6))::INT AS v FROM (SELECT regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) AS site FROM h) WHERE site <> ''),
+l AS (SELECT 'block' AS list, 'host' AS kind, host AS entry, v % 300 AS since, v % 300 + 30 + v % 50 AS until FROM h WHERE v % 4 = 0
+  UNION ALL SELECT 'block', 'domain', site, v % 200, 100000 FROM s WHERE v % 3 = 0
+  UNION ALL SELECT 'allow', 'prefix', host || '/en/', v % 100, v % 100 + 60 FROM h WHERE v % 5 = 0
+  UNION ALL SELECT 'allow', 'prefix', host || '/en/', v % 100 + 150, 100000 FROM h WHERE v % 5 = 0),
+m AS (SELECT p.page_id, p.fetched, min(kind || ':' || entry) FILTER (list = 'block') AS block_entry, min(kind || ':' || entry) FILTER (list = 'allow') AS allow_entry
+  FROM p LEFT JOIN l ON date_diff('day', DATE '2024-01-01', fetched) >= since AND date_diff('day', DATE '2024-01-01', fetched) < until
+    AND ((kind = 'host' AND host = entry) OR (kind = 'domain' AND (host = entry OR ends_with(host, '.' || entry))) OR (kind = 'prefix' AND starts_with(host || path, entry)))
+  GROUP BY p.page_id, p.fetched)
+SELECT page_id, fetched, block_entry IS NOT NULL AND allow_entry IS NULL AS blocked, block_entry, allow_entry FROM m"""
