@@ -140,21 +140,26 @@ class Items:
         return out
 
 
+def item_blocks(benchmark: DataFrame, item_key: str, item_text: str, percent: int, block_words: int) -> Iterator[tuple[Items, pa.DataType]]:
+    """The items in blocks of bounded size, one after the other."""
+    items = benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0  # a word has a character and one between
+    blocks = max(1, -(-size // (2 * block_words)))
+    for block in range(blocks):
+        held = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).toArrow()
+        texts = held["text"].combine_chunks()
+        yield Items(held["item"].to_pylist(), texts, percent), held.schema.field("item").type
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
                  percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, item_key, distance, end_word): the documents that hold an item within its budget of edits, with the least
     number of edits and the number of document words up to the end of that occurrence."""
-    spark = documents.sparkSession
-    items = benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0  # a word has a character and one between
-    blocks = max(1, -(-size // (2 * block_words)))
     kinds = documents.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"doc {kinds[0]}, item {kinds[1]}, distance long, end_word long"
 
-    def search(block: int) -> DataFrame:
-        held = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).toArrow()
-        shared = spark.sparkContext.broadcast(Items(held["item"].to_pylist(), held["text"].combine_chunks(), percent))
-        kind = held.schema.field("item").type
+    def search(items: Items, kind: pa.DataType) -> DataFrame:
+        shared = documents.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts_of(batches, text):
@@ -166,6 +171,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 
         return documents.select(key, text).mapInArrow(run, schema)
 
-    rows = reduce(DataFrame.unionByName, [search(b) for b in range(blocks)])
+    rows = reduce(DataFrame.unionByName, [search(*block) for block in item_blocks(benchmark, item_key, item_text, percent, block_words)])
     best = rows.groupBy("doc", "item").agg(F.min(F.struct("distance", "end_word")).alias("m"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), "m.distance", "m.end_word")
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+                  percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that hold no item within its budget of edits, by one pass over them per block."""
+
+    def keep(rows: DataFrame, items: Items) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts_of(batches, text):
+                clean = np.ones(part.num_rows, bool)
+                clean[[x[0] for x in shared.value.matches(normal_words(part.column(text)))]] = False
+                yield part.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return reduce(keep, (items for items, _ in item_blocks(benchmark, item_key, item_text, percent, block_words)), documents)
