@@ -6,17 +6,19 @@ elements.  In any fixed order of all shingles, the first n - t + l of A and the
 at least min(l_A, l_B) of them.  So a document may lengthen its prefix by choosing a larger l, and then
 a partner must share that many more prefix shingles before it is worth verifying.
 
-* Order: shingles that are common in the whole corpus come last, by count, all others by hash.  The
-  common ones are found by counting over all documents; there are at most (mean set size / share) of
-  them, a bound that does not grow with the corpus, and they only set the order, never the result.
+* Order: shingles that are common in the corpus come last, by count, all others by hash.  The common ones are
+  found by counting over all documents, and the most common ``COMMON_MOST`` of them are known to every task; they
+  only set the order, never the result.
 * Cost: the number of documents that have a prefix shingle is counted exactly.  A shingle of more than
   ``dear`` documents is dear.  Each document takes the l with the least estimated cost (entries read
   for its other prefix shingles, plus the candidates these can yield, at most entries / r, where r = l minus
   its dear ones): dear shingles need not be read, as r >= 1 cheap ones are always shared.  A
   document without such an l (nearly all its shingles are dear) is open: l = 1 and all are read.
-* Groups: equal sets are one node from the start.  A first round verifies one pair per document, with the smallest
-  document of the bucket it shares most with.  The second round takes the pairs of every bucket whose ends
-  are still in different components, so a group of m near copies costs about m pairs, not m * m.
+* Groups: equal sets are one node from the start.  In a few star rounds, each document is verified against one
+  document of the buckets it is in (chosen anew by hash in each round).  The last round takes the pairs of all
+  buckets whose ends are still in different components, so a group of m near copies costs about m pairs, not m * m.
+* Need: the members of A's prefix that B lacks cannot be shared, so with a partner of size m a document needs
+  l + ceil(percent * (n + m) / (100 + percent)) - t shared prefix shingles; the lesser of both sides' needs holds.
 * Verification is exact on the sets of the whole texts.
 
 Cases: a text that is null or without words has the empty set and links with nothing; a text with
@@ -33,16 +35,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridlocus.llm.components import components
 from gridlocus.llm.store import stored
 from gridlocus.llm.textual import U64, Words, inside_one, mix, parts_of, shingles
 
-DEAR = 48
-COMMON_SHARE = 1 / 2000
+DEAR = 16
+COMMON = 8
 COMMON_MOST = 1_000_000
 BROADCAST_ROWS = 1_000_000
 VERIFY_COST = 24
+STAR_ROUNDS = 4
 TOP = U64(1) << U64(63)
 
 
@@ -61,17 +65,24 @@ def shingle_sets(column: pa.Array, width: int, lower: bool) -> tuple[np.ndarray,
 
 
 def common_shingles(df: DataFrame, text: str, width: int, lower: bool) -> np.ndarray:
-    """Shingles of at least a fixed share of the documents, ascending by count: (shingles in that order)."""
+    """The most common shingles, at most ``COMMON_MOST``, ascending by count.  Repeats are counted within
+    slices of the documents and summed, so a count is a lower bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts_of(batches, text, 16 << 20):
+        for part in parts_of(batches, text, 6 << 20):
             tokens, counts = np.unique(shingle_sets(part.column(text), width, lower)[0], return_counts=True)
             more = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(tokens[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], ["token", "n"])
 
-    least = max(DEAR, int(df.count() * COMMON_SHARE))
-    counted = df.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = counted.orderBy(F.desc("n"), "token").limit(COMMON_MOST).toArrow()
+    counted = stored(df.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON), "common")
+    histogram = sorted(((r["n"], r["m"]) for r in counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    least, room = COMMON, COMMON_MOST
+    for n, m in histogram:
+        room -= m
+        if room < 0:
+            least = n + 1
+            break
+    rows = counted.where(F.col("n") >= least).toArrow()
     order = np.lexsort((rows["token"].to_numpy(), rows["n"].to_numpy()))
     return rows["token"].to_numpy().view(U64)[order]
 
@@ -206,30 +217,46 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wi
     repeated = entries.join(counts, "token").groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "token", "df")).alias("found"))
     buckets = stored(chosen(repeated, percent), "buckets")
 
-    # round 1: each document with the smallest one of the bucket that it meets most
-    pivots = buckets.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    near = F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent
-    stars = buckets.join(pivots, "token").where("doc > p.doc").where(near).groupBy("doc", F.col("p.doc").alias("pivot")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    enough = F.col("shared") * 4 >= F.col("n") * (100 - percent) / 100
-    best = stars.where(enough).groupBy("doc").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("p"))).alias("b"))
-    first = verified(stored(best.select((-F.col("b.p")).alias("x"), F.col("doc").alias("y")), "pairs"), with_id, key, text, width, percent, lower)
-    labels = stored(components(first), "labels")
-
-    # round 2: what is still apart
-    named = buckets.join(labels, buckets.doc == labels.node, "left").select("token", "doc", "n", "dear", "r", "open", F.coalesce("label", "doc").alias("label"))
-    apart = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("any_open"), F.max("dear").alias("is_dear"))
-    apart = apart.where("lo < hi and (any_open or not is_dear)").select("token")
-    left = stored(named.join(apart, "token"), "apart")
-    a, b = left.alias("a"), left.alias("b")
-    met = a.join(b, F.expr(f"""a.token = b.token and a.doc < b.doc and a.label <> b.label and (not a.dear or a.open or b.open)
-        and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent}"""))
-    counted = met.groupBy(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).agg(F.count("*").alias("shared"), F.min(F.least("a.r", "b.r")).alias("needed"))
-    pairs = stored(counted.where("shared >= needed").select("x", "y"), "pairs")
-    second = verified(pairs, with_id, key, text, width, percent, lower)
-    groups = stored(components(first.unionByName(second)), "groups")
+    links = None
+    named = buckets.withColumn("label", F.col("doc"))
+    for turn in range(STAR_ROUNDS + 1):
+        apart = named.groupBy("token").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("any_open"), F.max("dear").alias("is_dear"),
+            F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "label")).alias("p")).where("lo < hi")
+        if turn < STAR_ROUNDS:  # each document with one document of the bucket that it meets most
+            near = F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent
+            stars = named.join(apart.select("token", "p"), "token").where("label <> p.label").where(near).groupBy("doc", F.col("p.doc").alias("pivot")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+            enough = F.col("shared") * 4 >= F.col("n") * (100 - percent) / 100
+            best = stars.where(enough).groupBy("doc").agg(F.max(F.struct("shared", "pivot")).alias("b"))
+            pairs = best.select(F.least("doc", "b.pivot").alias("x"), F.greatest("doc", "b.pivot").alias("y")).distinct()
+        else:  # every pair that is still apart
+            left = named.join(apart.where("any_open or not is_dear").select("token"), "token")
+            left = stored(left, "apart")
+            a, b = left.alias("a"), left.alias("b")
+            met = a.join(b, F.expr(f"""a.token = b.token and a.doc < b.doc and a.label <> b.label and (not a.dear or a.open or b.open)
+                and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent}"""))
+            both = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
+            own = lambda x: f"{x}.r + {both} - (({percent} * {x}.n + 99) div 100)"
+            counted = met.groupBy(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).agg(F.count("*").alias("shared"), F.min(F.expr(f"least({own('a')}, {own('b')})")).alias("needed"))
+            pairs = counted.where("shared >= needed").select("x", "y")
+        found = verified(stored(pairs, "pairs"), with_id, key, text, width, percent, lower)
+        links = found if links is None else links.unionByName(found)
+        groups = stored(components(links), "groups")
+        named = buckets.join(groups, buckets.doc == groups.node, "left").select(*buckets.columns, F.coalesce("label", "doc").alias("label"))
 
     placed = classes.join(groups, classes.rep == groups.node, "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component"))
     rows = sets.select("doc", "n", "s1", "s2")
     joined = rows.join(placed, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc"))
     return joined.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """The table without the documents that belong to a group and are not its smallest id.  Of rows that
+    repeat an id one stays (the least text); rows without an id all stay."""
+    groups = stored(similar_documents(df, key, text, width, percent, lower), "membership")
+    known = groups.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("m"), F.min("component_id").alias("c"))
+    gone, repeated = known.where(F.col("c") != F.col(key)).select(key), known.where((F.col("c") == F.col(key)) & (F.col("m") > 1)).select(key)
+    order = Window.partitionBy(key).orderBy(text)
+    again = df.join(repeated, key, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    return df.join(gone.unionByName(repeated), key, "left_anti").unionByName(again.select(df.columns))
