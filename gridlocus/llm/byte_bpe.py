@@ -16,9 +16,9 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,12 @@ WHITE_SPACE = [
 LETTER, SHORT, LONG, NUMBER, OTHER, QUOTE, SPACE_LAST, WHITE_LAST, WHITE, SYMBOLS = range(10)
 # states: what the piece under way is
 IN_LETTER, IN_NUMBER, IN_OTHER, AT_QUOTE, IN_LONG, CLOSED, AFTER_SPACE, IN_WHITE, STATES = range(9)
-PIECES_KEPT = 600_000
+PIECES_KEPT = 400_000
+#: Letters of contractions: those that end one, and those that begin one with the letter that must follow.
+SHORTS = np.isin(np.arange(128), [ord(c) for c in "stmd"])
+THEN = np.zeros(128, np.uint32)
+THEN[[ord(c) for c in "rvl"]] = [ord(c) for c in "eel"]
+CONTRACTED = SHORTS | (THEN > 0)
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -95,7 +100,7 @@ class Automaton:
         n = len(symbols)
         lanes = int(min(8192, max(1, n // 64)))
         steps = -(-n // lanes)
-        padded = np.full(lanes * steps, self.width - 1, np.int64)
+        padded = np.full(lanes * steps, self.width - 1, np.uint8)
         padded[:n] = symbols
         columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
         function = np.zeros(lanes, np.int64)  # times width
@@ -154,18 +159,17 @@ def cut(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     else:
         at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         heads = np.searchsorted(at, offsets)
-    symbols = symbol_table().take(codes).astype(np.int64)
+    symbols = symbol_table().take(codes)
     ends = np.zeros(len(codes) + 1, bool)
     ends[heads] = True  # a text begins here, or all end
     following = np.append(codes[1:], 0)
     same = ~ends[1:]
     last = same & np.append(symbols[1:] != WHITE, False) & (symbols == WHITE)
     symbols[last] = np.where(codes[last] == 0x20, SPACE_LAST, WHITE_LAST)
-    small = np.flatnonzero((codes >= ord("d")) & (codes <= ord("v")))
-    here, then = codes[small], following[small] * same[small]
-    short = np.isin(here, [ord(c) for c in "stmd"])
-    long = (np.isin(here, [ord("r"), ord("v")]) & (then == ord("e"))) | ((here == ord("l")) & (then == ord("l")))
-    symbols[small[short]], symbols[small[long]] = SHORT, LONG
+    letter = np.flatnonzero(CONTRACTED.take(np.minimum(codes, 127)))
+    here, then = codes[letter], following[letter] * same[letter]
+    long = THEN.take(here) == then
+    symbols[letter] = np.where(long, LONG, np.where(SHORTS.take(here), SHORT, LETTER))
     symbols[heads[:-1][heads[:-1] < heads[1:]]] += SYMBOLS
     begins = automaton().boundaries(symbols)
     return data, np.append(at[begins], len(data)), np.searchsorted(begins, heads), codes
@@ -227,7 +231,9 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class PieceCache:
-    """Token ids of pieces met so far, in flat arrays; emptied when it holds too many."""
+    """Token ids of pieces met so far, in flat arrays; emptied when it holds too many.
+
+    ``encode_many`` takes a list of pieces and gives (ids on end, number of ids of each)."""
 
     def __init__(self, encode_many, limit: int = PIECES_KEPT):
         self.encode_many, self.limit = encode_many, limit
@@ -235,7 +241,7 @@ class PieceCache:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids, self.starts, self.lengths = array("I"), array("q"), array("q")
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(token ids on end, number of tokens of each piece)."""
@@ -243,15 +249,15 @@ class PieceCache:
         distinct = coded.dictionary.to_pylist()
         if len(self.number) > self.limit:
             self.clear()
-        missing = [x for x in distinct if x not in self.number]
-        for piece, ids in zip(missing, self.encode_many(missing)):
-            self.number[piece] = len(self.starts)
-            self.starts.append(len(self.ids))
-            self.lengths.append(len(ids))
-            self.ids.extend(ids)
+        if missing := [x for x in distinct if x not in self.number]:
+            ids, lengths = self.encode_many(missing)
+            self.number.update(zip(missing, range(len(self.number), len(self.number) + len(missing))))
+            self.ids = np.concatenate([self.ids, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
         at = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        lengths = np.array(self.lengths, np.int64)[at]
-        return np.array(self.ids, np.uint32)[ragged(np.array(self.starts, np.int64)[at], lengths)], lengths
+        starts = self.ends[at]
+        lengths = self.ends[at + 1] - starts
+        return self.ids[ragged(starts, lengths)], lengths
 
 
 @lru_cache(2)
@@ -263,7 +269,12 @@ def ranks_from(path: str) -> dict[bytes, int]:
 @lru_cache(2)
 def rank_cache(path: str) -> PieceCache:
     ranks = ranks_from(path)
-    return PieceCache(lambda pieces: (merge_piece(x, ranks) for x in pieces))
+
+    def encode_many(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        merged = [merge_piece(x, ranks) for x in pieces]
+        return np.fromiter(chain.from_iterable(merged), np.uint32), np.fromiter(map(len, merged), np.int64, len(merged))
+
+    return PieceCache(encode_many)
 
 
 @lru_cache(2)

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from gridlocus.llm.byte_bpe import PieceCache, cut
 from gridlocus.llm.store import fresh_folder, stored
-from gridlocus.llm.textual import binary_array, parts_of
+from gridlocus.llm.textual import PIECE_BYTES, binary_array, parts_of
 
 MAGIC = b"TOKDAC01"
 CHUNK = 8
@@ -138,12 +138,16 @@ def library_cache(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def encode_many(pieces: list[bytes]) -> Iterator[list[int]]:
+    def encode_many(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [], []
         for a in range(0, len(pieces), 20_000):
-            for e in tokenizer.encode_batch_fast([x.decode() for x in pieces[a : a + 20_000]], add_special_tokens=False):
-                yield e.ids
+            some = [x.decode() for x in pieces[a : a + 20_000]]
+            e = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            lengths.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(lengths)
 
-    return tokenizer, PieceCache(encode_many)
+    return tokenizer, PieceCache(encode_many, 900_000)
 
 
 def library_tokens(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +196,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names)
 
         names = [x.split()[0] for x in MANIFEST.split(", ")]
-        for piece in parts_of(batches, text):
+        for piece in parts_of(batches, text, min(PIECE_BYTES, file_tokens)):
             got, first = library_tokens(piece.column(text), tokenizer_path, end_id)
             keys.append(piece.column(key).cast(pa.int64()).fill_null(NO_KEY).to_numpy())
             sizes.extend(np.diff(first).tolist())
