@@ -35,7 +35,7 @@ def clean_alias(name: Column | str) -> Column:
 
 
 def norm_key(name: Column | str) -> Column:
-    kept = F.regexp_replace(F.lower(clean_alias(name)), r"[^\w\s]", "")
+    kept = F.regexp_replace(F.lower(clean_alias(name)), r"(?U)[^\w\s]", "")
     return F.trim(F.regexp_replace(kept, r"\s+", " "))
 
 
@@ -135,7 +135,7 @@ def normalize_catalog_title(title: Column | str) -> Column:
     t = F.regexp_replace(t, r"(?i)\s*\([A-Z]{2}\)\s*$", "")
     for suffix in rules.CATALOG_LEGAL_SUFFIXES:
         t = F.regexp_replace(t, f"{suffix}$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\w\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\s]", " "), r"\s+", " "))
 
 
 def _title_rules(t: Column, table: list) -> Column:

@@ -141,6 +141,9 @@ def attach_catalog_ids(
     alt_ids = alts.withColumn("provider", F.col("alt.provider")).join(
         keyed, ["provider", "utility_type", "state"], "left"
     )
+    given = rows.schema["alternatives"].dataType.elementType
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in given if f.name not in ("catalog_id", "catalog_title")]
+    empty += [F.lit(None).cast(ids.schema[c].dataType).alias(c) for c in ("catalog_id", "catalog_title")]
     grouped = alt_ids.groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields, "catalog_id", "catalog_title").alias("alt")))).alias("_alts")
     )
@@ -149,6 +152,7 @@ def attach_catalog_ids(
         .join(keyed, ["provider", "utility_type", "state"], "left")
         .join(grouped, "row_id", "left")
         .withColumn("alternatives", F.transform("_alts", lambda a: a["alt"]))
+        .withColumn("alternatives", F.coalesce("alternatives", F.filter(F.array(F.struct(*empty)), lambda a: F.lit(False))))
         .drop("_alts")
     )
 
@@ -170,18 +174,21 @@ def catalog_alias(rows: DataFrame, alias_table: DataFrame, column: str, out: str
     )
 
 
-def close_catalog_aliases(alias_table: DataFrame, max_rounds: int = 40) -> DataFrame:
+def close_catalog_aliases(alias_table: DataFrame) -> DataFrame:
     """Every alias pointed at the end of its chain.  Each round doubles the number of
-    hops taken, so a chain of length n needs log2(n) rounds."""
-    table = cut_lineage(alias_table.select("alias_id", "canonical_id"))
-    for _ in range(max_rounds):
-        step = table.select(F.col("alias_id").alias("_a"), F.col("canonical_id").alias("_next"))
+    hops taken, so a chain of length n needs log2(n) rounds.  Aliases that lead into a
+    cycle are pointed at the smallest id of the cycle."""
+    table = cut_lineage(alias_table.select("alias_id", "canonical_id", F.least("alias_id", "canonical_id").alias("low")))
+    n, hops = table.count(), 1
+    while hops <= 2 * n:
+        step = table.select(F.col("alias_id").alias("_a"), F.col("canonical_id").alias("_next"), F.col("low").alias("_low"))
         moved = cut_lineage(
             table.join(step, F.col("canonical_id") == F.col("_a"), "left")
-            .select("alias_id", F.coalesce("_next", "canonical_id").alias("canonical_id"),
-                    (F.col("_next").isNotNull() & (F.col("_next") != F.col("canonical_id"))).alias("_moved"))
+            .select("alias_id", F.coalesce("_next", "canonical_id").alias("canonical_id"), F.least("low", "_low").alias("low"), F.col("_next").isNotNull().alias("_moved"))
         )
-        table = moved.drop("_moved")
+        table, hops = moved.drop("_moved"), 2 * hops
         if moved.where("_moved").isEmpty():
-            break
-    return table
+            return table.select("alias_id", "canonical_id")
+    # More hops than aliases: a target that is still an alias lies on a cycle, and its own hops went all round it.
+    around = table.select(F.col("alias_id").alias("_a"), F.col("low").alias("_low"))
+    return table.join(around, F.col("canonical_id") == F.col("_a"), "left").select("alias_id", F.coalesce("_low", "canonical_id").alias("canonical_id"))

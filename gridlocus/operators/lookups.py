@@ -20,7 +20,7 @@ CANDIDATE_COLUMNS = ["address_id", "utility_type", "raw_name", "source", "table_
                      "max_confidence", "set_confidence", "candidate_state"]
 
 
-def _candidate(df: DataFrame, utility_type, name, source, confidence, state=None, cap=None, fixed=None) -> DataFrame:
+def _candidate(df: DataFrame, utility_type, name, source, confidence, state=None, cap=None, fixed=None, more=()) -> DataFrame:
     def col(v, kind):
         return (v if isinstance(v, Column) else F.lit(v)).cast(kind)
 
@@ -33,6 +33,7 @@ def _candidate(df: DataFrame, utility_type, name, source, confidence, state=None
         col(cap, "double").alias("max_confidence"),
         col(fixed, "double").alias("set_confidence"),
         (F.col("state") if state is None else as_col(state)).alias("candidate_state"),
+        *more,
     ).where("raw_name IS NOT NULL AND raw_name <> ''")
 
 
@@ -147,9 +148,9 @@ def county_emc_primary(county_emc: DataFrame) -> DataFrame:
 
 def eia_zip_join(addresses: DataFrame, eia_zip: DataFrame) -> DataFrame:
     """``eia_zip``: zip, pos (0-based), name, eiaid, state."""
-    first = eia_zip.where("pos = 0").select(F.col("zip").alias("zip_code"), "name", F.col("state").alias("eia_state"))
+    first = eia_zip.where("pos = 0").select(F.col("zip").alias("zip_code"), "name", F.col("state").alias("eia_state"), F.col("eiaid").cast("string").alias("eia_id"))
     return _candidate(addresses.join(first, "zip_code"), "electric", "name", "eia_zip", 0.70,
-                      F.coalesce(F.nullif(F.col("eia_state"), F.lit("")), F.col("state")), cap=0.70)
+                      F.coalesce(F.nullif(F.col("eia_state"), F.lit("")), F.col("state")), cap=0.70, more=("eia_id",))
 
 
 # ---- several types -----------------------------------------------------------

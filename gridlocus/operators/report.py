@@ -10,6 +10,7 @@ from gridlocus.functions import predicates as P
 from gridlocus.functions import rules, text
 from gridlocus.operators.compare import CORRECT, pct
 from gridlocus.operators.names import alias_lookup, match_name_multi
+from gridlocus.session import cut_lineage
 
 UTILITY_TYPES = ["electric", "gas", "water"]
 
@@ -307,3 +308,18 @@ def wide_result(long: DataFrame, key: str = "address_id", types: list[str] | Non
     types = types or ["electric", "gas", "water", "sewer"]
     record = F.struct(*[c for c in long.columns if c not in (key, "utility_type")])
     return long.groupBy(key).agg(*[F.max(F.when(F.col("utility_type") == t, record)).alias(t) for t in types])
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows with their place (from 1) in a total order.  Ranges of the order are numbered side
+    by side and shifted by the sizes of the ranges before; only one row per range is summed in one place."""
+    width = len(order)
+    keyed = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    keys = [F.col(f"_o{i}") for i in range(width)]
+    ranged = cut_lineage(keyed.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(*keys)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    out = ranged.withColumn("_nth", F.row_number().over(inside)).join(shift, "_range")
+    return out.select(*df.columns, (F.col("_shift") + F.col("_nth")).alias(name))

@@ -50,7 +50,7 @@ def resolve_candidates(
         if column not in df.columns:
             df = df.withColumn(column, F.lit(None).cast(kind))
     water = F.col("utility_type") == "water"
-    df = df.withColumn("_eia", F.try_to_number(F.split_part(F.col("eia_id").cast("string"), F.lit("."), F.lit(1)), F.lit("999999999")).cast("int"))
+    df = df.withColumn("_eia", F.split_part(F.col("eia_id").cast("string"), F.lit("."), F.lit(1)).try_cast("int"))
     by_id = eia_index.select(F.col("eia_id").alias("_eia"), F.struct("canonical_id", "display_name").alias("_by_id"))
     df = df.join(by_id, "_eia", "left")
     names = df.where(~water & F.col("_by_id").isNull()).select(F.col("raw_name").alias("name")).where("name IS NOT NULL").distinct()

@@ -106,8 +106,11 @@ def gather(addresses: DataFrame, s: Sources, types: tuple[str, ...], base: float
     if "gas" in types and s.gas_mapping is not None:
         add(L.gas_zip_join(addresses, s.gas_mapping))
     if "electric" in types and s.county_emc is not None:
-        covered = s.state_config is not None
-        add(L.county_emc_join(addresses, s.county_emc, has_state_source=covered))
+        asked = addresses
+        if s.state_config is not None:  # not where the state has polygons of its own
+            own = s.state_config.where("utility_type = 'electric'").select("state").distinct()
+            asked = addresses.join(own, "state", "left_anti")
+        add(L.county_emc_join(asked, s.county_emc))
     if "gas" in types and s.county_gas is not None:
         add(L.county_gas_join(addresses, s.county_gas))
     if s.territories is not None:
@@ -154,7 +157,7 @@ def lookup(
     if sewer and s.catalog is not None:
         water = answers.where("utility_type = 'water'").select("address_id", "provider_name", "confidence")
         answers = answers.unionByName(
-            V.sewer_resolution(addresses, water, s.catalog, s.catalog_overrides, min_score is not None).drop("catalog_id"), allowMissingColumns=True)
+            V.sewer_resolution(addresses, water, s.catalog, s.catalog_overrides, min_score is not None).withColumnRenamed("catalog_id", "matched_id"), allowMissingColumns=True)
     answers = cut_lineage(answers.drop("provider_key", "first_ordinal", "source_ordinal"))
     if s.catalog is not None:
         answers = cut_lineage(with_catalog_ids(answers, addresses, s, min_score is not None))
@@ -173,6 +176,8 @@ def with_catalog_ids(answers: DataFrame, addresses: DataFrame, s: Sources, fuzzy
     rows = answers.join(addresses.select("address_id", F.coalesce("state", F.lit("")).alias("state")), "address_id").withColumn(
         "row_id", F.struct("address_id", "utility_type")).withColumnRenamed("provider_name", "provider")
     out = attach_catalog_ids(rows, s.catalog, s.catalog_overrides, fuzzy)
+    if "matched_id" in out.columns:  # a sewer answer is a catalog entry; only one without an entry is looked up
+        out = out.withColumn("catalog_id", F.coalesce("matched_id", "catalog_id")).drop("matched_id")
     return out.drop("row_id", "state").withColumnRenamed("provider", "provider_name")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,21 +48,24 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: an iterative plan, or one whose part is used many times,
-    stays short, is worked out once and survives the loss of an executor.  The folder named by ``spark.checkpoint.dir`` is used; a
-    folder of our own is set only where the session names none (tests)."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a folder of our own is set only in local
+    mode where the session names none (tests)."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if not shared:
-            if not context.master.startswith("local"):
-                raise RuntimeError(
-                    "spark.checkpoint.dir must name a folder every executor can reach"
-                )
-            shared = os.path.join(tempfile.mkdtemp(prefix="gridlocus-"), "checkpoints")
+    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[.*\])?$", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
+        shared = os.path.join(tempfile.mkdtemp(prefix="gridlocus-"), "checkpoints")
         context.setCheckpointDir(shared)
-    return df.checkpoint(eager=eager)
+    return shared
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder as Parquet and read back: an iterative plan, or one whose
+    part is used many times, stays short, knows its real size, reads only the columns it names and survives
+    the loss of an executor."""
+    spark = df.sparkSession
+    folder = os.path.join(shared_root(spark), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridlocus.session import shared_root
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the cluster's checkpoint folder; a temporary one only in
     local mode when the session names none."""
-    root = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="gridlocus-")
-    return os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    return os.path.join(shared_root(spark), f"stream-{uuid.uuid4().hex}")
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:

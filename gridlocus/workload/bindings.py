@@ -118,7 +118,7 @@ FROM part
 _name_of = "p_name"
 BINDINGS["customer_names"] = f"""
 SELECT c_custkey, {_zip} AS zip, {_state} AS state, n_name, p_name
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN part ON p_partkey = c_custkey % 200
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN part ON p_partkey = c_custkey
 """
 BINDINGS["address_corrections"] = f"""
 SELECT a.address_id AS correction_id, a.address, a.lat, a.lon, a.zip_code, a.state,
@@ -221,7 +221,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 """
 BINDINGS["reported"] = f"""
 SELECT o_orderkey AS row_id, {pick('o_orderkey % 3', ['electric', 'gas', 'water'])} AS utility_type, {_state} AS state, raw_name AS raw, {_zip} AS zip
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN raw_names ON p_partkey = o_orderkey % 200
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN raw_names ON p_partkey = o_custkey
 """
 
 # B7: activity.

@@ -257,9 +257,9 @@ def _(t):
 
 @query("v12_sewer_resolution")
 def _(t):
-    water = t.candidates.where("source_ordinal = 0 AND address_id % 4 <> 0").join(t.part.select(F.col("p_partkey").alias("k"), "p_name"), F.col("address_id") % 200 == F.col("k")).select(
+    water = t.candidates.where("source_ordinal = 0 AND address_id % 4 <> 0").join(t.part.select(F.col("p_partkey").alias("k"), "p_name"), F.col("address_id") == F.col("k")).select(
         "address_id", F.col("p_name").alias("provider_name"), "confidence")
-    out = V.sewer_resolution(t.addresses, water, prepared(t), catalog_overrides(t.id_corrections), fuzzy=False)
+    out = V.sewer_resolution(t.addresses, water, prepared(t), catalog_overrides(t.id_corrections))
     return out.select("address_id", "provider_name", F.round("confidence", 6).alias("confidence"), "source", "needs_review")
 
 
@@ -276,15 +276,14 @@ def all_sources(t) -> Sources:
 
 @query("v17_lookup")
 def _(t):
-    answers = lookup(t.addresses, all_sources(t), base=BASE, min_score=None, sewer=True)
+    answers = lookup(t.addresses, all_sources(t), base=BASE, sewer=True)
     return answers.withColumn("alternatives", F.array_join(F.transform("alternatives", lambda a: a["provider"]), "|"))
 
 
 @query("v17_lookup_wide")
 def _(t):
     s = all_sources(t)
-    s.catalog = s.contacts = None
-    wide = lookup_wide(t.addresses, lookup(t.addresses, s, base=BASE, min_score=None), s)
+    wide = lookup_wide(t.addresses, lookup(t.addresses, s, base=BASE, sewer=True), s)
     return wide.select("address_id", *[F.col(f"{u}.provider_name").alias(u) for u in ("electric", "gas", "water")], F.col("internet.provider_count").alias("internet_providers"))
 
 

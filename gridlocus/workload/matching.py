@@ -104,7 +104,7 @@ def _(t):
 BINDINGS["name_pairs"] = """
 SELECT DISTINCT raw_name AS a, display_name AS b FROM (
   SELECT r.raw_name, c.display_name FROM raw_names r JOIN part p ON p.p_partkey = r.p_partkey JOIN canonicals c ON c.canonical_id = p.p_name
-  UNION ALL SELECT r.raw_name, p.p_name || ' Corp - (TX)' AS display_name FROM raw_names r JOIN part p ON p.p_partkey = (r.p_partkey * 7 + 1) % 200) x
+  UNION ALL SELECT r.raw_name, p.p_name || ' Corp - (TX)' AS display_name FROM raw_names r JOIN part p ON p.p_partkey = r.p_partkey + 1) x
 WHERE raw_name IS NOT NULL
 """
 BINDINGS["rebrands"] = """
@@ -123,7 +123,7 @@ def over(a: str, b: str) -> str:
 
 
 PAIR_NAMES = "SELECT a AS name FROM name_pairs UNION ALL SELECT b AS name FROM name_pairs"
-FACTS = f"""{segment_ctes(PAIR_NAMES)}, {match_ctes('SELECT segment AS name FROM m_seg', None)},
+FACTS = f"""{segment_ctes(PAIR_NAMES)}, {match_ctes('SELECT segment AS name FROM m_seg')},
  m_all AS (SELECT s.name, s.cleaned, pos, segment, canonical_id, display_name, matched, is_rep, match_type, similarity, matched_on FROM m_seg s JOIN m_match m ON m.name = s.segment),
  m_best AS (SELECT name, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN matched THEN 0 ELSE 1 END, CASE WHEN matched THEN similarity END DESC, pos) AS rn FROM m_all) x WHERE rn = 1),
  m_norm AS (SELECT name, nullif(normalized, '~null') AS normalized FROM ({N3}) y),
@@ -141,7 +141,7 @@ def _(t):
 def with_pair_facts(t):
     pairs = t.name_pairs
     used = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
-    facts = names.name_facts(used, t.aliases, t.reps, t.rebrands, names.parent_table(t.spark), min_score=None)
+    facts = names.name_facts(used, t.aliases, t.reps, t.rebrands, names.parent_table(t.spark))
     return pairs.join(facts.select(F.col("name").alias("a"), F.col("facts").alias("fa")), "a").join(
         facts.select(F.col("name").alias("b"), F.col("facts").alias("fb")), "b")
 
@@ -170,7 +170,7 @@ def _(t):
 
 # ---- similarity --------------------------------------------------------------
 BINDINGS["part_pairs"] = """
-SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = (x.p_partkey * 37 + 11) % 200
+SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1
 """
 
 
@@ -293,7 +293,7 @@ def _(t):
 
 BINDINGS["answer_rows"] = f"""
 SELECT c_custkey AS row_id, {pick('c_custkey % 2', ['electric', 'gas'])} AS utility_type, {pick('c_custkey % 3', ['TX', 'GA', 'OH'])} AS state, a.p_name AS provider, b.p_name || ' Corporation' AS alt1, c.p_name AS alt2
-FROM customer JOIN part a ON a.p_partkey = c_custkey % 200 JOIN part b ON b.p_partkey = (c_custkey * 3) % 200 JOIN part c ON c.p_partkey = (c_custkey * 7 + 5) % 200
+FROM customer JOIN part a ON a.p_partkey = c_custkey JOIN part b ON b.p_partkey = c_custkey + 1 JOIN part c ON c.p_partkey = c_custkey + 2
 """
 
 

@@ -44,7 +44,7 @@ def case_rows(t):
 
 
 def compared(t):
-    return compare.compare_providers(case_rows(t), t.aliases, t.reps, t.rebrands, names.parent_table(t.spark), min_score=None)
+    return compare.compare_providers(case_rows(t), t.aliases, t.reps, t.rebrands, names.parent_table(t.spark))
 
 
 _nul = f"(tenant_raw IS NULL OR lower(trim(tenant_raw)) IN {in_list(rules.TENANT_NULLS)} OR len(trim(tenant_raw)) <= 2)"
@@ -87,7 +87,7 @@ def _(t):
 @query("c4_recompare")
 def _(t):
     stored = cut_lineage(case_rows(t).withColumn("comparison", F.when(F.col("row_id") % 2 == 0, "MATCH").otherwise("MISMATCH")))
-    fresh, change = compare.recompare(stored, t.aliases, t.reps, t.rebrands, names.parent_table(t.spark), min_score=None)
+    fresh, change = compare.recompare(stored, t.aliases, t.reps, t.rebrands, names.parent_table(t.spark))
     return change
 
 
@@ -178,7 +178,7 @@ def _(t):
     return report.catalog_duplicate_pairs(t.results)
 
 
-FLAGS = f"""{segment_ctes('SELECT DISTINCT trim(raw) AS name FROM reported')}, {match_ctes('SELECT segment AS name FROM m_seg', None)},
+FLAGS = f"""{segment_ctes('SELECT DISTINCT trim(raw) AS name FROM reported')}, {match_ctes('SELECT segment AS name FROM m_seg')},
  fl AS MATERIALIZED (SELECT s.name AS raw, bool_or(match_type = 'null_value') AS any_null, bool_or(match_type = 'propane') AS any_propane, bool_or(is_rep) AS any_rep, bool_or(matched) AS any_matched, bool_and(matched) AS all_matched FROM m_seg s JOIN m_match m ON m.name = s.segment GROUP BY 1),
  oc AS MATERIALIZED (SELECT *, CASE WHEN any_null THEN 'null' WHEN any_propane THEN 'propane' WHEN any_rep THEN 'rep' WHEN any_matched THEN 'matched' ELSE 'unmatched' END AS outcome FROM fl),
  ct AS MATERIALIZED (SELECT utility_type, trim(raw) AS raw, count(*) AS n FROM reported WHERE trim(raw) <> '' GROUP BY 1, 2)"""
@@ -188,12 +188,12 @@ FLAGS = f"""{segment_ctes('SELECT DISTINCT trim(raw) AS name FROM reported')}, {
 SELECT scope, CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN outcome = 'matched' OR (outcome = 'rep' AND any_matched) THEN n ELSE 0 END) AS BIGINT) AS matched, CAST(sum(CASE WHEN outcome = 'unmatched' THEN n ELSE 0 END) AS BIGINT) AS unmatched, CAST(sum(CASE WHEN outcome = 'rep' THEN n ELSE 0 END) AS BIGINT) AS rep_flagged,
  CAST(sum(CASE WHEN outcome = 'null' THEN n ELSE 0 END) AS BIGINT) AS null_values, CAST(sum(CASE WHEN outcome = 'propane' THEN n ELSE 0 END) AS BIGINT) AS propane, {pct("sum(CASE WHEN outcome = 'matched' OR (outcome = 'rep' AND any_matched) THEN n ELSE 0 END)", 'sum(n)')} AS matched_pct FROM sc GROUP BY scope""")
 def _(t):
-    return report.coverage_by_type(t.reported, t.aliases, t.reps, min_score=None).withColumns(r6("matched_pct"))
+    return report.coverage_by_type(t.reported, t.aliases, t.reps).withColumns(r6("matched_pct"))
 
 
 @query("g9_comma_split_stats", f"""WITH {FLAGS} SELECT CAST(sum(n) AS BIGINT) AS with_comma, CAST(sum(CASE WHEN any_matched THEN n ELSE 0 END) AS BIGINT) AS some_matched, CAST(sum(CASE WHEN all_matched THEN n ELSE 0 END) AS BIGINT) AS all_matched FROM ct JOIN oc USING (raw) WHERE contains(raw, ',')""")
 def _(t):
-    return report.comma_split_stats(t.reported, t.aliases, t.reps, min_score=None)
+    return report.comma_split_stats(t.reported, t.aliases, t.reps)
 
 
 @query("g10_coverage_exact", f"""WITH c AS (SELECT trim(raw) AS raw, count(*) AS n FROM reported WHERE trim(raw) <> '' GROUP BY 1), j AS (SELECT c.*, alias_lower IS NOT NULL AS hit FROM c LEFT JOIN alias_index ON alias_lower = lower(regexp_replace(raw, '\\s+', ' ', 'g')))
@@ -208,12 +208,12 @@ def _top(outcome: str, n: int) -> str:
 
 @query("g11_top_unmatched", _top("unmatched", 50))
 def _(t):
-    return report.top_unmatched(t.reported, t.aliases, t.reps, min_score=None)
+    return report.top_unmatched(t.reported, t.aliases, t.reps)
 
 
 @query("g11_top_rep", _top("rep", 30))
 def _(t):
-    return report.top_unmatched(t.reported, t.aliases, t.reps, 30, "rep", min_score=None)
+    return report.top_unmatched(t.reported, t.aliases, t.reps, 30, "rep")
 
 
 FREQ = """freq AS MATERIALIZED (SELECT utility_type, name, count(*) AS n FROM (SELECT utility_type, trim(raw) AS name FROM reported WHERE trim(raw) <> '' UNION ALL
@@ -353,17 +353,12 @@ def _(t):
 
 
 # ---- sorts, limits -----------------------------------------------------------
-@query("k1_review_queue_order", f"SELECT CAST(row_number() OVER (ORDER BY CASE comparison WHEN 'MISMATCH' THEN 0 WHEN 'MATCH_ALT' THEN 1 ELSE 2 END, state, utility_type, row_id) AS INT) AS place, row_id FROM results WHERE {DUE} ORDER BY place LIMIT 1000")
+@query("k1_review_queue_order", f"SELECT CAST(row_number() OVER (ORDER BY CASE comparison WHEN 'MISMATCH' THEN 0 WHEN 'MATCH_ALT' THEN 1 ELSE 2 END, state, utility_type, row_id) AS INT) AS place, row_id FROM results WHERE {DUE}")
 def _(t):
     from gridlocus.functions.predicates import needs_review_queue
 
     due = t.results.where(needs_review_queue("comparison", "engine_confidence", "tenant_raw", "engine_provider", "engine_catalog_id"))
-    # The feature is the first page of the queue; its places are numbered after the cut.
-    page = due.orderBy(*review.review_order("comparison", "state", "utility_type"), "row_id").limit(1000)
-    from pyspark.sql import Window
-
-    order = [*review.review_order("comparison", "state", "utility_type"), F.col("row_id")]
-    return page.select("row_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return report.numbered(due, [*review.review_order("comparison", "state", "utility_type"), F.col("row_id")], "place").select("row_id", F.col("place").cast("int").alias("place"))
 
 
 @query("k2_most_common", "SELECT raw, count(*) AS n FROM reported GROUP BY raw ORDER BY n DESC, raw LIMIT 20")
@@ -378,10 +373,7 @@ def _(t):
 
 @query("k4_alphabetical_dictionary", "SELECT canonical_id, CAST(row_number() OVER (ORDER BY lower(canonical_id)) AS INT) AS place FROM canonicals")
 def _(t):
-    from pyspark.sql import Window
-
-    # One row per dictionary entry: the numbered listing of the whole dictionary.
-    return t.canonicals.select("canonical_id", F.row_number().over(Window.orderBy(F.lower("canonical_id"))).alias("place"))
+    return report.numbered(t.canonicals, [F.lower("canonical_id")], "place").select("canonical_id", F.col("place").cast("int").alias("place"))
 
 
 @query("k6_examples_per_group", "SELECT utility_type, comparison, row_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY utility_type, comparison ORDER BY row_id) AS INT) AS rank FROM results) q WHERE rank <= 5")

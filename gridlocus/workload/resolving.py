@@ -243,7 +243,7 @@ def _(t):
 # ---- contacts, broadband, geocoding, cache -----------------------------------
 BINDINGS["providers_asked"] = f"""
 SELECT DISTINCT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE canonical_id END AS canonical_id, CASE WHEN c_custkey % 3 = 0 THEN canonical_id ELSE display_name END AS provider_name, {pick('c_custkey % 3', ['electric', 'gas', 'water'])} AS utility_type
-FROM customer JOIN part ON p_partkey = c_custkey % 200 JOIN canonicals ON canonical_id = p_name
+FROM customer JOIN part ON p_partkey = c_custkey JOIN canonicals ON canonical_id = p_name
 """
 
 
