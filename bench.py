@@ -17,6 +17,7 @@ HEADLINE = [
     "j11_zip_dominance_join", "j7_correction_near_point", "v2_dedupe_and_boost", "v10_primary_with_alternatives",
     "c6_accuracy_by_type", "g3_top_mismatch_pairs", "g8_coverage_by_type", "q2_build_review_queue",
     "w5_rolling_24h_count", "w7_consecutive_failures", "n1_match_name",
+    "n6_match_catalog", "c1_compare_providers", "g24_territory_overlap", "v17_lookup",
 ]
 
 

@@ -303,7 +303,7 @@ SELECT row_id, p.catalog_id, coalesce(CAST(x.catalog_id AS VARCHAR), '-') || '|'
 FROM r LEFT JOIN lk p ON p.type_id = r.type_id AND p.norm = provider LEFT JOIN lk x ON x.type_id = r.type_id AND x.norm = replace(alt1, ' Corporation', '') LEFT JOIN lk y ON y.type_id = r.type_id AND y.norm = alt2""")
 def _(t):
     rows = t.answer_rows.select("row_id", "utility_type", "state", "provider", F.array(F.struct(F.col("alt1").alias("provider")), F.struct(F.col("alt2").alias("provider"))).alias("alternatives"))
-    out = catalog.attach_catalog_ids(rows, prepared(t), fuzzy=False)
+    out = catalog.attach_catalog_ids(rows, prepared(t))
     return out.select("row_id", "catalog_id", F.array_join(F.transform("alternatives", lambda a: F.coalesce(a["catalog_id"].cast("string"), F.lit("-"))), "|").alias("alt_ids"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridlocus.functions import address, predicates, text
 from gridlocus.functions.similarity import lcs_length
-from gridlocus.operators import activity, blocking, compare, dictionary, lookups, names, resolve, spatial
+from gridlocus.operators import activity, blocking, catalog, compare, dictionary, lookups, names, report, resolve, spatial
 from gridlocus.sources import readers
 
 
@@ -242,3 +242,36 @@ def test_state_config_and_dictionary_readers(spark):
     assert {(r.utility_type, r.state, r.kind, r.is_fallback) for r in layers.collect()} == {
         ("gas", "TX", "arcgis", False), ("gas", "TX", "arcgis", True), ("electric", "HI", "coordinate_mapping", False), ("electric", "DC", "single_utility", False)}
     assert regions.first()["name"] == "H"
+
+
+def test_alias_chains_and_cycles_are_closed(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("t", "c"), ("k", "k"), *[(f"n{i:02}", f"n{i + 1:02}") for i in range(20)]]
+    got = {r.alias_id: r.canonical_id for r in catalog.close_catalog_aliases(spark.createDataFrame(pairs, "alias_id string, canonical_id string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "t": "a", "k": "k", **{f"n{i:02}": "n20" for i in range(20)}}
+    assert catalog.close_catalog_aliases(spark.createDataFrame([], "alias_id string, canonical_id string")).count() == 0
+
+
+def test_every_row_is_numbered_in_order(spark):
+    df = spark.range(0, 5000, 1, 9).withColumn("k", F.pmod(F.hash("id"), F.lit(700)))
+    got = {r.id: r.place for r in report.numbered(df, [F.col("k"), F.col("id")], "place").collect()}
+    want = sorted(df.collect(), key=lambda r: (r.k, r.id))
+    assert got == {r.id: i + 1 for i, r in enumerate(want)}
+
+
+def test_a_cut_plan_knows_its_size(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(256)], "a int, b int")
+    found = dictionary.connected_components(chain)
+    assert {r.component for r in found.collect()} == {0}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 24
+
+
+def test_names_keep_letters_outside_ascii(spark):
+    row = spark.range(1).select(text.norm_key(F.lit("Peñasco  Water!")).alias("a"), text.normalize_catalog_title(F.lit("Peñasco Water")).alias("b")).first()
+    assert row.a == "peñasco water" and "peñasco" in row.b
+
+
+def test_no_alternatives_stay_an_empty_array(spark):
+    entries = catalog.prepare_catalog(spark.createDataFrame([(1, "2", "X Power", 0)], "catalog_id long, type_id string, title string, ordinal int"))
+    rows = spark.createDataFrame([(1, "electric", "TX", "X Power", [])], "row_id int, utility_type string, state string, provider string, alternatives array<struct<provider:string>>")
+    out = catalog.attach_catalog_ids(rows, entries).first()
+    assert out.alternatives == [] and out.catalog_id == 1
