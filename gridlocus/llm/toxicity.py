@@ -1,17 +1,17 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct byte n-grams (3 to 5 bytes, A-Z lower-cased, other letters by Unicode lower case) inside words,
-with a mark at each word's ends.  For every feature the documents of either class that hold it are counted over all
-labelled training rows; r is the log ratio of its smoothed shares.  The features with the strongest evidence
+Features are the distinct byte n-grams (3 to 5 bytes of the Unicode lower case) inside words, with a mark at each word's ends,
+hashed into ``SLOTS`` slots.  For every slot the documents of either class that hold it are counted over all
+labelled training rows; r is the log ratio of its smoothed shares.  The slots with the strongest evidence
 (|r| * sqrt(count), at most ``features``) stay, and a logistic regression is fitted on presence * r.
 
-The counts use every training row.  The regression is fitted on at most ``fit_rows`` of them (the documented bound; those
-with the smallest hash of the id, so the choice does not depend on the layout).  The model is a table of at most
+The counts use every training row.  The regression is fitted on about ``fit_rows`` of them (the documented bound; the
+rows whose id has a small hash, so the choice does not depend on the layout).  The model is a table of at most
 ``features`` weights, whatever the corpus.
 
 Cases: a null text is an empty text and gets the model's score for no features; rows without a label are scored and not
 learned from; a label row without a document is ignored; repeated rows are learned and scored as often as they occur;
-labels of one class only, or no labels, give a constant score (the share of toxic labels, 0 without any); an empty table gives an empty table;
+labels of one class only, or no labels, give a constant score (1 if all are toxic, else 0); an empty table gives an empty table;
 other columns are kept out of the score."""
 
 from __future__ import annotations
@@ -24,86 +24,90 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridlocus.llm.textual import GOLDEN, U64, mix, parts_of, text_bytes
+from gridlocus.llm.textual import U64, parts_of, text_bytes
 
 GRAMS = (3, 4, 5)
-SALTS = {n: U64(n * int(GOLDEN) % 2**64) for n in GRAMS}
-FEATURES = 20_000
-FIT_ROWS = 30_000
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
+SPREAD = U64(0x9E3779B97F4A7C15)
+FEATURES = 4096
+FIT_ROWS = 12_000
 LEAST_DOCS = 3
+BROADCAST_ROWS = 1_000_000
 #: Bytes that end a word: everything in ASCII but letters, digits and the apostrophe.
 BREAKS = np.array([b < 128 and not (chr(b).isalnum() or chr(b) == "'") for b in range(256)])
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every n-gram of all texts, the text it is in)."""
+def gram_slots(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """([(slot of the n-gram at every byte, whether it is one)] per n, first byte of every text and the end)."""
     data, offsets = text_bytes(pc.utf8_lower(column.fill_null("")))
-    breaks = BREAKS[data]
-    # one break between and around texts, so that no gram crosses
+    # a break before, between and behind the texts, so that no gram crosses
     lengths = np.diff(offsets)
-    spaced = np.full(len(data) + len(lengths) + 1, 0x20, np.uint8)
-    at = np.arange(len(data)) + np.repeat(np.arange(len(lengths)), lengths) + 1
-    spaced[at] = np.where(breaks, 0x20, data)
+    spaced = np.full(len(data) + len(lengths) + 9, 0x20, np.uint8)
     heads = offsets + np.arange(len(offsets))
-    padded = np.concatenate([spaced, np.zeros(8, np.uint8)])
-    eights = np.ndarray((len(spaced),), "<u8", padded, strides=(1,))
-    space = spaced == 0x20
-    inner = np.concatenate([[0], np.cumsum(space)])
-    hashes, places = [], []
-    for size in GRAMS:
-        n = len(spaced) - size + 1
-        if n <= 0:
-            continue
-        # a break only as the first or the last byte, and letters between
-        ok = np.flatnonzero(inner[size - 1 : size - 1 + n] - inner[1 : n + 1] == 0)
-        mask = U64((1 << (8 * size)) - 1)
-        hashes.append(mix((eights[ok] & mask) + SALTS[size]))
-        places.append(ok)
-    if not hashes:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    hashes, places = np.concatenate(hashes), np.concatenate(places)
-    return hashes, np.searchsorted(heads, places, "right") - 1
+    inner = np.ones(len(data) + len(lengths) + 1, bool)
+    inner[heads] = False
+    spaced[: len(inner)][inner] = np.where(BREAKS[data], 0x20, data)
+    n = len(inner)
+    eights = np.ndarray((n,), "<u8", spaced, strides=(1,)).copy()
+    letter = spaced != 0x20
+    out, whole = [], np.ones(n, bool)
+    for size in GRAMS:  # a break only as the first or the last byte
+        first = 1 if size == GRAMS[0] else size - 2
+        for k in range(first, size - 1):
+            whole = whole & letter[k : k + n]
+        tagged = (eights & U64((1 << (8 * size)) - 1)) | U64(size << 56)
+        tagged *= SPREAD
+        tagged >>= U64(64 - SLOT_BITS)
+        out.append((tagged.astype(np.int32), whole))
+    return out, heads
 
 
 def counted(train: DataFrame) -> DataFrame:
     """(feature, toxic, clean): training documents of each class with the feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, SLOTS), np.int32)
+        seen = np.zeros(SLOTS, np.int32)
         for part in parts_of(batches, "text", 2 << 20):
-            label = part.column("label").to_numpy()
-            hashes, docs = grams(part.column("text"))
-            order = np.lexsort((docs, hashes))
-            h, d = hashes[order], docs[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            h, toxic = h[new], label[d[new]]
-            values, first, count = np.unique(h, return_index=True, return_counts=True)
-            bad = np.add.reduceat(toxic, first) if len(first) else count
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(bad.astype(np.int64)), pa.array((count - bad).astype(np.int64))], ["feature", "toxic", "clean"])
+            slots, heads = gram_slots(part.column("text"))
+            for label, (a, b) in zip(part.column("label").to_pylist(), pairwise(heads.tolist())):
+                mine = np.concatenate([s[a:b][ok[a:b]] for s, ok in slots])
+                number = np.arange(len(mine), dtype=np.int32)
+                seen[mine] = number
+                counts[label][mine[seen[mine] == number]] += 1
+        found = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[1][found].astype(np.int64)), pa.array(counts[0][found].astype(np.int64))], ["feature", "toxic", "clean"])
 
     return train.mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 class Model:
-    """Weights of feature hashes (ascending) and a constant."""
+    """Weights of slots (ascending) and a constant."""
 
     def __init__(self, features: np.ndarray, weights: np.ndarray, constant: float):
         self.features, self.weights, self.constant = features, weights, constant
-        self.sieve = np.zeros(1 << 20, bool)  # most n-grams are ruled out by one look-up
-        self.sieve[(features & U64((1 << 20) - 1)).astype(np.int64)] = True
+        self._numbers = None
 
     def present(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text, feature number) of a column."""
-        hashes, docs = grams(column)
-        if not len(self.features) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        maybe = self.sieve[(hashes & U64((1 << 20) - 1)).astype(np.int64)]
-        hashes, docs = hashes[maybe], docs[maybe]
-        at = np.minimum(np.searchsorted(self.features, hashes), len(self.features) - 1)
-        hit = self.features[at] == hashes
-        pairs = np.unique(docs[hit] * len(self.features) + at[hit])
-        return pairs // len(self.features), pairs % len(self.features)
+        """Distinct (text, feature number) of a column, ascending."""
+        if self._numbers is None:
+            self._numbers = np.zeros(SLOTS, np.int16)
+            self._numbers[self.features] = np.arange(1, len(self.features) + 1)
+        slots, heads = gram_slots(column)
+        found, places = [], []
+        for slot, ok in slots:
+            number = self._numbers[slot]
+            at = np.flatnonzero((number != 0) & ok)
+            found.append(number[at].astype(np.int64) - 1)
+            places.append(np.searchsorted(heads, at, "right") - 1)
+        pairs = np.unique(np.concatenate(places) * SLOTS + np.concatenate(found))
+        return pairs // SLOTS, pairs % SLOTS
+
+    def __getstate__(self):
+        return self.__dict__ | {"_numbers": None}
 
     def scores(self, column: pa.Array) -> np.ndarray:
         docs, at = self.present(column)
@@ -111,14 +115,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def logistic(docs: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression on sparse rows by gradient steps with momentum.  Classes weigh the same in sum."""
+def logistic(docs: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression on sparse rows by gradient steps with momentum.  In sum, clean rows weigh twice as
+    much as toxic ones, whatever their numbers."""
     n = len(y)
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    share = np.where(y == 1, 1 / 3 / max(1, (y == 1).sum()), 2 / 3 / max(1, (y == 0).sum()))
     w = v = np.zeros(n_features)
     c = u = 0.0
     sizes = np.bincount(docs, x * x, n)
-    rate = 4 / (np.average(sizes, weights=share) + 1) / 4
+    rate = 1 / (np.average(sizes, weights=share) + 1)
     for k in range(rounds):
         ahead, above = w + 0.9 * v, c + 0.9 * u
         z = above + np.bincount(docs, x * ahead[at], n)
@@ -136,11 +141,11 @@ def train_model(labelled: DataFrame, features: int = FEATURES, fit_rows: int = F
     n, toxic = totals["n"], totals["toxic"] or 0
     if not 0 < toxic < n:
         share = toxic / n if n else 0.0
-        return Model(np.zeros(0, U64), np.zeros(0), 500.0 if share == 1 else -500.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), 500.0 if share == 1 else -500.0)
     ratio = F.log((F.col("toxic") + 1) / (toxic + 2)) - F.log((F.col("clean") + 1) / (n - toxic + 2))
     best = counted(labelled).where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).withColumn("r", ratio)
     best = best.orderBy(F.desc(F.abs("r") * F.sqrt(F.col("toxic") + F.col("clean"))), "feature").limit(features).toArrow()
-    hashes, r = best["feature"].to_numpy().view(U64), best["r"].to_numpy()
+    hashes, r = best["feature"].to_numpy(), best["r"].to_numpy()
     order = np.argsort(hashes)
     model = Model(hashes[order], r[order], 0.0)
     shared = labelled.sparkSession.sparkContext.broadcast(model)
@@ -151,8 +156,8 @@ def train_model(labelled: DataFrame, features: int = FEATURES, fit_rows: int = F
             bounds = np.searchsorted(docs, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(at.astype(np.int32)))], ["label", "found"])
 
-    # at most fit_rows rows of at most ``features`` small numbers come to the driver
-    part = labelled.orderBy(F.xxhash64("doc"), "doc", F.xxhash64("text")).limit(fit_rows) if n > fit_rows else labelled
+    # about fit_rows rows of at most ``features`` small numbers come to the driver
+    part = labelled.where(F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < (fit_rows << 20) // n)
     fit = part.mapInArrow(rows, "label long, found array<int>").toArrow().combine_chunks()
     lists = fit["found"].combine_chunks()
     at = lists.flatten().to_numpy()
@@ -170,8 +175,6 @@ def scored(df: DataFrame, model: Model, text: str = "text", name: str = "score")
         for part in parts_of(batches, text):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(text)))], [*part.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
 
 
@@ -183,4 +186,7 @@ def held_out(key: str) -> Column:
 def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc, text, label) of the labelled rows outside the held-out fold."""
     known = labels.select(F.col(key).alias("doc"), F.col(label).alias("label")).where("label is not null and doc is not null")
-    return documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(known, "doc").where(~held_out("doc"))
+    known = known.where(~held_out("doc"))
+    if known.count() <= BROADCAST_ROWS:  # two numbers a row; more labels are joined by a shuffle
+        known = F.broadcast(known)
+    return documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(known, "doc")
