@@ -15,8 +15,9 @@ a partner must share that many more prefix shingles before it is worth verifying
   its dear ones): dear shingles need not be read, as r >= 1 cheap ones are always shared.  A
   document without such an l (nearly all its shingles are dear) is open: l = 1 and all are read.
 * Groups: equal sets are one node from the start.  In a few star rounds, each document is verified against one
-  document of the buckets it is in (chosen anew by hash in each round).  The last round takes the pairs of all
-  buckets whose ends are still in different components, so a group of m near copies costs about m pairs, not m * m.
+  document of the buckets it is in (chosen anew by hash in each round).  The members of a star are then compared with each
+  other by their differences from the star's centre, which are small, so that only those who share a difference meet.  The last
+  round takes the pairs of all buckets whose ends are still in different components and have no star in common.
 * Need: the members of A's prefix that B lacks cannot be shared, so with a partner of size m a document needs
   l + ceil(percent * (n + m) / (100 + percent)) - t shared prefix shingles; the lesser of both sides' needs holds.
 * Verification is exact on the sets of the whole texts.
@@ -46,7 +47,7 @@ COMMON = 8
 COMMON_MOST = 1_000_000
 BROADCAST_ROWS = 1_000_000
 VERIFY_COST = 24
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 TOP = U64(1) << U64(63)
 
 
@@ -69,7 +70,7 @@ def common_shingles(df: DataFrame, text: str, width: int, lower: bool) -> np.nda
     slices of the documents and summed, so a count is a lower bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts_of(batches, text, 6 << 20):
+        for part in parts_of(batches, text, 4 << 20):
             tokens, counts = np.unique(shingle_sets(part.column(text), width, lower)[0], return_counts=True)
             more = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(tokens[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], ["token", "n"])
@@ -168,9 +169,10 @@ def chosen(repeated: DataFrame, percent: int) -> DataFrame:
     return repeated.mapInArrow(run, "doc long, n long, token long, dear boolean, r long, open boolean")
 
 
-def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int, lower: bool) -> DataFrame:
-    """The pairs (x, y) whose sets really are similar.  The pair list is broadcast to the scan of the
-    texts while it is short; a longer one is joined by a shuffle."""
+def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int, lower: bool, differences: bool = False) -> DataFrame:
+    """The pairs (x, y) whose sets really are similar.  With ``differences`` all pairs come back, with ``linked``, the sizes
+    nx and ny, and the members that only one set has, where these are fewer than 30 % of either (else null).  The pair
+    list is broadcast to the scan of the texts while it is short; a longer one is joined by a shuffle."""
     short = pairs.count() <= BROADCAST_ROWS
     ends = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("doc"))
     side = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
@@ -188,12 +190,63 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, p
                     tokens, offsets = shingle_sets(lists.flatten(), width, lower)
                     sets.append(([tokens[a:b] for a, b in pairwise(offsets.tolist())], lists.offsets.to_numpy() - lists.offsets[0].as_py()))
                 (xs, xo), (ys, yo) = sets
-                good = []
+                good, sizes, apart = [], [[], []], []
                 for i in range(part.num_rows):
-                    good.append(any(similar(p, q, percent) for p in xs[xo[i] : xo[i + 1]] for q in ys[yo[i] : yo[i + 1]]))
-                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y")], ["x", "y"]).filter(pa.array(good, pa.bool_()))
-
-    return stored(both.mapInArrow(run, "x long, y long"), "links")
+                    ours, theirs = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
+                    good.append(any(similar(p, q, percent) for p in ours for q in theirs))
+                    if differences:
+                        p, q = ours[0], theirs[0]
+                        only = np.setxor1d(p, q, assume_unique=True) if len(ours) == len(theirs) == 1 else None
+                        sizes[0].append(len(p))
+                        sizes[1].append(len(q))
+                        apart.append(only.view(np.int64) if only is not None and 10 * len(only) < 3 * min(len(p), len(q)) else None)
+                out = [part.column("x"), part.column("y")]
+                if differences:
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(good, pa.bool_()), *(pa.array(n, pa.int64()) for n in sizes), pa.array(apart, pa.list_(pa.int64()))], ["x", "y", "linked", "nx", "ny", "apart"])
+                else:
+                    yield pa.RecordBatch.from_arrays(out, ["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    more = ", linked boolean, nx long, ny long, apart array<long>" if differences else ""
+    return stored(both.mapInArrow(run, "x long, y long" + more), "links")
+
+
+def star_members(stars: DataFrame) -> DataFrame:
+    """(doc, pivot, n, apart): the documents of each star whose difference from the pivot is known, and the pivot."""
+    known = stars.where("apart is not null")
+    one = known.select(F.col("doc"), "pivot", F.when(F.col("doc") == F.col("x"), F.col("nx")).otherwise(F.col("ny")).alias("n"), "apart")
+    centre = known.groupBy("pivot").agg(F.first(F.when(F.col("pivot") == F.col("x"), F.col("nx")).otherwise(F.col("ny"))).alias("n"))
+    return one.unionByName(centre.select(F.col("pivot").alias("doc"), "pivot", "n", F.array().cast("array<bigint>").alias("apart")))
+
+
+def links_within_stars(members: DataFrame, percent: int) -> DataFrame:
+    """(x, y): links that connect every two similar members of a star, found from differences alone.
+
+    With d the difference from the pivot, the difference of x and y is |d_x| + |d_y| - 2 |d_x and d_y|, and they are similar
+    if (100 + percent) times it is at most (100 - percent) (n_x + n_y).  Two members that share nothing in their differences
+    and are similar are both similar to the member with the least slack.  Of the others, with |d_x| <= |d_y| and at most D tokens
+    in which x and y may differ, at least |d_x| - D / 2 and |d_y| - D tokens are shared, so that they meet in the first
+    D / 2 + 1 tokens of d_x and D + 1 of d_y in any common order; rare ones come first."""
+    up, down = 100 + percent, 100 - percent
+    with_slack = members.withColumn("slack", up * F.size("apart") - down * F.col("n"))
+    least = stored(with_slack.groupBy("pivot").agg(F.min(F.struct("slack", "doc")).alias("m")), "least")
+    placed = stored(with_slack.join(least, "pivot").withColumn("close", F.col("slack") + F.col("m.slack") <= 0), "placed")
+    near = placed.where("close and doc <> m.doc").select(F.least("doc", "m.doc").alias("x"), F.greatest("doc", "m.doc").alias("y"))
+    rows = placed.select("pivot", "doc", "n", "close", F.size("apart").alias("d"), F.explode("apart").alias("token"))
+    often = stored(rows.groupBy("pivot", "token").agg(F.count("*").alias("m"), F.min("close").alias("all_close")), "often")
+    # each difference in ascending order of how many members share its tokens
+    order = Window.partitionBy("pivot", "doc").orderBy("m", "token")
+    rows = stored(rows.join(often, ["pivot", "token"]).withColumn("at", F.row_number().over(order)).where("m > 1 and not all_close"), "differences")
+    a, b = rows.alias("a"), rows.alias("b")
+    # most tokens that may differ, D, and the members' first D / 2 or D tokens
+    most = f"(({down} * (a.n + b.n)) div {up})"
+    met = a.join(b, F.expr(f"""a.pivot = b.pivot and a.token = b.token and not (a.close and b.close) and (a.d < b.d or a.d = b.d and a.doc < b.doc)
+        and a.at <= {most} div 2 + 1 and b.at <= {most} + 1 and b.d - a.d <= {most}"""))
+    pairs = stored(met.select("a.pivot", F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).distinct(), "candidates")
+    side = lambda c: placed.select("pivot", F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("apart").alias(f"apart_{c}"))
+    both = pairs.join(side("x"), ["pivot", "x"]).join(side("y"), ["pivot", "y"])
+    differ = F.size("apart_x") + F.size("apart_y") - 2 * F.size(F.array_intersect("apart_x", "apart_y"))
+    shared = both.where(up * differ <= down * (F.col("nx") + F.col("ny"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return stored(near.unionByName(shared), "links")
 
 
 def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -213,33 +266,40 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = stored(sets.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), "classes")
     heads = sets.where("n > 0").join(classes.select(F.col("rep").alias("doc"), "n", "s1", "s2"), ["doc", "n", "s1", "s2"]).dropDuplicates(["doc", "n", "s1", "s2"])
     entries = stored(heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token")), "entries")
-    counts = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    counts = stored(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     repeated = entries.join(counts, "token").groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "token", "df")).alias("found"))
     buckets = stored(chosen(repeated, percent), "buckets")
 
-    links = None
+    links, stars = None, None
     named = buckets.withColumn("label", F.col("doc"))
     for turn in range(STAR_ROUNDS + 1):
         apart = named.groupBy("token").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("any_open"), F.max("dear").alias("is_dear"),
             F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "label")).alias("p")).where("lo < hi")
+        apart = stored(apart, "apart")
         if turn < STAR_ROUNDS:  # each document with one document of the bucket that it meets most
             near = F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent
-            stars = named.join(apart.select("token", "p"), "token").where("label <> p.label").where(near).groupBy("doc", F.col("p.doc").alias("pivot")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+            met = named.join(apart.select("token", "p"), "token").where("label <> p.label").where(near).groupBy("doc", F.col("p.doc").alias("pivot")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
             enough = F.col("shared") * 4 >= F.col("n") * (100 - percent) / 100
-            best = stars.where(enough).groupBy("doc").agg(F.max(F.struct("shared", "pivot")).alias("b"))
-            pairs = best.select(F.least("doc", "b.pivot").alias("x"), F.greatest("doc", "b.pivot").alias("y")).distinct()
-        else:  # every pair that is still apart
+            best = met.where(enough).groupBy("doc").agg(F.max(F.struct("shared", "pivot")).alias("b"))
+            rays = stored(best.select("doc", F.col("b.pivot").alias("pivot")), "rays")
+            ends = [F.least("doc", "pivot").alias("x"), F.greatest("doc", "pivot").alias("y")]
+            compared = verified(stored(rays.select(*ends).distinct(), "pairs"), with_id, key, text, width, percent, lower, differences=True)
+            members = stored(star_members(rays.select("doc", "pivot", *ends).join(compared, ["x", "y"])), "members")
+            found = compared.where("linked").select("x", "y").unionByName(links_within_stars(members, percent))
+            stars = members.select("doc", "pivot") if stars is None else stars.unionByName(members.select("doc", "pivot"))
+        else:  # every pair that is still apart and in no common star
             left = named.join(apart.where("any_open or not is_dear").select("token"), "token")
-            left = stored(left, "apart")
+            left = left.join(stored(stars.groupBy("doc").agg(F.collect_set("pivot").alias("stars")), "stars"), "doc", "left")
+            left = stored(left.withColumn("stars", F.coalesce("stars", F.array().cast("array<bigint>"))), "left")
             a, b = left.alias("a"), left.alias("b")
             met = a.join(b, F.expr(f"""a.token = b.token and a.doc < b.doc and a.label <> b.label and (not a.dear or a.open or b.open)
-                and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent}"""))
+                and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} and not arrays_overlap(a.stars, b.stars)"""))
             both = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
             own = lambda x: f"{x}.r + {both} - (({percent} * {x}.n + 99) div 100)"
             counted = met.groupBy(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).agg(F.count("*").alias("shared"), F.min(F.expr(f"least({own('a')}, {own('b')})")).alias("needed"))
-            pairs = counted.where("shared >= needed").select("x", "y")
-        found = verified(stored(pairs, "pairs"), with_id, key, text, width, percent, lower)
+            pairs = stored(counted.where("shared >= needed").select("x", "y"), "pairs")
+            found = verified(pairs, with_id, key, text, width, percent, lower)
         links = found if links is None else links.unionByName(found)
         groups = stored(components(links), "groups")
         named = buckets.join(groups, buckets.doc == groups.node, "left").select(*buckets.columns, F.coalesce("label", "doc").alias("label"))
