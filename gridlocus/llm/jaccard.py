@@ -18,8 +18,8 @@ a partner must share that many more prefix shingles before it is worth verifying
   document of the buckets it is in (chosen anew by hash in each round).  The members of a star are then compared with each
   other by their differences from the star's centre, which are small, so that only those who share a difference meet.  The last
   round takes the pairs of all buckets whose ends are still in different components and have no star in common.
-* Need: the members of A's prefix that B lacks cannot be shared, so with a partner of size m a document needs
-  l + ceil(percent * (n + m) / (100 + percent)) - t shared prefix shingles; the lesser of both sides' needs holds.
+* Need: with a partner of size m, a document of size n shares at least T = ceil(percent * (n + m) / (100 + percent)), so
+  for that pair only the first n - T + l of its prefix count.
 * Verification is exact on the sets of the whole texts.
 
 Cases: a text that is null or without words has the empty set and links with nothing; a text with
@@ -141,7 +141,7 @@ def chosen(repeated: DataFrame, percent: int) -> DataFrame:
             pos, token, df = (fields.field(x).to_numpy() for x in ("pos", "token", "df"))
             bounds = found.offsets.to_numpy() - found.offsets[0].as_py()
             base, most = lengths(sizes, percent)
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], [], [], [], []]
             for i, (a, b) in enumerate(pairwise(bounds.tolist())):
                 p, f = pos[a:b], df[a:b]
                 l = np.arange(1, most[i] + 1)
@@ -163,15 +163,17 @@ def chosen(repeated: DataFrame, percent: int) -> DataFrame:
                 out[3].append(df[use] > DEAR)
                 out[4].append(np.full(len(use), 1 if is_open else r[best]))
                 out[5].append(np.full(len(use), is_open))
+                out[6].append(pos[use].astype(np.int64))
+                out[7].append(np.full(len(use), best + 1))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), *(pa.array(np.concatenate(x)) for x in out[1:])], ["doc", "n", "token", "dear", "r", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0]), *(pa.array(np.concatenate(x)) for x in out[1:])], ["doc", "n", "token", "dear", "r", "open", "pos", "l"])
 
-    return repeated.mapInArrow(run, "doc long, n long, token long, dear boolean, r long, open boolean")
+    return repeated.mapInArrow(run, "doc long, n long, token long, dear boolean, r long, open boolean, pos long, l long")
 
 
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int, lower: bool, differences: bool = False) -> DataFrame:
     """The pairs (x, y) whose sets really are similar.  With ``differences`` all pairs come back, with ``linked``, the sizes
-    nx and ny, and the members that only one set has, where these are fewer than 30 % of either (else null).  The pair
+    nx and ny, and the members that only one set has, where these are fewer than a quarter of either (else null).  The pair
     list is broadcast to the scan of the texts while it is short; a longer one is joined by a shuffle."""
     short = pairs.count() <= BROADCAST_ROWS
     ends = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("doc"))
@@ -199,7 +201,7 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, p
                         only = np.setxor1d(p, q, assume_unique=True) if len(ours) == len(theirs) == 1 else None
                         sizes[0].append(len(p))
                         sizes[1].append(len(q))
-                        apart.append(only.view(np.int64) if only is not None and 10 * len(only) < 3 * min(len(p), len(q)) else None)
+                        apart.append(only.view(np.int64) if only is not None and 4 * len(only) < min(len(p), len(q)) else None)
                 out = [part.column("x"), part.column("y")]
                 if differences:
                     yield pa.RecordBatch.from_arrays([*out, pa.array(good, pa.bool_()), *(pa.array(n, pa.int64()) for n in sizes), pa.array(apart, pa.list_(pa.int64()))], ["x", "y", "linked", "nx", "ny", "apart"])
@@ -293,11 +295,11 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wi
             left = left.join(stored(stars.groupBy("doc").agg(F.collect_set("pivot").alias("stars")), "stars"), "doc", "left")
             left = stored(left.withColumn("stars", F.coalesce("stars", F.array().cast("array<bigint>"))), "left")
             a, b = left.alias("a"), left.alias("b")
-            met = a.join(b, F.expr(f"""a.token = b.token and a.doc < b.doc and a.label <> b.label and (not a.dear or a.open or b.open)
-                and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} and not arrays_overlap(a.stars, b.stars)"""))
             both = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
-            own = lambda x: f"{x}.r + {both} - (({percent} * {x}.n + 99) div 100)"
-            counted = met.groupBy(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).agg(F.count("*").alias("shared"), F.min(F.expr(f"least({own('a')}, {own('b')})")).alias("needed"))
+            met = a.join(b, F.expr(f"""a.token = b.token and a.doc < b.doc and a.label <> b.label and (not a.dear or a.open or b.open)
+                and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} and a.pos < a.n - {both} + a.l and b.pos < b.n - {both} + b.l
+                and not arrays_overlap(a.stars, b.stars)"""))
+            counted = met.groupBy(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).agg(F.count("*").alias("shared"), F.min(F.least("a.r", "b.r")).alias("needed"))
             pairs = stored(counted.where("shared >= needed").select("x", "y"), "pairs")
             found = verified(pairs, with_id, key, text, width, percent, lower)
         links = found if links is None else links.unionByName(found)
