@@ -241,12 +241,13 @@ def repeated_spans(df: DataFrame, width: int = 50, gram: int = 20, shard: int =
     copies = stored(copies.select("doc", "sig", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans")).distinct(), "copies")
     heads = prints.join(classes.select("same", F.col("head").alias("doc")), ["same", "doc"])
     entries = heads.select("doc", "sig", F.explode("prints").alias("print"))
-    often = entries.groupBy("print").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("print")
+    # the small sides are tables of their own, so that a hot print or window is a join key the planner can split
+    often = stored(entries.groupBy("print").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("print"), "often")
     found = stored(entries.join(often, "print").groupBy("doc", "sig").agg(F.collect_set("print").alias("found")), "found")
     runs = candidate_runs(df.join(found, ["doc", "sig"]), width, gram)
     windows = runs.select("doc", "sig", "start", F.posexplode("windows").alias("i", "h"))
     place = F.struct("doc", "sig", (F.col("start") + F.col("i")).alias("p"))
-    firsts = windows.groupBy("h").agg(F.min(place).alias("first"), F.max("doc").alias("hi")).where("first.doc < hi").select("h", "first")
+    firsts = stored(windows.groupBy("h").agg(F.min(place).alias("first"), F.max("doc").alias("hi")).where("first.doc < hi").select("h", "first"), "firsts")
     with_first = windows.join(firsts, "h").groupBy("doc", "sig", "start").agg(F.collect_list(F.struct("i", "first.doc", "first.sig", "first.p")).alias("firsts"))
     placed = placed_runs(with_first.join(runs.select("doc", "sig", "start", "words"), ["doc", "sig", "start"]), width, shard)
     reference = placed.where("doc is null").groupBy("src", "src_sig", "shard").agg(F.collect_set("words").alias("reference"))
