@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridlocus.llm.store import stored
+
 BUDGET = 1024
 HISTORY = 192
 #: Tokens of a turn's marks; also keeps every turn above zero tokens.
@@ -69,9 +71,9 @@ def format_windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     placed = led.join(offsets, ["c", "range"]).withColumn("end", F.col("offset") + F.sum("spent").over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     placed = placed.withColumn("begin", F.col("end") - F.col("spent")).withColumn("stride", stride)
     placed = placed.withColumn("cell", F.when(F.col("is_lead"), 0).otherwise(F.floor(F.col("begin") / F.col("stride")))).withColumn("part", F.when(~F.col("is_lead") & (F.col("tokens") > F.col("stride")), 1).otherwise(0))
-    own = placed.select("c", "id", "cell", "part", "begin", "end", "is_lead", "role", "text", "tokens", "stride", "lead")
+    own = stored(placed.select("c", "id", "cell", "part", "begin", "end", "is_lead", "role", "text", "tokens", "stride", "lead"), "turns")
 
-    windows = own.groupBy("c", "cell", "part").agg(F.min(F.when(~F.col("is_lead"), F.col("begin"))).alias("start"), F.first("lead").alias("lead"), F.first("id").alias("id"), F.max("is_lead").alias("has_lead"))
+    windows = stored(own.groupBy("c", "cell", "part").agg(F.min(F.when(~F.col("is_lead"), F.col("begin"))).alias("start"), F.first("lead").alias("lead"), F.first("id").alias("id"), F.max("is_lead").alias("has_lead")), "windows")
     row = lambda order, role, text, tokens, repeated: F.struct(order.alias("at"), role.alias("role"), text.alias("text"), tokens.alias("tokens"), repeated.alias("repeated"))
     mine = own.select("c", "cell", "part", row(F.when(F.col("is_lead"), F.lit(-1)).otherwise(F.col("begin")), F.col("role"), F.col("text"), F.col("tokens"), F.lit(False)).alias("s"))
     again = windows.where("lead is not null and not has_lead").select("c", "cell", "part", row(F.lit(-1).cast("long"), F.col("lead.role"), F.col("lead.text"), F.col("lead.tokens"), F.lit(True)).alias("s"))
