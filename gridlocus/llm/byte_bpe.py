@@ -35,7 +35,7 @@ WHITE_SPACE = [
 LETTER, SHORT, LONG, NUMBER, OTHER, QUOTE, SPACE_LAST, WHITE_LAST, WHITE, SYMBOLS = range(10)
 # states: what the piece under way is
 IN_LETTER, IN_NUMBER, IN_OTHER, AT_QUOTE, IN_LONG, CLOSED, AFTER_SPACE, IN_WHITE, STATES = range(9)
-PIECES_KEPT = 400_000
+PIECES_KEPT = 120_000
 #: Letters of contractions: those that end one, and those that begin one with the letter that must follow.
 SHORTS = np.isin(np.arange(128), [ord(c) for c in "stmd"])
 THEN = np.zeros(128, np.uint32)
