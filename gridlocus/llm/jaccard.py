@@ -289,11 +289,13 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wi
             compared = verified(stored(rays.select(*ends).distinct(), "pairs"), with_id, key, text, width, percent, lower, differences=True)
             members = stored(star_members(rays.select("doc", "pivot", *ends).join(compared, ["x", "y"])), "members")
             found = compared.where("linked").select("x", "y").unionByName(links_within_stars(members, percent))
-            stars = members.select("doc", "pivot") if stars is None else stars.unionByName(members.select("doc", "pivot"))
+            # members of one pivot in different rounds were not compared with each other
+            joined = members.select("doc", F.struct(F.lit(turn).alias("turn"), "pivot").alias("star"))
+            stars = joined if stars is None else stars.unionByName(joined)
         else:  # every pair that is still apart and in no common star
             left = named.join(apart.where("any_open or not is_dear").select("token"), "token")
-            left = left.join(stored(stars.groupBy("doc").agg(F.collect_set("pivot").alias("stars")), "stars"), "doc", "left")
-            left = stored(left.withColumn("stars", F.coalesce("stars", F.array().cast("array<bigint>"))), "left")
+            left = left.join(stored(stars.groupBy("doc").agg(F.collect_set("star").alias("stars")), "stars"), "doc", "left")
+            left = stored(left.withColumn("stars", F.coalesce("stars", F.array().cast("array<struct<turn:int,pivot:bigint>>"))), "left")
             a, b = left.alias("a"), left.alias("b")
             both = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
             met = a.join(b, F.expr(f"""a.token = b.token and a.doc < b.doc and a.label <> b.label and (not a.dear or a.open or b.open)

@@ -131,6 +131,26 @@ def test_jaccard_with_dear_and_open_documents(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.similar_documents(frame(spark, docs), width=3).collect()} == want
 
 
+def test_jaccard_when_one_pivot_is_chosen_in_both_star_rounds(spark):
+    """Trees of near copies in which only parent and child are similar: some pairs have one pivot, but in different rounds."""
+    rng = random.Random(1)
+    ids = list(range(20_000))
+    rng.shuffle(ids)
+    docs, want = [], {}
+    for g in range(100):
+        fresh = (f"g{g}w{i}" for i in range(1, 1000))
+        tree = [[next(fresh) for _ in range(100)]]
+        for _ in range(rng.randint(4, 9)):
+            w = list(rng.choice(tree))
+            for i in rng.sample(range(100), 5):
+                w[i] = next(fresh)
+            tree.append(w)
+        group = [(ids.pop(0), " ".join(w)) for w in tree]
+        docs += group
+        want |= groups_by_jaccard(group, 1, 90)[0]
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(frame(spark, docs), width=1, percent=90).collect()} == want
+
+
 def test_one_of_each_group_stays(spark, corpus):
     docs = corpus + [(203, "one"), (None, "one"), (204, None)]
     want, _ = groups_by_jaccard([x for x in corpus if x[0] != 204], 5, 80)
