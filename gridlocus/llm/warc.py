@@ -149,19 +149,20 @@ def records_in(source: Source, start: int, stop: int, at_once: int = 8 << 20) ->
         first = at = at + found
         if at >= stop:
             return
-        held, size, sure = [], 0, False
+        held, size, sure, given = [], 0, False, False
         while at < stop and (got := member(source, at)):
             held.append(got[:2])
             size += len(got[1])
             at = got[2]
             if size >= at_once and sure:
                 yield held
-                held, size = [], 0
+                held, size, given = [], 0, True
             sure = sure or len(held) > 2
         if held and (at >= source.size or at >= stop and (source.get(at, len(MAGIC)) == MAGIC or at == source.size)):
             yield held
-        elif held and sure:
-            yield held  # a broken member after good ones: go on behind it
+        elif given or held and sure:  # the end, or a broken member after good ones: go on behind it
+            if held:
+                yield held
             at += 1
         else:
             at = first + 1

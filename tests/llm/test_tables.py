@@ -63,6 +63,25 @@ def test_warc_members_inside_a_stored_payload_are_not_records(spark, tmp_path):
     assert whole == [f"<urn:page:{10 + i}>" for i in range(3)]
 
 
+def test_warc_records_given_in_parts_are_given_once():
+    import io
+
+    class File(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+        def read_at(self, length, start):
+            return self.getvalue()[start : start + length]
+
+    made = [warc.record(i, "u", bytes([65 + i]) * 100, "D", None, False) for i in range(8)]
+    whole, broken = b"".join(made), b"".join([*made[:5], b"broken", *made[5:]])
+    for value, steps in ((whole, (len(made[0]) * 4, len(made[0]) * 6, len(whole))), (broken, (len(broken),))):
+        for step in steps:
+            for at_once in (1, 300, 1000, 8 << 20):
+                parts = [held for a in range(0, len(value), step) for held in warc.records_in(warc.Source(File(value)), a, min(a + step, len(value)), at_once)]
+                assert all(parts) and [f["warc-record-id"] for held in parts for f, _ in held] == [f"<urn:page:{i}>" for i in range(8)], (step, at_once)
+
+
 def test_warc_small_payloads_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "aaaa"), (4, "u", "aaaa")], "page_id long, url string, html string")
     rows = warc.read_warc(spark, warc.write_warc(df, least_bytes=3)).collect()
