@@ -53,7 +53,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlocus.llm.substring import remove_repeats
 
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    words = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), r"^ | $", "")
+    words = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), r"^ | \z", "")
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 

@@ -195,6 +195,13 @@ def test_pipeline_takes_empty_tables_and_odd_rows(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in odd.collect()) == [(-1, 0), (1, 0), (2, 1)]
 
 
+def test_kept_digest_with_a_line_terminator_as_last_word(spark, tmp_path):
+    texts = {1: " a b \x85", 2: "c d \u2028\n", 3: "e f \u2029", 4: "g  h "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op4_substring_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.kept_sha256 for r in rows} == {d: sha(" ".join(words(x))) for d, x in texts.items()}
+
+
 def test_queries_of_the_ten_operators_are_registered():
     import __spark_entry__
 
