@@ -154,3 +154,57 @@ m AS (SELECT p.page_id, p.fetched, min(kind || ':' || entry) FILTER (list = 'blo
     AND ((kind = 'host' AND host = entry) OR (kind = 'domain' AND (host = entry OR ends_with(host, '.' || entry))) OR (kind = 'prefix' AND starts_with(host || path, entry)))
   GROUP BY p.page_id, p.fetched)
 SELECT page_id, fetched, block_entry IS NOT NULL AND allow_entry IS NULL AS blocked, block_entry, allow_entry FROM m"""
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlocus.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op11_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, phrase, size, count(*) AS f FROM (SELECT lang, size, array_to_string(words[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) s WHERE len(words) >= size) o) q GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS words FROM g WHERE size > 1),
+inside AS (SELECT DISTINCT lang, array_to_string(words[i : i + m - 1], ' ') AS phrase, a AS f FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size > 2) x) y),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inside i ON c.lang = i.lang AND c.phrase = i.phrase WHERE 100::HUGEINT * i.f >= 80::HUGEINT * c.a),
+cut AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c ANTI JOIN gone USING (lang, phrase)) c
+  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1 : k], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[k + 1 : c.size], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) b JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlocus.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, doc, term, count(*) AS n FROM (SELECT lang, source, doc, unnest(terms) AS term FROM d) x GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+c AS (SELECT k.lang, s.source, k.term, k.n AS all_n, coalesce(sum(t.n), 0) AS n FROM k JOIN s ON s.lang = k.lang LEFT JOIN t ON t.lang = k.lang AND t.source = s.source AND t.term = k.term GROUP BY ALL),
+p AS (SELECT lang, source, term, c.n, 1 + (1000000000::HUGEINT * (c.n + 5)) // (sum(c.n) OVER (PARTITION BY lang, source) + 5 * v) AS p, 1 + (1000000000::HUGEINT * (all_n + 5)) // (v.n + 5 * v) AS q FROM c JOIN v USING (lang)),
+two AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) u
+QUALIFY part = 'pair' OR rank <= 50"""
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlocus.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
