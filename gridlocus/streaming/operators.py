@@ -1,23 +1,26 @@
 """Structured Streaming forms of the request-at-a-time behaviour.
 
 State per key is constant in size (a handful of timestamps or one record) and is
-dropped by event-time timeout, so it does not grow with the stream.
+dropped by event-time timers, so it does not grow with the stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from gridlocus.streaming.keyed import CacheLives, FailureRun, LatestLookup, RateLimit, RollingCount, in_order
 
 # fixed values
 TOKEN_SECONDS = 60
 RATE_LIMIT, RATE_WINDOW = 5, 24 * 3600
 BREAKER_THRESHOLD, BREAKER_COOLDOWN = 3, 300
+ANSWER_LIFE, MISS_LIFE = 90 * 24 * 3600, 24 * 3600
 
+#: How long a row may come after later ones.
+LATE = "24 hours"
 
 def lookup_stream(addresses: DataFrame, lookup: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):
     """Writer that resolves each micro-batch with the batch lookup.  ``sink`` gets the
@@ -31,6 +34,16 @@ def first_within_ttl(requests: DataFrame, key: str = "address_key", ts: str = "t
     return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
+def cache_lives(requests: DataFrame, key: str = "address_key", ts: str = "ts", number: str = "request_id", kind: str = "kind",
+                answer: int = ANSWER_LIFE, miss: int = MISS_LIFE, late: str = LATE) -> DataFrame:
+    """Which requests the cache answers.  ``kind`` is what asking at that time gives: `answer` (kept for ``answer`` seconds),
+    `miss` (an answer that there is nothing, kept for ``miss`` seconds) or anything else, a failure, which is never kept.
+
+    Result: request_id, key, cached, answered_by (the request whose answer is used; null for a failure)."""
+    code = F.when(F.col(kind) == "answer", 0).when(F.col(kind) == "miss", 1).otherwise(2)
+    return in_order(requests, CacheLives({0: answer, 1: miss}), f"request_id bigint, key {kind_of(requests, key)}, cached boolean, answered_by bigint", key, ts, number, code, late)
+
+
 def single_use_tokens(requests: DataFrame, token: str = "token", issued: str = "issued_ts", ts: str = "ts") -> DataFrame:
     """A token is accepted once, within a minute of its issue."""
     age = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(issued))
@@ -38,112 +51,54 @@ def single_use_tokens(requests: DataFrame, token: str = "token", issued: str = "
     return fresh.withWatermark(ts, f"{TOKEN_SECONDS} seconds").dropDuplicatesWithinWatermark([token])
 
 
-def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
-
-
-def _timeout(state: GroupState, millis: int, keep_ms: int) -> None:
-    state.setTimeoutTimestamp(max(millis + keep_ms, state.getCurrentWatermarkMs() + 1))
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
-def rate_limit(events: DataFrame, key: str = "email", ts: str = "ts", limit: int = RATE_LIMIT) -> DataFrame:
+def rate_limit(events: DataFrame, key: str = "email", ts: str = "ts", limit: int = RATE_LIMIT, late: str = LATE) -> DataFrame:
     """Accepts an event while fewer than ``limit`` accepted ones are under 24 h old.
     The state is the key's last ``limit`` accepted instants.
 
     Event columns: event_id, key, ts.  Result: event_id, key, ts, accepted, remaining.
     """
-    span = RATE_WINDOW * 1_000_000
-
-    def decide(k, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        pdf = _ordered(batches, [ts, "event_id"])
-        micros = pdf[ts].astype("datetime64[us]").astype("int64")
-        accepted, remaining = [], []
-        for t in micros:
-            recent = [r for r in recent if r > t - span]
-            ok = len(recent) < limit
-            remaining.append(max(0, limit - len(recent) - 1))
-            accepted.append(ok)
-            if ok:
-                recent.append(int(t))
-        state.update((recent[-limit:],))
-        _timeout(state, int(micros.iloc[-1]) // 1000, RATE_WINDOW * 1000)
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), key: k[0], ts: pdf[ts].to_numpy(), "accepted": accepted, "remaining": remaining})
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.select("event_id", key, ts).withWatermark(ts, "24 hours").groupBy(key).applyInPandasWithState(
-        decide, f"event_id bigint, {key} {kind}, {ts} timestamp, accepted boolean, remaining int",
-        "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    decided = in_order(events, RateLimit(limit, RATE_WINDOW), f"event_id bigint, key {kind_of(events, key)}, micros bigint, accepted boolean, remaining int",
+                       key, ts, "event_id", F.lit(0), late)
+    return decided.select("event_id", F.col("key").alias(key), F.timestamp_micros("micros").alias(ts), "accepted", "remaining")
+
+
+def recent_lookups(events: DataFrame, key: str = "email", ts: str = "ts", limit: int = RATE_LIMIT, late: str = LATE) -> DataFrame:
+    """The earlier events of the key in the last 24 hours, counted up to ``limit``, and whether they reach it.  The state
+    is as many instants.  Result: event_id, key, n_before, limited."""
+    decided = in_order(events, RollingCount(limit, RATE_WINDOW), f"event_id bigint, key {kind_of(events, key)}, n_before int, limited boolean", key, ts, "event_id", F.lit(0), late)
+    return decided.withColumnRenamed("key", key)
 
 
 def rate_monitor(events: DataFrame, key: str = "email", ts: str = "ts") -> DataFrame:
     """Approximate load per key: 24-hour windows sliding by the hour."""
-    return events.withWatermark(ts, "1 hour").groupBy(F.window(ts, "24 hours", "1 hour"), key).agg(F.count("*").alias("n"))
+    return events.withWatermark(ts, LATE).groupBy(F.window(ts, "24 hours", "1 hour"), key).agg(F.count("*").alias("n"))
 
 
-def attribute_clicks_stream(events: DataFrame, key: str = "email", ts: str = "ts", keep_hours: int = 24) -> DataFrame:
+def attribute_clicks_stream(events: DataFrame, key: str = "email", ts: str = "ts", keep_hours: int = 24, late: str = LATE) -> DataFrame:
     """Each click with the latest earlier lookup of its key.  The state is that one
     lookup, so no (click, lookup) pairs are formed.
 
     Event columns: event_id, key, ts, is_click.
     """
-    def attach(k, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else (None, None)
-        pdf = _ordered(batches, [ts, "is_click", "event_id"])
-        micros = pdf[ts].astype("datetime64[us]").astype("int64").tolist()
-        clicks, found = [], []
-        for i, (event, click) in enumerate(zip(pdf["event_id"], pdf["is_click"])):
-            if click:
-                clicks.append(int(event))
-                near = last[0] is not None and micros[i] - last[1] <= keep_hours * 3600 * 1_000_000
-                found.append(int(last[0]) if near else None)
-            else:
-                last = (int(event), int(micros[i]))
-        if last[0] is not None:
-            state.update(last)
-            _timeout(state, last[1] // 1000, keep_hours * 3600 * 1000)
-        yield pd.DataFrame({"click_id": clicks, key: [k[0]] * len(clicks), "lookup_id": pd.array(found, dtype="Int64")})
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.select("event_id", key, ts, "is_click").withWatermark(ts, "1 hour").groupBy(key).applyInPandasWithState(
-        attach, f"click_id bigint, {key} {kind}, lookup_id bigint", "lookup_id bigint, micros bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def circuit_breaker(calls: DataFrame, threshold: int = BREAKER_THRESHOLD, cooldown: int = BREAKER_COOLDOWN) -> DataFrame:
+    decided = in_order(events, LatestLookup(keep_hours * 3600), f"click_id bigint, key {kind_of(events, key)}, lookup_id bigint", key, ts, "event_id", F.col("is_click"), late)
+    return decided.withColumnRenamed("key", key)
+
+
+def circuit_breaker(calls: DataFrame, threshold: int = BREAKER_THRESHOLD, cooldown: int = BREAKER_COOLDOWN, keep: int = 30 * 24 * 3600, late: str = LATE) -> DataFrame:
     """Run length of failures per source, and whether a call came while the source was
-    disabled.  State: failures in a row and the instant of the last call.
+    disabled.  State: failures in a row and the instant of the last call, for ``keep`` seconds after it.
 
     Call columns: call_id, source, ts, ok.
     """
-    def follow(k, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        run, last = state.get if state.exists else (0, None)
-        pdf = _ordered(batches, ["ts", "call_id"])
-        micros = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
-        runs, disabled = [], []
-        for t, ok in zip(micros, pdf["ok"]):
-            disabled.append(bool(run >= threshold and last is not None and t - last <= cooldown * 1_000_000))
-            run = 0 if ok else run + 1
-            runs.append(run)
-            last = t
-        state.update((int(run), int(last)))
-        _timeout(state, int(last) // 1000, 24 * 3600 * 1000)
-        yield pd.DataFrame({"call_id": pdf["call_id"].to_numpy(), "source": k[0], "run_length": runs, "disabled": disabled})
-
-    kind = calls.schema["source"].dataType.simpleString()
-    return calls.select("call_id", "source", "ts", "ok").withWatermark("ts", "1 hour").groupBy("source").applyInPandasWithState(
-        follow, f"call_id bigint, source {kind}, run_length bigint, disabled boolean", "run bigint, micros bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def progress_metrics(events: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    return in_order(calls, FailureRun(threshold, cooldown, keep), f"call_id bigint, source {kind_of(calls, 'source')}, run_length bigint, disabled boolean",
+                    "source", "ts", "call_id", F.col("ok"), late)
+
+
+def progress_metrics(events: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = LATE) -> DataFrame:
     """Rows and failures per tumbling window."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width)).agg(
         F.count("*").alias("n_rows"), F.count_if(~F.col("ok")).alias("n_failed")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridlocus.session import shared_root
 
@@ -26,21 +28,80 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process everything available now into Parquet and read it back.  Complete mode
-    replaces the table each time, append mode adds to it."""
+def write_arrivals(rows: DataFrame, arrival: Column, batches: int, files: int = 4) -> str:
+    """Write rows as the input of a stream: batch number ``arrival`` (0, 1, ...) of a row is the micro-batch it comes with."""
+    folder = os.path.join(shared_folder(rows.sparkSession), "arrivals")
+    for i in range(batches):
+        rows.where(arrival == i).repartition(files).write.parquet(os.path.join(folder, f"batch-{i:06d}"))
+    return folder
+
+
+def arrivals(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
+    """The stream of rows written by ``write_arrivals``."""
+    schema = spark.read.option("recursiveFileLookup", "true").parquet(folder).schema
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """Process everything available now into Parquet (append mode) and read it back."""
     spark = stream.sparkSession
     folder = shared_folder(spark)
     out = os.path.join(folder, "table")
     writer = stream.writeStream.option("checkpointLocation", os.path.join(folder, "progress")).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", out).start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
+    writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+class Upserts:
+    """A table of the last row per key, fed by the updates of a stream.
+
+    Batch n writes its updates to a folder of its own, so a batch that is repeated replaces itself; the
+    table is the row of the latest batch per key.  ``compact`` writes the table as it stands after a batch to a base,
+    which readers use in place of the batches up to it."""
+
+    def __init__(self, spark: SparkSession, schema, keys: list[str], folder: str | None = None):
+        self.spark, self.schema, self.keys = spark, schema, keys
+        self.folder = folder or os.path.join(shared_folder(spark), "upserts")
+
+    def _folder(self, kind: str, batch: int) -> str:
+        return os.path.join(self.folder, f"{kind}={batch:09d}")
+
+    def _numbers(self, kind: str) -> list[int]:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+        done = [n for n in names if n.startswith(f"{kind}=") and system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, n, "_SUCCESS")))]
+        return sorted(int(n.split("=")[1]) for n in done)
+
+    def put(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(self._folder("batch", batch))
+
+    def table(self) -> DataFrame:
+        base, batches = self._numbers("base")[-1:], self._numbers("batch")
+        later = [b for b in batches if not base or b > base[0]]
+        parts = [(self._folder("base", b), b) for b in base] + [(self._folder("batch", b), b) for b in later]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        read = [self.spark.read.schema(self.schema).parquet(path).withColumn("_batch", F.lit(n)) for path, n in parts]
+        rows = reduce(DataFrame.unionByName, read)
+        others = [c for c in rows.columns if c not in self.keys and c != "_batch"]
+        latest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*others), "_batch").alias("_row"))
+        return latest.select(*[F.col(k) if k in self.keys else F.col(f"_row.{k}") for k in [c for c in rows.columns if c != "_batch"]])
+
+    def compact(self) -> None:
+        if batches := self._numbers("batch"):
+            self.table().write.mode("overwrite").parquet(self._folder("base", batches[-1]))
+
+
+def drain_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Process everything available now in update mode: only changed rows leave the state, which the watermark may evict."""
+    spark = stream.sparkSession
+    upserts = Upserts(spark, stream.schema, keys)
+    writer = stream.writeStream.option("checkpointLocation", os.path.join(shared_folder(spark), "progress")).trigger(availableNow=True)
+    writer.outputMode("update").foreachBatch(upserts.put).start().awaitTermination()
+    return upserts.table()
+
+
 def drain_batches(stream: DataFrame, transform, schema: str) -> DataFrame:
     """Like ``drain`` for a per-batch transformation; each batch owns a folder, so a
     repeated batch replaces itself."""

@@ -15,12 +15,12 @@ from gridlocus.plans.lookup import Sources, lookup, lookup_wide, territory_candi
 from gridlocus.sources import readers as R
 from gridlocus.sources import writers as W
 from gridlocus.streaming import operators as T
-from gridlocus.streaming.run import drain, drain_batches, file_stream, shared_folder
+from gridlocus.streaming.run import arrivals, drain, drain_batches, drain_updates, file_stream, shared_folder, write_arrivals
 from gridlocus.workload.bindings import BINDINGS, pick
 from gridlocus.workload.bindings import text as as_text
 from gridlocus.workload.matching import prepared
 from gridlocus.workload.registry import query
-from gridlocus.workload.reporting import result_alternatives, reviewed
+from gridlocus.workload.reporting import RUNS, result_alternatives, reviewed
 from gridlocus.workload.resolving import BASE, HITS, SCORED, state_inputs
 
 
@@ -310,6 +310,23 @@ def event_stream(t):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Micro-batches of the event log: ten days each; some rows of the six hours before a border come with the next one.
+BATCHES = 3
+
+
+def arriving_events(t):
+    """The event log as a stream of several micro-batches with late rows, closed by a row without id that moves the watermark past all others."""
+    if "_arrivals" not in t._cache:
+        events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+        border = lambda i: F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=F.lit(10 * i))
+        late = F.when(F.col("event_id") % 3 == 0, F.expr("INTERVAL 6 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+        arrival = sum(((F.col("ts") + late >= border(i)).cast("int") for i in range(1, BATCHES)), F.lit(0))
+        last = events.agg((F.max("ts") + F.expr("INTERVAL 48 HOURS")).alias("ts")).where("ts IS NOT NULL")
+        rows = events.withColumn("arrival", F.coalesce(arrival, F.lit(0))).unionByName(last.withColumn("arrival", F.lit(BATCHES)), allowMissingColumns=True)
+        t._cache["_arrivals"] = write_arrivals(rows, F.col("arrival"), BATCHES + 1)
+    return arrivals(t.spark, t._cache["_arrivals"]).drop("arrival")
+
+
 @query("t1_stream_lookup", f"WITH {HITS}, {SCORED} SELECT point_id AS address_id, name AS provider FROM electric")
 def _(t):
     shapes = t.shapes.drop("cx", "cy", "r")
@@ -323,7 +340,23 @@ def _(t):
     return drain_batches(stream, resolve, "address_id bigint, provider string")
 
 
-@query("t2_stream_cache_ttl", "SELECT DISTINCT user_id AS address_key FROM events")
+#: One row of a key after the other, by (ts, event_id), each step from the state that the row before left.
+STEPS = "o AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {0} ORDER BY ts, event_id) AS rn FROM events)"
+
+
+@query("t2_stream_cache_ttl", f"""WITH {STEPS.replace("{0}", "user_id")},
+k AS (SELECT *, CASE WHEN event_type = 'error' THEN 2 WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS kind FROM o),
+s AS (SELECT user_id, rn, event_id, false AS cached, CASE WHEN kind < 2 THEN event_id END AS answered_by, CASE WHEN kind < 2 THEN event_id END AS id, CASE WHEN kind < 2 THEN us END AS since, CASE WHEN kind < 2 THEN kind END AS held FROM k WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, hit, CASE WHEN hit THEN id WHEN kind < 2 THEN event_id END, CASE WHEN hit OR kind = 2 THEN id ELSE event_id END, CASE WHEN hit OR kind = 2 THEN since ELSE us END, CASE WHEN hit OR kind = 2 THEN held ELSE kind END
+  FROM (SELECT k.user_id, k.rn, k.event_id, k.kind, k.us, s.id, s.since, s.held, coalesce(k.us - s.since < CASE s.held WHEN 0 THEN 7776000000000 ELSE 86400000000 END, false) AS hit FROM s JOIN k ON k.user_id = s.user_id AND k.rn = s.rn + 1) n)
+SELECT event_id AS request_id, user_id AS address_key, cached, answered_by FROM s""", recursive=True)
+def _(t):
+    kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type").isin("view", "click"), "answer").otherwise("miss")
+    s = arriving_events(t).select(F.col("event_id").alias("request_id"), F.col("user_id").alias("address_key"), "ts", kind.alias("kind"))
+    return drain(T.cache_lives(s)).withColumnRenamed("key", "address_key")
+
+
+@query("t2_stream_first_requests", "SELECT DISTINCT user_id AS address_key FROM events")
 def _(t):
     return drain(T.first_within_ttl(event_stream(t).select(F.col("user_id").alias("address_key"), "ts"))).select("address_key")
 
@@ -335,37 +368,48 @@ def _(t):
     return drain(T.single_use_tokens(s)).select("token")
 
 
-@query("t4_stream_rate_limit")
+@query("t4_stream_rate_limit", f"""WITH {STEPS.replace("{0}", "user_id")},
+s AS (SELECT user_id, rn, event_id, [us] AS recent, true AS accepted, CAST(4 AS INT) AS remaining FROM o WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, CASE WHEN len(live) < 5 THEN list_append(live, us) ELSE live END, len(live) < 5, CAST(greatest(0, 4 - len(live)) AS INT)
+  FROM (SELECT o.user_id, o.rn, o.event_id, o.us, list_filter(s.recent, lambda x: x > o.us - 86400000000) AS live FROM s JOIN o ON o.user_id = s.user_id AND o.rn = s.rn + 1) n)
+SELECT event_id, 'u' || user_id AS email, accepted, remaining FROM s""", recursive=True)
 def _(t):
-    s = event_stream(t).select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email"), "ts")
+    s = arriving_events(t).select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email"), "ts")
     return drain(T.rate_limit(s)).select("event_id", "email", "accepted", "remaining")
 
 
+@query("t4_stream_recent_lookups", """SELECT a.event_id, CAST(least(5, count(b.event_id)) AS INT) AS n_before, count(b.event_id) >= 5 AS limited FROM events a
+LEFT JOIN events b ON b.user_id = a.user_id AND (b.ts, b.event_id) < (a.ts, a.event_id) AND b.ts > a.ts - INTERVAL 24 HOURS GROUP BY a.event_id""")
+def _(t):
+    return drain(T.recent_lookups(arriving_events(t).select("event_id", "user_id", "ts"), "user_id")).select("event_id", "n_before", "limited")
+
+
 @query("t4_stream_rate_monitor", "SELECT CAST(epoch(date_trunc('hour', ts) - to_hours(k)) AS BIGINT) AS window_start, user_id, count(*) AS n FROM (SELECT *, unnest(range(0, 24)) AS k FROM events) q GROUP BY 1, 2")
 def _(t):
-    s = T.rate_monitor(event_stream(t), "user_id").select(F.unix_timestamp("window.start").alias("window_start"), "user_id", "n")
-    return drain(s, "complete")
+    s = arriving_events(t).where("event_id IS NOT NULL")
+    m = T.rate_monitor(s, "user_id").select(F.unix_timestamp("window.start").alias("window_start"), "user_id", "n")
+    return drain_updates(m, ["window_start", "user_id"])
 
 
 @query("t5_stream_cta_attribution", """
 SELECT c.event_id AS click_id, CASE WHEN epoch_us(c.ts) - epoch_us(l.ts) <= 86400000000 THEN l.event_id END AS lookup_id FROM (SELECT * FROM events WHERE event_type = 'click') c LEFT JOIN LATERAL (SELECT event_id, ts FROM events l WHERE l.user_id = c.user_id AND l.event_type <> 'click' AND l.ts <= c.ts ORDER BY ts DESC, event_id DESC LIMIT 1) l ON true
 """)
 def _(t):
-    s = event_stream(t).select("event_id", F.col("user_id").alias("email"), "ts", (F.col("event_type") == "click").alias("is_click"))
+    s = arriving_events(t).select("event_id", F.col("user_id").alias("email"), "ts", (F.col("event_type") == "click").alias("is_click"))
     return drain(T.attribute_clicks_stream(s)).select("click_id", "lookup_id")
 
 
-@query("t6_stream_circuit_breaker")
+@query("t6_stream_circuit_breaker", f"WITH {RUNS.replace('{0}', '7200')} SELECT call_id, source, run_length, disabled FROM cb")
 def _(t):
-    s = event_stream(t).select(F.col("event_id").alias("call_id"), F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string")).alias("source"), "ts", (~F.col("event_type").isin("error", "view", "click")).alias("ok"))
+    s = arriving_events(t).select(F.col("event_id").alias("call_id"), F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string")).alias("source"), "ts", (~F.col("event_type").isin("error", "view", "click")).alias("ok"))
     return drain(T.circuit_breaker(s, cooldown=7200))
 
 
 @query("t7_stream_progress_metrics", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_failed FROM events GROUP BY 1")
 def _(t):
-    s = event_stream(t).select("ts", (F.col("event_type") != "error").alias("ok"))
+    s = arriving_events(t).where("event_id IS NOT NULL").select("ts", (F.col("event_type") != "error").alias("ok"))
     m = T.progress_metrics(s).select(F.unix_timestamp("window_start").alias("window_start"), "n_rows", "n_failed")
-    return drain(m, "complete")
+    return drain_updates(m, ["window_start"])
 
 
 def batch_runs(t):
