@@ -33,10 +33,12 @@ from gridlocus.llm.textual import SPACES, U64, Words, binary_array, mix, parts_o
 BREAKS = np.zeros(256, bool)
 BREAKS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 KEY_BITS = 32
-SLOT_MASS = 16 << 20  # n-gram occurrences that a slot is planned for
+SPARE = 5
+SLOT_MASS = 8 << 20  # n-gram occurrences that a slot is planned for
 LEAST_SLOTS = 64
-KEYS_HELD = 4 << 20  # n-grams a task holds before it hands out summaries
+KEYS_HELD = 1 << 20  # n-grams a task holds before it hands out summaries
 KEYS_A_ROW = 2048
+PART_BYTES = 1 << 20
 BITMAP_BITS = (20, 28)  # least and largest size of the bitmap as powers of two: 128 KB and 32 MB
 SALTS = 16
 UNKNOWN = "und"
@@ -119,8 +121,9 @@ class Summary:
 
 
 def capacity_for(mass: int, threshold: int) -> int:
-    """Exceeds mass / threshold."""
-    return mass // threshold + 1
+    """Exceeds mass / threshold, ``SPARE`` times over: what is taken off a key then stays below threshold / ``SPARE``, so that
+    few rare keys survive beside the frequent ones."""
+    return SPARE * mass // threshold + 1
 
 
 def slots_for(n_bytes: int, longest: int) -> int:
@@ -160,7 +163,7 @@ def summaries(df: DataFrame, slots: int, longest: int) -> DataFrame:
             for a in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 1000], t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["slot", "mass", "keys", "counts"])
 
-        for part in parts_of(batches, "text"):
+        for part in parts_of(batches, "text", PART_BYTES):
             phrases = Phrases(part.column("text"), part.column("lang"))
             for k in range(1, longest + 1):
                 held.append(phrases.keys(k)[1])
@@ -222,8 +225,8 @@ def exact_counts(df: DataFrame, bitmap, bits: int, threshold: int, longest: int)
     of its language.  ``bitmap`` is broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, held = np.frombuffer(bitmap.value, np.uint8), Fold(["lang", "phrase"], ["f"])
-        for part in parts_of(batches, "text"):
+        marks, held = np.frombuffer(bitmap.value, np.uint8), Fold(["lang", "phrase"], ["f"], 300_000)
+        for part in parts_of(batches, "text", PART_BYTES):
             phrases = Phrases(part.column("text"), part.column("lang"))
             langs = phrases.langs.dictionary
             n = np.bincount(phrases.lang_of_word, minlength=len(langs)).astype(np.int64)
