@@ -87,18 +87,47 @@ def texas_albers(rings: Column) -> Column:
     return _map_points(rings, project)
 
 
+def shoelace(ring: Column) -> Column:
+    """Area of one closed ring, whichever way it is wound."""
+    twice = F.aggregate(
+        F.sequence(F.lit(1), F.size(ring) - 1),
+        F.lit(0.0),
+        lambda acc, i: acc
+        + F.element_at(ring, i)["x"] * F.element_at(ring, i + 1)["y"]
+        - F.element_at(ring, i + 1)["x"] * F.element_at(ring, i)["y"],
+    )
+    return F.abs(twice) / 2
+
+
+def _framed(ring: Column) -> Column:
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return F.struct(ring.alias("ring"), shoelace(ring).alias("area"), F.array_min(xs).alias("xmin"), F.array_max(xs).alias("xmax"),
+                    F.array_min(ys).alias("ymin"), F.array_max(ys).alias("ymax"))
+
+
+def _holds(outer: Column, inner: Column) -> Column:
+    """Whether a framed ring lies inside another: the first corner that is not on the other's outline decides; rings
+    that share all corners hold each other."""
+    frames = (outer["xmin"] <= inner["xmin"]) & (outer["xmax"] >= inner["xmax"]) & (outer["ymin"] <= inner["ymin"]) & (outer["ymax"] >= inner["ymax"])
+    edges = edges_of(F.array(outer["ring"]))
+    probe = F.get(F.filter(inner["ring"], lambda p: ~on_outline(edges, p["x"], p["y"])), F.lit(0))
+    return frames & F.coalesce(crossings(edges, probe["x"], probe["y"]) % 2 == 1, F.lit(True))
+
+
 def ring_area(rings: Column) -> Column:
-    """Shoelace area; holes subtract when wound the other way."""
-    def signed(r):
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(r) - 1),
-            F.lit(0.0),
-            lambda acc, i: acc
-            + F.element_at(r, i)["x"] * F.element_at(r, i + 1)["y"]
-            - F.element_at(r, i + 1)["x"] * F.element_at(r, i)["y"],
-        )
+    """Area of a polygon of any number of parts.
+
+    A ring inside an odd number of others is a hole of the innermost of them, one inside an even number is a shell (a part, or an
+    island in a hole); so areas add up with the sign of that number, and the way rings are wound means nothing.  Of rings with
+    the same corners the later lies inside the earlier."""
+    framed = F.transform(rings, _framed)
+
+    def depth(ring: Column, i: Column) -> Column:
+        return F.size(F.filter(framed, lambda other, j: (i != j) & (
+            (other["area"] > ring["area"]) | ((other["area"] == ring["area"]) & (j < i))) & _holds(other, ring)))
 
-    return F.abs(F.aggregate(rings, F.lit(0.0), lambda acc, r: acc + signed(r))) / 2
+    parts = F.transform(framed, lambda ring, i: ring["area"] * F.when(depth(ring, i) % 2 == 0, 1.0).otherwise(-1.0))
+    return F.aggregate(parts, F.lit(0.0), lambda acc, a: acc + a)
 
 
 def prepare_territories(territories: DataFrame, mercator: bool = False, area: bool = False) -> DataFrame:

@@ -6,8 +6,6 @@ dropped by event-time timers, so it does not grow with the stream.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +20,6 @@ ANSWER_LIFE, MISS_LIFE = 90 * 24 * 3600, 24 * 3600
 #: How long a row may come after later ones.
 LATE = "24 hours"
 
-def lookup_stream(addresses: DataFrame, lookup: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):
-    """Writer that resolves each micro-batch with the batch lookup.  ``sink`` gets the
-    answers and the batch id and has to be idempotent per id, e.g. by writing the id's
-    own folder."""
-    return addresses.writeStream.foreachBatch(lambda batch, epoch: sink(lookup(batch), epoch))
-
-
 def first_within_ttl(requests: DataFrame, key: str = "address_key", ts: str = "ts", ttl: str = "90 days") -> DataFrame:
     """Requests whose key was not seen within the time to live."""
     return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])

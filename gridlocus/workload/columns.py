@@ -131,11 +131,11 @@ def _(t):
 # ---- predicates --------------------------------------------------------------
 @query("p1_is_null_value", f"""
 SELECT raw, lower(trim(raw)) IN {in_list(rules.TENANT_NULLS)} OR len(trim(raw)) <= 2 AS is_null, count(*) AS n
-FROM (SELECT raw FROM reported UNION ALL SELECT substr(line, 1, 1 + CAST(doc_id % 9 AS INT)) AS raw FROM first_lines) x GROUP BY 1, 2
+FROM (SELECT raw FROM reported UNION ALL SELECT unnest(string_split_regex(text, '[ \n]')) AS raw FROM documents) x GROUP BY 1, 2
 """)
 def _(t):
-    lines = t.first_lines.select(F.expr("substr(line, 1, 1 + CAST(doc_id % 9 AS INT))").alias("raw"))
-    return t.reported.select("raw").unionByName(lines).groupBy("raw", P.is_null_value("raw").alias("is_null")).agg(F.count("*").alias("n"))
+    words = t.documents.select(F.explode(F.split("text", "[ \n]")).alias("raw"))
+    return t.reported.select("raw").unionByName(words).groupBy("raw", P.is_null_value("raw").alias("is_null")).agg(F.count("*").alias("n"))
 
 
 _l = r"lower(regexp_replace(trim(raw_name), '\s+', ' ', 'g'))"
@@ -363,9 +363,10 @@ CATEGORY = """CASE WHEN contains(lower({0}), ',') THEN 'Compound (comma-separate
   WHEN regexp_matches(lower({0}), 'municipal|city of|town of|village of') THEN 'Municipal' WHEN contains(lower({0}), 'gas') AND NOT contains(lower({0}), 'electric') THEN 'Gas utility' ELSE '' END"""
 
 
-@query("n17_classify_unmatched", f"SELECT {CATEGORY.format('line')} AS category, count(*) AS n FROM (SELECT line FROM first_lines UNION ALL SELECT name FROM territories) x(line) GROUP BY 1")
+@query("n17_classify_unmatched", f"SELECT {CATEGORY.format('line')} AS category, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) FROM documents UNION ALL SELECT name FROM territories) x(line) GROUP BY 1")
 def _(t):
-    names = t.first_lines.select("line").unionByName(t.territories.select(F.col("name").alias("line")))
+    lines = t.documents.select(F.explode(F.split("text", "\n")).alias("line"))
+    names = lines.unionByName(t.territories.select(F.col("name").alias("line")))
     return names.groupBy(text.classify_unmatched("line").alias("category")).agg(F.count("*").alias("n"))
 
 

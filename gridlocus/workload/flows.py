@@ -16,6 +16,7 @@ from gridlocus.sources import readers as R
 from gridlocus.sources import writers as W
 from gridlocus.streaming import operators as T
 from gridlocus.streaming.run import arrivals, drain, drain_batches, drain_updates, file_stream, shared_folder, write_arrivals
+from gridlocus.streaming.snapshots import Snapshots, answers, lookup_stream
 from gridlocus.workload.bindings import BINDINGS, pick
 from gridlocus.workload.bindings import text as as_text
 from gridlocus.workload.matching import prepared
@@ -340,6 +341,19 @@ def _(t):
     return drain_batches(stream, resolve, "address_id bigint, provider string")
 
 
+@query("t1_stream_whole_lookup")
+def _(t):
+    """Three micro-batches of addresses through the whole lookup, all sources as published snapshots."""
+    folder = shared_folder(t.spark)
+    snapshots = Snapshots(t.spark, os.path.join(folder, "sources"), Sources)
+    snapshots.publish(all_sources(t))
+    stream = arrivals(t.spark, write_arrivals(t.addresses, F.col("address_id") % BATCHES, BATCHES))
+    out, progress = os.path.join(folder, "answers"), os.path.join(folder, "progress")
+    writer = lookup_stream(stream, snapshots, lambda batch, sources: lookup(batch, sources, base=BASE, sewer=True), out, progress)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return answers(t.spark, out).withColumn("alternatives", F.array_join(F.transform("alternatives", lambda a: a["provider"]), "|"))
+
+
 #: One row of a key after the other, by (ts, event_id), each step from the state that the row before left.
 STEPS = "o AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {0} ORDER BY ts, event_id) AS rn FROM events)"
 

@@ -34,7 +34,7 @@ SELECT o_orderkey AS row_id, {pick('o_orderkey % 3', ['electric', 'gas', 'water'
   CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE {pick('o_custkey % 9', ['ONCOR', 'Nicor Gas', 'Intermountain Gas', '=a.p_name', '=upper(a.p_name)', 'Duke Energy Ohio', '=b.p_name', "='City of ' || b.p_name", 'Georgia Power'])} END AS engine_provider,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE {pick('o_orderkey % 11', ['=a.p_name', 'landlord', "='Amerigas ' || a.p_name", 'Gas South', '=b.p_name', "=a.p_name || ', ' || b.p_name", 'Piedmont Natural Gas', '=c.p_name', 'Some Electric', "='Town of ' || b.p_name", 'Alabama Power'])} END AS tenant_raw,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE c.p_name END AS alt, CASE WHEN o_orderkey % 28 = 0 THEN 0e0 ELSE 1e0 END AS lat
-FROM orders JOIN part a ON a.p_partkey = o_custkey % 7 JOIN part b ON b.p_partkey = 50 + o_orderkey % 5 JOIN part c ON c.p_partkey = 90 + o_orderkey % 3
+FROM orders JOIN part a ON a.p_partkey = o_custkey JOIN part b ON b.p_partkey = o_custkey + 1 JOIN part c ON c.p_partkey = o_custkey + 2
 """
 
 

@@ -41,6 +41,31 @@ def _(t):
                            F.round("bbox.ymin", 6).alias("ymin"), F.round("bbox.ymax", 6).alias("ymax"), F.size(F.col("rings")[0]).alias("corners"))
 
 
+# Two parts and a hole with an island, wound as the key says; areas in closed form.
+def _square(x, y, half, turned):
+    corner = lambda dx, dy: F.struct((x + dx * half).alias("x"), (y + dy * half).alias("y"))
+    around = [corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)]
+    return F.when(turned, F.array(*around[::-1])).otherwise(F.array(*around))
+
+
+@query("s3_multipart_areas", """SELECT territory_id, round((4 - 1 + 0.25 + 0.25) * r * r, 6) AS area, 4 AS n_rings, round(cx + 2.5 * r, 6) AS xmax FROM territories""")
+def _(t):
+    x, y, r, k = F.col("cx").cast("double"), F.col("cy").cast("double"), F.col("r"), F.col("territory_id")
+    rings = F.array(_square(x, y, r / 4, k % 5 == 1), _square(x, y, r, k % 2 == 1), _square(x + 2.25 * r, y, r / 4, k % 7 == 1), _square(x, y, r / 2, k % 3 == 1))
+    shaped = S.prepare_territories(t.territories.select("territory_id", rings.alias("rings")))
+    return shaped.select("territory_id", F.round(S.ring_area(F.col("rings")), 6).alias("area"), F.size("rings").alias("n_rings"), F.round("bbox.xmax", 6).alias("xmax"))
+
+
+@query("s3_mercator_territories", "SELECT territory_id, round((cx - 5000) / 100.0, 6) AS xmin, round((cx - 5000) / 100.0 + r, 6) AS xmax, round(cy / 200.0 - r, 6) AS ymin, round(cy / 200.0, 6) AS ymax FROM territories")
+def _(t):
+    """Territories given in Web Mercator metres come out in degrees."""
+    lon, lat, r = (F.col("cx") - 5000) / 100.0, F.col("cy") / 200.0, F.col("r")
+    metres = lambda x, y: F.struct((F.radians(x) * 6378137.0).alias("x"), (F.log(F.tan(F.lit(0.7853981633974483) + F.radians(y) / 2)) * 6378137.0).alias("y"))
+    ring = F.array(metres(lon, lat - r), metres(lon + r, lat - r), metres(lon + r, lat), metres(lon, lat))
+    shaped = S.prepare_territories(t.territories.select("territory_id", F.array(ring).alias("rings")), mercator=True)
+    return shaped.select("territory_id", *[F.round(f"bbox.{c}", 6).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+
+
 _iou = has_any("upper(name)", rules.LARGE_IOU_NAMES)
 SCORED = f"""sc AS (SELECT *, type IN ('COOPERATIVE', 'MUNICIPAL') AS pub, {_iou} AS iou, coalesce(customers, 0) AS c, coalesce(nullif(area_km2, 0), 1) AS a,
    CASE upper(name) {' '.join(f'WHEN {quoted(k)} THEN {v}' for k, v in rules.TDU_PRIORITY.items())} END AS prio FROM hits WHERE layer = 'electric'),
@@ -102,7 +127,10 @@ SELECT u AS utility_type, state, kind, CAST(layer_ordinal AS INT) AS layer_ordin
     k AS layer_ordinal, CASE WHEN n_nationkey % 10 = 4 AND k = 0 THEN 'coop' END AS filter_text, n_nationkey % 10 IN (3, 4, 9) AND k = 1 AS is_fallback
   FROM (SELECT *, @SERIES(2) AS k FROM nation) z) y
 """
-_features = "SELECT c.state, 'electric' AS utility_type, CAST(territory_id % 2 AS INT) AS layer_ordinal, territory_id AS feature_ordinal, name, type AS filter_value, cx, cy, r FROM territories t JOIN (SELECT DISTINCT state FROM state_config WHERE kind IN ('layers', 'arcgis')) c ON territory_id % 3 = 0 WHERE layer = 'electric'"
+# Every electric territory is a feature of one of the states whose sources have polygons.
+_layered = [STATES[i] for i in (2, 3, 4, 5, 8, 9)]
+_features = f"""SELECT c.state, 'electric' AS utility_type, CAST(territory_id % 2 AS INT) AS layer_ordinal, territory_id AS feature_ordinal, name, type AS filter_value, cx, cy, r
+FROM (SELECT *, {pick('CAST(floor(territory_id / 3e0) AS BIGINT) % 6', _layered)} AS source_state FROM territories) t JOIN (SELECT DISTINCT state FROM state_config WHERE kind IN ('layers', 'arcgis')) c ON c.state = t.source_state WHERE layer = 'electric'"""
 
 
 @query("j3_region_by_coordinate", f"""WITH {PTS} SELECT point_id, state, name FROM (SELECT point_id, state, name, row_number() OVER (PARTITION BY point_id ORDER BY ordinal) AS rn FROM pts JOIN regions ON state = address_state

@@ -236,6 +236,29 @@ def test_albers_area_of_a_degree_cell(spark):
     assert abs(spatial.prepare_territories(df, area=True).first()["area_km2"] - 10510) < 60
 
 
+def test_areas_of_parts_holes_and_islands_whatever_their_winding(spark):
+    outer, hole, island, apart = square(0, 0, 10, 10), square(2, 2, 8, 8), square(4, 4, 6, 6), square(20, 0, 21, 1)
+    touching = square(0, 0, 5, 5)  # a hole that shares two sides with its shell
+    turned = lambda ring: ring[::-1]
+    shapes = [
+        (1, [outer, apart], 101), (2, [outer, turned(apart)], 101), (3, [outer, hole], 64), (4, [outer, turned(hole)], 64), (5, [hole, turned(outer)], 64),
+        (6, [island, outer, hole], 68), (7, [turned(island), hole, outer, turned(apart)], 69), (8, [outer, touching], 75), (9, [outer, outer], 0), (10, [outer], 100),
+    ]
+    df = spark.createDataFrame([(i, r) for i, r, _ in shapes], "territory_id int, rings array<array<struct<x:double,y:double>>>")
+    got = {r.territory_id: r.area for r in spatial.prepare_territories(df).select("territory_id", spatial.ring_area(F.col("rings")).alias("area")).collect()}
+    assert got == {i: float(a) for i, _, a in shapes}
+
+
+def test_area_in_square_kilometres_from_metres(spark):
+    import math
+
+    metres = lambda x, y: {"x": math.radians(x) * 6378137.0, "y": math.log(math.tan(math.pi / 4 + math.radians(y) / 2)) * 6378137.0}
+    ring = [metres(-100, 31), metres(-99, 31), metres(-99, 32), metres(-100, 32)]
+    df = spark.createDataFrame([(1, [ring])], "territory_id int, rings array<array<struct<x:double,y:double>>>")
+    row = spatial.prepare_territories(df, mercator=True, area=True).first()
+    assert abs(row["area_km2"] - 10510) < 60 and abs(row["bbox"]["ymin"] - 31) < 1e-9
+
+
 def test_state_config_and_dictionary_readers(spark):
     doc = '{"gas": {"TX": {"url": "u", "name_field": "N", "fallback_url": "v"}}, "electric": {"HI": {"type": "coordinate_mapping", "mappings": {"a": {"name": "H", "lon_range": [-160, -150]}}}, "DC": {"type": "single_utility", "default_name": "P"}}}'
     layers, regions = readers.flatten_state_sources(spark.createDataFrame([(doc,)], "doc string"))
