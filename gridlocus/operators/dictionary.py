@@ -75,30 +75,37 @@ def key_texts(edges: DataFrame) -> DataFrame:
 
 
 def attach_auto_aliases(auto: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Placement of a noisy source's names.
+    """Placement of a noisy source's names beside groups that are there already.
 
     ``auto``: key, alias (compound names are ignored, dissimilar aliases dropped).
-    ``keyed``: alias_key, canonical — keys already placed.  Result: alias_key,
-    canonical, placement (existing | via_alias | new); keys already placed are not
-    placed again, and a key claimed twice goes to the first claimant by name.
+    ``keyed``: alias_key, canonical - keys already placed; their groups are neither
+    recomputed nor joined.  Only keys without a place are grouped: an entry's key and
+    its aliases belong together, so new keys that share an alias are one group, through
+    any number of entries.  Such a group goes to the group of a placed key whose entry
+    lists one of its names, else to the group of a placed name that one of its entries
+    lists, else it is new and takes the first of its entries' keys by name; among
+    several the first canonical by name.  Result: alias_key, canonical, placement
+    (existing | via_alias | new), one row per key without a place.
     """
     clean = auto.select(text.clean_alias("key").alias("key"), text.clean_alias("alias").alias("alias")).where("key <> '' AND alias <> ''")
     clean = clean.where(~P.is_compound_key("key") & ~P.is_compound_key("alias"))
     clean = clean.withColumns({"kk": text.norm_key("key"), "ak": text.norm_key("alias")}).where("kk <> ''")
-    similar = clean.where(P.names_are_similar(F.col("kk"), F.col("ak")))
-    keys = clean.select("key", "kk").distinct()
-    placed = keyed.select(F.col("alias_key").alias("kk"), F.col("canonical").alias("by_key"))
-    by_alias = similar.join(keyed.select(F.col("alias_key").alias("ak"), "canonical"), "ak").groupBy("kk").agg(
-        F.min_by("canonical", "ak").alias("by_alias"))
-    target = keys.join(placed, "kk", "left").join(by_alias, "kk", "left").select(
-        "key", "kk",
-        F.coalesce("by_key", "by_alias", text.fix_casing("key")).alias("canonical"),
-        F.when(F.col("by_key").isNotNull(), "existing").when(F.col("by_alias").isNotNull(), "via_alias").otherwise("new").alias("placement"),
-    )
-    claims = target.select(F.col("kk").alias("alias_key"), "canonical", "placement").unionByName(
-        similar.join(target.drop("key"), "kk").select(F.col("ak").alias("alias_key"), "canonical", "placement"))
-    free = claims.join(keyed.select("alias_key"), "alias_key", "left_anti")
-    return free.groupBy("alias_key").agg(F.min(F.struct("canonical", "placement")).alias("c")).select("alias_key", "c.*")
+    place = lambda column, out: keyed.select(F.col("alias_key").alias(column), F.col("canonical").alias(out))
+    links = clean.where(P.names_are_similar(F.col("kk"), F.col("ak"))).select("kk", "ak").distinct()
+    links = cut_lineage(links.join(place("kk", "by_key"), "kk", "left").join(place("ak", "by_alias"), "ak", "left"))
+    keys = cut_lineage(clean.groupBy("kk").agg(F.min(text.fix_casing("key")).alias("name")).join(keyed.select(F.col("alias_key").alias("kk")), "kk", "left_anti"))
+
+    alone = keys.select(F.col("kk").alias("a"), F.col("kk").alias("b")).unionByName(
+        links.where("by_key IS NOT NULL AND by_alias IS NULL").select(F.col("ak").alias("a"), F.col("ak").alias("b")))
+    both = links.where("by_key IS NULL AND by_alias IS NULL").select(F.col("kk").alias("a"), F.col("ak").alias("b"))
+    groups = cut_lineage(connected_components(both.unionByName(alone).distinct()))
+
+    anchors = links.where("by_key IS NOT NULL AND by_alias IS NULL").select(F.col("ak").alias("node"), F.lit(0).alias("place"), F.col("by_key").alias("canonical")).unionByName(
+        links.where("by_key IS NULL AND by_alias IS NOT NULL").select(F.col("kk").alias("node"), F.lit(1).alias("place"), F.col("by_alias").alias("canonical"))).unionByName(
+        keys.select(F.col("kk").alias("node"), F.lit(2).alias("place"), F.col("name").alias("canonical")))
+    target = anchors.join(groups, "node").groupBy("component").agg(F.min(F.struct("place", "canonical")).alias("t"))
+    kind = F.element_at(F.array(F.lit("existing"), F.lit("via_alias"), F.lit("new")), F.col("t.place") + 1)
+    return groups.join(target, "component").select(F.col("node").alias("alias_key"), F.col("t.canonical").alias("canonical"), kind.alias("placement"))
 
 
 def _valid_display(candidate, canonical):

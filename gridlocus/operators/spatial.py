@@ -111,7 +111,7 @@ def _holds(outer: Column, inner: Column) -> Column:
     frames = (outer["xmin"] <= inner["xmin"]) & (outer["xmax"] >= inner["xmax"]) & (outer["ymin"] <= inner["ymin"]) & (outer["ymax"] >= inner["ymax"])
     edges = edges_of(F.array(outer["ring"]))
     probe = F.get(F.filter(inner["ring"], lambda p: ~on_outline(edges, p["x"], p["y"])), F.lit(0))
-    return frames & F.coalesce(crossings(edges, probe["x"], probe["y"]) % 2 == 1, F.lit(True))
+    return frames & (probe.isNull() | (crossings(edges, probe["x"], probe["y"]) % 2 == 1))
 
 
 def ring_area(rings: Column) -> Column:

@@ -439,15 +439,34 @@ def _(t):
 
 BINDINGS["auto_names"] = f"""
 SELECT CASE WHEN p_partkey % 4 = 0 THEN 'name ' || {as_text('p_partkey')} ELSE p_name || ' ' || {as_text('p_partkey % 90')} END AS key, CASE WHEN p_partkey % 3 = 0 THEN 'name ' || {as_text('p_partkey')} || ' north' WHEN p_partkey % 3 = 1 THEN p_name || ' plus' ELSE 'unrelated thing, something else' END AS alias FROM part
+UNION ALL SELECT 'grid ' || {as_text('p_partkey')} AS key, 'grid ' || {as_text('CAST(floor(p_partkey / 3) AS BIGINT) * 3')} || ' joined' AS alias FROM part
+UNION ALL SELECT 'grid ' || {as_text('p_partkey')} AS key, 'name ' || {as_text('p_partkey')} || ' grid ' || {as_text('p_partkey')} AS alias FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT 'Name ' || {as_text('p_partkey * 2')} AS key, 'name ' || {as_text('p_partkey * 2')} || ' grid ' || {as_text('p_partkey * 2')} AS alias FROM part WHERE p_partkey % 10 = 5
 """
 
-
-@query("r4_attach_auto_aliases")
+_r3 = f"""named AS MATERIALIZED (SELECT component, arg_min(n, pl || CASE WHEN pl = '2' AND n = upper(n) THEN 'b' ELSE 'a' END || CASE WHEN pl = '2' THEN lpad(CAST(9999 - len(n) AS VARCHAR), 5, '0') ELSE '' END || n) AS canonical FROM (
+  SELECT component, regexp_replace(trim(canonical), '\\s+', ' ', 'g') AS n, CASE source WHEN 's1' THEN '0' WHEN 's2' THEN '1' ELSE '2' END AS pl FROM name_sources JOIN comp ON alias_key = {_nk.format('canonical')}) q GROUP BY component),
+ keyed AS MATERIALIZED (SELECT alias_key, canonical FROM comp JOIN named USING (component))"""
+_words = "list_filter(string_split({0}, ' '), lambda w: len(w) > 3)[1]"
+
+
+@query("r4_attach_auto_aliases", f"""WITH RECURSIVE {COMPONENTS}, {_r3},
+ clean AS (SELECT regexp_replace(trim(key), '\\s+', ' ', 'g') AS key, {_nk.format('key')} AS kk, {_nk.format('alias')} AS ak FROM auto_names WHERE NOT contains(alias, ', ')),
+ linked AS MATERIALIZED (SELECT DISTINCT kk, ak, k.canonical AS by_key, a.canonical AS by_alias FROM clean LEFT JOIN keyed k ON k.alias_key = kk LEFT JOIN keyed a ON a.alias_key = ak
+   WHERE kk = ak OR (len(kk) > 3 AND len(ak) > 3 AND (contains(kk, ak) OR contains(ak, kk))) OR coalesce({_words.format('kk')} = {_words.format('ak')}, false)),
+ own AS MATERIALIZED (SELECT kk, min(key) AS name FROM clean WHERE kk NOT IN (SELECT alias_key FROM keyed) GROUP BY kk),
+ pairs AS MATERIALIZED (SELECT kk AS a, ak AS b FROM linked WHERE by_key IS NULL AND by_alias IS NULL UNION SELECT ak, kk FROM linked WHERE by_key IS NULL AND by_alias IS NULL
+   UNION SELECT kk, kk FROM own UNION SELECT ak, ak FROM linked WHERE by_key IS NOT NULL AND by_alias IS NULL),
+ walk(a, b) AS (SELECT a, b FROM pairs UNION SELECT w.a, p.b FROM walk w JOIN pairs p ON p.a = w.b), fresh AS (SELECT a AS node, min(least(a, b)) AS comp_id FROM walk GROUP BY 1),
+ anchor AS (SELECT ak AS node, 0 AS place, by_key AS canonical FROM linked WHERE by_key IS NOT NULL AND by_alias IS NULL UNION ALL SELECT kk, 1, by_alias FROM linked WHERE by_key IS NULL AND by_alias IS NOT NULL
+   UNION ALL SELECT kk, 2, name FROM own),
+ best AS (SELECT comp_id, min((place, canonical)) AS t FROM anchor JOIN fresh USING (node) GROUP BY comp_id)
+SELECT node AS alias_key, t[2] AS canonical, ['existing', 'via_alias', 'new'][t[1] + 1] AS placement FROM fresh JOIN best USING (comp_id)""", recursive=True)
 def _(t):
     edges = cut_lineage(dictionary.name_edges(t.name_sources))
     groups = dictionary.merge_groups(edges)
-    keyed = groups.join(dictionary.name_groups(edges, groups), "component").select("alias_key", "canonical")
-    return dictionary.attach_auto_aliases(t.auto_names, keyed)
+    keyed = groups.join(dictionary.name_groups(edges, groups, "s1", "s2"), "component").select("alias_key", "canonical")
+    return dictionary.attach_auto_aliases(t.auto_names, cut_lineage(keyed))
 
 
 BINDINGS["brand_rows"] = """

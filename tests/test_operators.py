@@ -259,6 +259,24 @@ def test_area_in_square_kilometres_from_metres(spark):
     assert abs(row["area_km2"] - 10510) < 60 and abs(row["bbox"]["ymin"] - 31) < 1e-9
 
 
+def test_new_names_are_grouped_beside_placed_ones(spark):
+    auto = [
+        ("Alpha Power", "Alpha Power North"), ("Alpha Power West", "Alpha Power North"),  # two new keys share an alias
+        ("Alpha Power West", "Alpha West"), ("Beta Gas", "Beta Gas Company"), ("Beta Gas Co", "Beta Gas Company"),  # beta gas is placed
+        ("Gamma Water", "Delta Water"), ("Gamma Water Two", "Gamma Water"),  # the alias gamma water is new, delta has another first word
+        ("Epsilon Light", "Epsilon"), ("Lonely Name", "Something Else"), ("One Two Three, Four Five Six", "One Two Three"),
+        ("Zeta Energy", "Zeta Energy Plus"), ("Zeta Energy Two", "Zeta Energy Plus"), ("Zeta Energy Two", "Zeta Old"),
+    ]
+    placed = [("beta gas", "Beta"), ("epsilon", "Epsilon Corp"), ("zeta old", "Zeta Group"), ("unrelated", "U")]
+    got = dictionary.attach_auto_aliases(spark.createDataFrame(auto, "key string, alias string"), spark.createDataFrame(placed, "alias_key string, canonical string")).collect()
+    alpha, zeta = ("Alpha Power", "new"), ("Zeta Group", "via_alias")
+    assert {r.alias_key: (r.canonical, r.placement) for r in got} == {
+        "alpha power": alpha, "alpha power north": alpha, "alpha power west": alpha, "alpha west": alpha,
+        "beta gas company": ("Beta", "existing"), "beta gas co": ("Beta", "existing"), "gamma water": ("Gamma Water", "new"), "gamma water two": ("Gamma Water", "new"),
+        "epsilon light": ("Epsilon Corp", "via_alias"), "lonely name": ("Lonely Name", "new"), "zeta energy": zeta, "zeta energy plus": zeta, "zeta energy two": zeta}
+    assert len(got) == 13
+
+
 def test_state_config_and_dictionary_readers(spark):
     doc = '{"gas": {"TX": {"url": "u", "name_field": "N", "fallback_url": "v"}}, "electric": {"HI": {"type": "coordinate_mapping", "mappings": {"a": {"name": "H", "lon_range": [-160, -150]}}}, "DC": {"type": "single_utility", "default_name": "P"}}}'
     layers, regions = readers.flatten_state_sources(spark.createDataFrame([(doc,)], "doc string"))
