@@ -14,7 +14,7 @@ very many turns is not one task's work.  Everything is a DataFrame expression.
 
 Cases: a null text or role is empty; a null conversation id is one conversation, a null turn number sorts first; equal turn
 numbers are ordered by role, then text; a conversation of a system turn alone is one window; an empty table gives an empty table;
-other columns are ignored."""
+other columns are ignored; roles and texts may have any length."""
 
 from __future__ import annotations
 
@@ -99,8 +99,8 @@ def format_windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY,
 def parse_windows(windows: DataFrame) -> DataFrame:
     """The windows with their own turns [(role, text)] and the texts under their loss mask, read from text, loss and n_repeated."""
     cut = F.filter(F.split("text", END), lambda s: s != "")
-    role = lambda s: F.regexp_replace(s, r"(?s)^### ((?:[^:\\]|\\.)*): .*$", "$1")
-    text = lambda s: F.regexp_replace(s, r"(?s)^### (?:[^:\\]|\\.)*: ", "")
+    role = lambda s: F.regexp_replace(s, r"(?s)^### ((?:[^:\\]++|\\.)*+): .*$", "$1")
+    text = lambda s: F.regexp_replace(s, r"(?s)^### (?:[^:\\]++|\\.)*+: ", "")
     turns = F.transform("_cut", lambda s: F.struct(unescape(role(s)).alias("role"), unescape(text(s)).alias("text")))
     parsed = windows.withColumn("_cut", cut).withColumn("turns", turns).drop("_cut")
     own = F.filter("turns", lambda s, i: (i >= F.col("n_repeated")))

@@ -142,7 +142,7 @@ def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op5_url_lists"] = r"""
 WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INT) AS fetched, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
-  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 h AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 6))::INT AS v FROM p WHERE host <> ''),
 s AS (SELECT DISTINCT site, ('0x' || substr(md5(site), 1, 6))::INT AS v FROM (SELECT regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) AS site FROM h) WHERE site <> ''),
 l AS (SELECT 'block' AS list, 'host' AS kind, host AS entry, v % 300 AS since, v % 300 + 30 + v % 50 AS until FROM h WHERE v % 4 = 0

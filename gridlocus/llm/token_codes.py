@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -136,7 +137,6 @@ def library_cache(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def encode_many(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids, lengths = [], []
@@ -154,7 +154,8 @@ def library_tokens(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray
     """(ids of all texts, each closed by the end id, first id of every text and the end).
 
     Merges never cross the tokenizer's own pieces, so distinct pieces are encoded once.  A text
-    with codepoints whose class may differ between Unicode versions is encoded whole."""
+    with codepoints whose class may differ between Unicode versions, or with the string of an added
+    token (which the library takes for that token), is encoded whole."""
     tokenizer, cache = library_cache(path)
     data, offsets, first, codes = cut(column)
     ids, lengths = cache.encode(data, offsets) if len(offsets) > 1 else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -166,6 +167,10 @@ def library_tokens(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray
             text = raw[a:b].decode()
             if any(c >= "ɐ" or "\r" < c < " " or "\x7f" <= c < "\xa1" for c in set(text)):
                 parts[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    texts = column.fill_null("")
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    for i in {i for content in added for i in np.flatnonzero(pc.match_substring(texts, content).to_numpy(zero_copy_only=False)).tolist()}:
+        parts[i] = np.array(tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
     closed = [x for part in parts for x in (part, np.array([end_id], np.uint32))]
     sizes = np.array([len(x) + 1 for x in parts], np.int64)
     return np.concatenate(closed) if closed else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(sizes)])

@@ -10,7 +10,7 @@ ordinary hot join key (entries per key are few, and the planner splits the captu
 
 Cases: a null or unreadable URL has no keys and is never met; a null fetch time is met by nothing; an event without a
 date, entry or action is ignored; of several events of an entry at the same time a removal wins; repeated events change
-nothing; an entry whose first event is a removal is not active before it; captures equal in id, URL and time are one row; empty captures
+nothing; an entry whose first event is a removal is not active before it; hosts are compared without regard to letter case, paths with it; captures equal in id, URL and time are one row; empty captures
 give an empty table, empty lists block nothing; other columns are ignored."""
 
 from __future__ import annotations
@@ -20,12 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def plain_entry() -> Column:
+    """Hosts and domains in lower case; of a prefix the host alone, as paths tell letter cases apart."""
+    path = F.regexp_extract("entry", r"(?s)^[^/]*(.*)$", 1)
+    return F.when(F.col("kind") == "prefix", F.concat(F.lower(F.substring_index("entry", "/", 1)), path)).otherwise(F.lower("entry"))
+
+
 def validity(events: DataFrame) -> DataFrame:
     """(list, kind, entry, since, until) from events (list, kind, entry, action 'add' or 'remove', at); until null is open."""
     seen = events.where("list is not null and kind is not null and entry is not null and at is not null and action in ('add', 'remove')")
-    once = seen.groupBy("list", "kind", "entry", "at").agg(F.max("action").alias("action"))  # remove wins
+    once = seen.withColumn("entry", plain_entry()).groupBy("list", "kind", "entry", "at").agg(F.max("action").alias("action"))  # remove wins
     order = Window.partitionBy("list", "kind", "entry").orderBy("at")
-    return once.withColumn("until", F.lead("at").over(order)).where("action = 'add'").select("list", "kind", F.lower("entry").alias("entry"), F.col("at").alias("since"), "until")
+    return once.withColumn("until", F.lead("at").over(order)).where("action = 'add'").select("list", "kind", "entry", F.col("at").alias("since"), "until")
 
 
 def host_of(url: Column) -> Column:
@@ -40,8 +46,8 @@ def keys_of(url: Column) -> Column:
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     steps = F.split(path, "/")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("entry")))
-    prefix = lambda i: F.lower(F.concat(host, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.when(i < F.size(steps), prefix(i)).otherwise(F.lower(F.concat(host, path))).alias("entry")))
+    prefix = lambda i: F.concat(host, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.when(i < F.size(steps), prefix(i)).otherwise(F.concat(host, path)).alias("entry")))
     return F.when(host.isNotNull(), F.array_distinct(F.concat(F.array(F.struct(F.lit("host").alias("kind"), host.alias("entry"))), domains, prefixes)))
 
 

@@ -109,6 +109,17 @@ def test_url_lists_as_of_fetch_time(spark):
     assert url_lists.judge_captures(rows.limit(0), events).count() == 0
 
 
+def test_url_lists_letter_case(spark):
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
+    events = spark.createDataFrame(
+        [("block", "domain", "Foo.com", "add", day(0)), ("block", "domain", "foo.com", "remove", day(31)), ("block", "prefix", "Bar.com/A", "add", day(0)), ("block", "prefix", "bar.com/b/", "add", day(0)), ("block", "prefix", "bar.COM/b/", "remove", day(10))],
+        "list string, kind string, entry string, action string, at date")
+    urls = ["http://FOO.com/x", "http://bar.com/A", "http://bar.com/a", "http://BAR.com/b/c"]
+    rows = spark.createDataFrame([(i, u, day(d)) for i, u in enumerate(urls) for d in (5, 150)], "page_id int, url string, fetched date")
+    got = {(r.page_id, (r.fetched - day(0)).days): r.blocked for r in url_lists.judge_captures(rows, events).collect()}
+    assert got == {(0, 5): True, (0, 150): False, (1, 5): True, (1, 150): True, (2, 5): False, (2, 150): False, (3, 5): True, (3, 150): False}
+
+
 def conversations():
     rng = random.Random(3)
     rows = []
@@ -149,6 +160,13 @@ def test_chat_windows_round_trip(spark):
     assert chat.format_windows(df.limit(0)).count() == 0
 
 
+def test_chat_long_roles_and_texts(spark):
+    rows = [(1, 0, "r:#" * 300_000, "a"), (1, 1, "assistant", "b\\" * 500_000), (2, 0, "\\" * 4000, None)]
+    windows = chat.parse_windows(chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = sorted((r.conv_id, t.role, t.text) for r in windows.collect() for t in r.turns)
+    assert got == sorted((c, role, text or "") for c, _, role, text in rows)
+
+
 def test_chat_history_is_the_longest_that_fits(spark):
     rows = [(1, t, ("user", "assistant")[t % 2], "w " * 16) for t in range(40)]  # 20 tokens each
     out = chat.parse_windows(chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=200, history=50)).collect()

@@ -80,7 +80,7 @@ def test_token_files_round_trip_and_random_access(spark, corpus):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    corpus = corpus + [(220, "a<|endoftext|>b"), (221, "<|endoftext|>"), (222, " <|endoftext|> <|endoftext|>\n<|endoftext"), (223, "中<|endoftext|>é")]
     manifest = token_codes.write_tokens(frame(spark, corpus + [(203, "one"), (None, "no id")]), path, file_tokens=3000)
     assert manifest.count() > 3
     rows = sorted(token_codes.read_tokens(spark, manifest, read_at_once=700).collect(), key=lambda r: r.start)
