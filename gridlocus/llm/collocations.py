@@ -10,7 +10,7 @@ enough survives; memory is the capacity, whatever the number of distinct n-grams
 bits of hash only add up, which keeps the guarantee.  Survivors become bits of a bitmap of bounded size.
 
 Second pass: occurrences whose bit is set are counted exactly, by their text: folded inside tasks, then
-added up.  Bits that are set for other reasons only cost rows here, they change no result.
+added up per slot.  Bits that are set for other reasons only cost work here, they change no result.
 
 Cases: a null text is empty; a null language is ``und``; a text or piece without words has no phrases;
 repeated rows count again; an empty table gives no rows; ties are ordered by occurrences, then by the
@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlocus.llm.folding import Fold, batches_of
+from gridlocus.llm.folding import Fold
 from gridlocus.llm.store import stored
 from gridlocus.llm.textual import SPACES, U64, Words, binary_array, mix, parts_of, ragged, shingles
 
@@ -38,6 +39,7 @@ SLOT_MASS = 8 << 20  # n-gram occurrences that a slot is planned for
 LEAST_SLOTS = 64
 KEYS_HELD = 1 << 20  # n-grams a task holds before it hands out summaries
 KEYS_A_ROW = 2048
+GRAMS_A_ROW = 500
 PART_BYTES = 1 << 20
 BITMAP_BITS = (20, 28)  # least and largest size of the bitmap as powers of two: 128 KB and 32 MB
 SALTS = 16
@@ -220,34 +222,77 @@ def bitmap_of(rows: DataFrame, slots: int, bits: int) -> np.ndarray:
 
 
 # ---- exact counts ------------------------------------------------------------
-def exact_counts(df: DataFrame, bitmap, bits: int, threshold: int, longest: int) -> DataFrame:
+GRAMS = "slot int, grams array<struct<lang: string, phrase: binary, f: long>>"
+
+
+def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(slot, lang, phrase, f) as rows of one slot and up to ``GRAMS_A_ROW`` phrases."""
+    rows = rows.sort_by("slot").combine_chunks()
+    slot = rows["slot"].to_numpy()
+    heads = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+    ends = np.append(heads[1:], len(slot))
+    cuts = np.append(np.concatenate([np.arange(a, b, GRAMS_A_ROW) for a, b in zip(heads, ends)]), len(slot))
+    grams = rows.select(["lang", "phrase", "f"]).to_struct_array().combine_chunks()
+    grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+    for a in range(0, len(cuts) - 1, 200):
+        part = cuts[a : a + 201]
+        lists = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), grams.slice(part[0], part[-1] - part[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(slot[part[:-1]].astype(np.int32)), lists], ["slot", "grams"])
+
+
+def exact_counts(df: DataFrame, bitmap, slots: int, bits: int, threshold: int, longest: int) -> DataFrame:
     """(lang, phrase, f) of all phrases of up to ``longest`` words with f >= ``threshold``; the empty phrase counts all words
-    of its language.  ``bitmap`` is broadcast."""
+    of its language.  ``bitmap`` is broadcast.  Tasks hand out counts packed by slot, and the counts of a slot are added up in
+    one place, where the survivors of the first pass bound their number."""
+    slot_shift = U64(64 - power_of(slots))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, held = np.frombuffer(bitmap.value, np.uint8), Fold(["lang", "phrase"], ["f"], 300_000)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, held = np.frombuffer(bitmap.value, np.uint8), Fold(["slot", "lang", "phrase"], ["f"], 300_000)
         for part in parts_of(batches, "text", PART_BYTES):
             phrases = Phrases(part.column("text"), part.column("lang"))
             langs = phrases.langs.dictionary
             n = np.bincount(phrases.lang_of_word, minlength=len(langs)).astype(np.int64)
-            tables = [pa.table({"lang": langs, "phrase": pa.array([b""] * len(langs), pa.binary()), "f": n})]
+            tables = [pa.table({"slot": np.zeros(len(langs), np.int64), "lang": langs, "phrase": pa.array([b""] * len(langs), pa.binary()), "f": n})]
             for k in range(1, longest + 1):
                 at, keys = phrases.keys(k)
                 place = (keys >> U64(64 - bits)).astype(np.int64)
-                at = at[(marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                marked = (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                at, keys = at[marked], keys[marked]
                 if not len(at):
                     continue
                 coded = phrases.bytes_of(at, k).dictionary_encode()
                 size = len(coded.dictionary)
-                key, f = np.unique(phrases.lang_of_word[at].astype(np.int64) * size + coded.indices.to_numpy(), return_counts=True)
-                tables.append(pa.table({"lang": langs.take(pa.array(key // size)), "phrase": coded.dictionary.take(pa.array(key % size)), "f": f.astype(np.int64)}))
+                key, first, f = np.unique(phrases.lang_of_word[at].astype(np.int64) * size + coded.indices.to_numpy(), return_index=True, return_counts=True)
+                tables.append(pa.table({"slot": (keys[first] >> slot_shift).astype(np.int64), "lang": langs.take(pa.array(key // size)), "phrase": coded.dictionary.take(pa.array(key % size)), "f": f.astype(np.int64)}))
             for full in held.add(pa.concat_tables(tables)):
-                yield from batches_of(full)
+                yield from packed(full)
         for full in held.rest():
-            yield from batches_of(full)
+            yield from packed(full)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held = None, None
 
-    summed = df.mapInArrow(run, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return summed.where((F.col("f") >= threshold) | (F.col("phrase") == F.lit(b""))).withColumn("phrase", F.col("phrase").cast("string"))
+        def close() -> Iterator[pa.RecordBatch]:
+            for full in held.rest():
+                kept = full.filter(pc.or_(pc.greater_equal(full["f"], threshold), pc.equal(full["phrase"], b"")))
+                yield from kept.combine_chunks().to_batches(max_chunksize=20_000)
+
+        for batch in batches:
+            slots_here = batch.column("slot").to_numpy()
+            edges = np.append(np.flatnonzero(np.concatenate([[True], slots_here[1:] != slots_here[:-1]])), len(slots_here))
+            for a, b in zip(edges, edges[1:]):
+                if slots_here[a] != slot:
+                    if held is not None:
+                        yield from close()
+                    slot, held = slots_here[a], Fold(["lang", "phrase"], ["f"], 300_000, spills=False)
+                grams = batch.column("grams").slice(a, b - a).flatten()
+                for _ in held.add(pa.Table.from_arrays(grams.flatten(), ["lang", "phrase", "f"])):
+                    raise AssertionError("a fold of bounded keys does not spill")
+        if held is not None:
+            yield from close()
+
+    counted = df.mapInArrow(count, GRAMS).repartition("slot").sortWithinPartitions("slot")
+    return counted.mapInArrow(add_up, "lang string, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def frequent_phrases(df: DataFrame, threshold: int = 30, longest: int = 4, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -260,7 +305,7 @@ def frequent_phrases(df: DataFrame, threshold: int = 30, longest: int = 4, text:
     bits = max(power_of(slots) + 3, min(largest, max(least, (n_bytes // 6 * longest // threshold * 8).bit_length())))
     found = surviving_bits(summaries(rows, slots, longest), slots, bits, threshold)
     bitmap = spark.sparkContext.broadcast(bitmap_of(found, slots, bits).tobytes())
-    return stored(exact_counts(rows, bitmap, bits, threshold, longest), "phrases")
+    return stored(exact_counts(rows, bitmap, slots, bits, threshold, longest), "phrases")
 
 
 def collocations(df: DataFrame, threshold: int = 30, longest: int = 4, covered: int = 80, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def stripes_of(rows: pa.Table, at_once: int = 5_000) -> Iterator[pa.RecordBatch]
     rows = rows.sort_by([("lang", "ascending"), ("term", "ascending")]).combine_chunks()
     lang, term = rows["lang"].combine_chunks(), rows["term"].combine_chunks()
     lang, term = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (lang, term))
-    same = np.logical_and(*[pa.compute.equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False) for x in (lang, term)])
+    same = np.logical_and(*[pc.equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False) for x in (lang, term)])
     heads = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(term)]])
     entries = pa.StructArray.from_arrays([rows[c].combine_chunks() if not isinstance(rows[c].combine_chunks(), pa.ChunkedArray) else rows[c].combine_chunks().chunk(0) for c in ("source", "n", "docs")], ["source", "n", "docs"])
     for a in range(0, len(heads) - 1, at_once):
@@ -122,14 +123,14 @@ class Emitter:
             self.pairs[lang] = sources, np.zeros((len(sources), len(sources)), np.int64)
         sums = self.pairs[lang][1]
         step = max(1, CELLS // max(1, len(sources)))
-        real = np.flatnonzero(pa.compute.not_equal(rows.column("term"), b"").to_numpy(zero_copy_only=False))
+        real = np.flatnonzero(pc.not_equal(rows.column("term"), b"").to_numpy(zero_copy_only=False))
         for a in range(0, len(real), step):
             some = rows.take(pa.array(real[a : a + step]))
             stripe, term = some.column("stripe"), some.column("term")
             entries = stripe.flatten()
             coded = entries.field("source").dictionary_encode()
             column = np.array([number[s] for s in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
-            row = np.repeat(np.arange(len(some)), pa.compute.list_value_length(stripe).to_numpy())
+            row = np.repeat(np.arange(len(some)), pc.list_value_length(stripe).to_numpy())
             counts = np.zeros((len(some), len(sources)), np.int64)
             counts[row, column] = entries.field("n").to_numpy()
             p = shares(counts, totals)

@@ -11,10 +11,11 @@ ROWS_HELD = 600_000
 
 class Fold:
     """Adds up ``sums`` per ``keys``.  When the combined rows still fill half of ``limit`` they are
-    spilled: handed out, and the fold starts anew; whoever merges the spills by key gets the full sums."""
+    spilled: handed out, and the fold starts anew; whoever merges the spills by key gets the full sums.
+    A fold that does not spill, for keys whose number is bounded, combines whenever its rows have doubled."""
 
-    def __init__(self, keys: list[str], sums: list[str], limit: int = ROWS_HELD):
-        self.keys, self.sums, self.limit = keys, sums, limit
+    def __init__(self, keys: list[str], sums: list[str], limit: int = ROWS_HELD, spills: bool = True):
+        self.keys, self.sums, self.limit, self.spills = keys, sums, limit, spills
         self.held: list[pa.Table] = []
         self.rows = 0
 
@@ -28,7 +29,9 @@ class Fold:
         self.rows += rows.num_rows
         if self.rows >= self.limit:
             whole = self.combined()
-            if whole.num_rows >= self.limit // 2:
+            if not self.spills:
+                self.limit = max(self.limit, 2 * whole.num_rows)
+            if self.spills and whole.num_rows >= self.limit // 2:
                 self.held, self.rows = [], 0
                 yield whole
             else:
@@ -38,8 +41,3 @@ class Fold:
         if self.held:
             yield self.combined()
         self.held, self.rows = [], 0
-
-
-def batches_of(table: pa.Table, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    for batch in table.combine_chunks().to_batches(max_chunksize=rows):
-        yield batch
