@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from gridlocus.functions import rules
 from gridlocus.operators import activity
 from gridlocus.operators import resolve as V
 from gridlocus.operators.catalog import catalog_overrides
@@ -19,8 +20,8 @@ from gridlocus.streaming.run import arrivals, drain, drain_batches, drain_update
 from gridlocus.streaming.snapshots import Snapshots, answers, lookup_stream
 from gridlocus.workload.bindings import BINDINGS, pick
 from gridlocus.workload.bindings import text as as_text
-from gridlocus.workload.matching import prepared
-from gridlocus.workload.registry import query
+from gridlocus.workload.matching import SEGMENTS, prepared
+from gridlocus.workload.registry import in_list, query, quoted
 from gridlocus.workload.reporting import RUNS, result_alternatives, reviewed
 from gridlocus.workload.resolving import BASE, HITS, SCORED, state_inputs
 
@@ -250,7 +251,33 @@ FROM raw_names
 """
 
 
-@query("v1_resolve_candidate")
+_bare = "SELECT DISTINCT raw_name, trim(raw_name) AS v FROM raw_names WHERE raw_name IS NOT NULL"
+for _s in rules.LEGAL_SUFFIXES:
+    _bare = f"SELECT raw_name, CASE WHEN ends_with(upper(v), {quoted(_s)}) THEN trim(left(v, len(v) - {len(_s)})) ELSE v END AS v FROM ({_bare}) x"
+_shown = r"list_reduce(list_transform(regexp_extract_all(lower(v), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || b)"
+_tdus = "(" + " OR ".join(f"contains(upper(raw_name), {quoted(n)}) OR contains({quoted(n)}, upper(raw_name))" for n in rules.ERCOT_TDUS) + ")"
+_bases = " ".join(f"WHEN {quoted(k)} THEN {v}::DOUBLE" for k, v in V.BASE_CONFIDENCE.items())
+
+#: From raw candidates to names and confidences, by the matching of distinct names.
+RESOLVED = f"""{SEGMENTS}, best AS MATERIALIZED (SELECT name, canonical_id, display_name, matched, match_type, similarity FROM (
+   SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN matched THEN 0 ELSE 1 END, CASE WHEN matched THEN similarity END DESC, pos) AS rn FROM m_all) x WHERE rn = 1),
+ by_eia AS MATERIALIZED (SELECT eia_id AS eid, min((canonical_id, display_name)) AS e FROM alias_index WHERE eia_id <> -1 GROUP BY eia_id),
+ of_canon AS (SELECT e[1] AS canonical_id, min(eid) AS matched_eia FROM by_eia GROUP BY 1),
+ in_states AS (SELECT canonical_id, list(DISTINCT w) AS states FROM (SELECT canonical_id, unnest(regexp_extract_all(upper(canonical_id || ' ' || display_name || ' ' || alias), '[^\\s,\\-().]+')) AS w FROM dictionary) q
+   WHERE w IN {in_list(rules.STATE_CODES)} GROUP BY canonical_id),
+ plain AS MATERIALIZED (SELECT raw_name, CASE WHEN v = upper(v) AND len(v) > 3 THEN {_shown} ELSE v END AS clean FROM ({_bare}) y),
+ asked AS (SELECT *, TRY_CAST(split_part(eia_id, '.', 1) AS INT) AS eid FROM raw_candidates),
+ known AS (SELECT a.* EXCLUDE (eia_id), e[1] AS id_canon, e[2] AS id_name, b.canonical_id AS name_canon, b.display_name AS name_shown, match_type, matched_eia, clean,
+   CASE WHEN utility_type = 'water' THEN 'passthrough' WHEN e IS NOT NULL THEN 'eia_id' WHEN coalesce(matched AND (match_type <> 'fuzzy' OR similarity >= 95 OR (similarity >= 90 AND (coalesce(candidate_state, '') = ''
+     OR list_contains(states, upper(trim(candidate_state)))))), false) THEN match_type ELSE 'passthrough' END AS match_method
+   FROM asked a LEFT JOIN by_eia USING (eid) LEFT JOIN best b ON b.name = a.raw_name LEFT JOIN of_canon o ON o.canonical_id = b.canonical_id LEFT JOIN in_states s ON s.canonical_id = b.canonical_id LEFT JOIN plain p ON p.raw_name = a.raw_name),
+ valued AS (SELECT *, coalesce(set_confidence, least(CASE WHEN utility_type = 'water' THEN {V.WATER_CONFIDENCE}::DOUBLE ELSE CASE match_method {_bases} END END, {V.MAX_CONFIDENCE}::DOUBLE, max_confidence)) AS c FROM known),
+ resolved AS MATERIALIZED (SELECT address_id, utility_type, source_ordinal, CASE match_method WHEN 'eia_id' THEN id_name WHEN 'passthrough' THEN clean ELSE name_shown END AS provider_name,
+   CASE match_method WHEN 'eia_id' THEN id_canon WHEN 'passthrough' THEN NULL ELSE name_canon END AS canonical_id, CASE match_method WHEN 'eia_id' THEN eid WHEN 'passthrough' THEN NULL ELSE matched_eia END AS eia_id,
+   CASE WHEN starts_with(source, 'state_gis') THEN greatest(c, 0.90::DOUBLE) ELSE c END AS confidence, match_method, source, utility_type <> 'water' AND {_tdus} AS is_deregulated FROM valued)"""
+
+
+@query("v1_resolve_candidate", f"WITH {RESOLVED} SELECT * FROM resolved WHERE provider_name <> ''")
 def _(t):
     out = V.resolve_candidates(t.raw_candidates, t.aliases, t.reps, state_index(t), eia_index(t))
     return out.drop("deregulated_note")
