@@ -20,10 +20,10 @@ from gridlocus.streaming.run import arrivals, drain, drain_batches, drain_update
 from gridlocus.streaming.snapshots import Snapshots, answers, lookup_stream
 from gridlocus.workload.bindings import BINDINGS, pick
 from gridlocus.workload.bindings import text as as_text
-from gridlocus.workload.matching import SEGMENTS, prepared
-from gridlocus.workload.registry import in_list, query, quoted
+from gridlocus.workload.matching import match_ctes, prepared, segment_ctes
+from gridlocus.workload.registry import TEXTS, has_any, in_list, query, quoted
 from gridlocus.workload.reporting import RUNS, result_alternatives, reviewed
-from gridlocus.workload.resolving import BASE, HITS, SCORED, state_inputs
+from gridlocus.workload.resolving import BASE, HITS, SCORED, VERIFY, state_inputs
 
 
 def folder(t, name: str) -> str:
@@ -251,33 +251,42 @@ FROM raw_names
 """
 
 
-_bare = "SELECT DISTINCT raw_name, trim(raw_name) AS v FROM raw_names WHERE raw_name IS NOT NULL"
-for _s in rules.LEGAL_SUFFIXES:
-    _bare = f"SELECT raw_name, CASE WHEN ends_with(upper(v), {quoted(_s)}) THEN trim(left(v, len(v) - {len(_s)})) ELSE v END AS v FROM ({_bare}) x"
 _shown = r"list_reduce(list_transform(regexp_extract_all(lower(v), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || b)"
-_tdus = "(" + " OR ".join(f"contains(upper(raw_name), {quoted(n)}) OR contains({quoted(n)}, upper(raw_name))" for n in rules.ERCOT_TDUS) + ")"
 _bases = " ".join(f"WHEN {quoted(k)} THEN {v}::DOUBLE" for k, v in V.BASE_CONFIDENCE.items())
-
-#: From raw candidates to names and confidences, by the matching of distinct names.
-RESOLVED = f"""{SEGMENTS}, best AS MATERIALIZED (SELECT name, canonical_id, display_name, matched, match_type, similarity FROM (
+_tdus = "(" + " OR ".join(f"contains(upper(raw_name), {quoted(n)}) OR contains({quoted(n)}, upper(raw_name))" for n in rules.ERCOT_TDUS) + ")"
+_public = "(contains(upper(coalesce(territory_type, '')), 'COOPERATIVE') OR contains(upper(coalesce(territory_type, '')), 'MUNICIPAL'))"
+_area = "(upper(coalesce(cntrl_area, '')) IN ('ERCO', 'ERCOT') AND contains(upper(coalesce(territory_type, '')), 'INVESTOR'))"
+
+
+def resolved_ctes(source: str) -> str:
+    """Common table expressions from raw candidates (a table with raw_name, eia_id, cntrl_area, territory_type, ...) to ``resolved``:
+    names and confidences, by the matching of distinct names."""
+    bare = f"SELECT DISTINCT raw_name, trim(raw_name) AS v FROM {source} WHERE raw_name IS NOT NULL"
+    for suffix in rules.LEGAL_SUFFIXES:
+        bare = f"SELECT raw_name, CASE WHEN ends_with(upper(v), {quoted(suffix)}) THEN trim(left(v, len(v) - {len(suffix)})) ELSE v END AS v FROM ({bare}) x"
+    names = f"SELECT raw_name AS name FROM {source} WHERE utility_type <> 'water' AND raw_name IS NOT NULL"
+    return f"""{segment_ctes(names)}, {match_ctes('SELECT segment AS name FROM m_seg')},
+ m_all AS (SELECT s.name, s.cleaned, pos, canonical_id, display_name, matched, match_type, similarity FROM m_seg s JOIN m_match m ON m.name = s.segment),
+ best AS MATERIALIZED (SELECT name, canonical_id, display_name, matched, match_type, similarity FROM (
    SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN matched THEN 0 ELSE 1 END, CASE WHEN matched THEN similarity END DESC, pos) AS rn FROM m_all) x WHERE rn = 1),
  by_eia AS MATERIALIZED (SELECT eia_id AS eid, min((canonical_id, display_name)) AS e FROM alias_index WHERE eia_id <> -1 GROUP BY eia_id),
  of_canon AS (SELECT e[1] AS canonical_id, min(eid) AS matched_eia FROM by_eia GROUP BY 1),
  in_states AS (SELECT canonical_id, list(DISTINCT w) AS states FROM (SELECT canonical_id, unnest(regexp_extract_all(upper(canonical_id || ' ' || display_name || ' ' || alias), '[^\\s,\\-().]+')) AS w FROM dictionary) q
    WHERE w IN {in_list(rules.STATE_CODES)} GROUP BY canonical_id),
- plain AS MATERIALIZED (SELECT raw_name, CASE WHEN v = upper(v) AND len(v) > 3 THEN {_shown} ELSE v END AS clean FROM ({_bare}) y),
- asked AS (SELECT *, TRY_CAST(split_part(eia_id, '.', 1) AS INT) AS eid FROM raw_candidates),
+ plain AS MATERIALIZED (SELECT raw_name, CASE WHEN v = upper(v) AND len(v) > 3 THEN {_shown} ELSE v END AS clean FROM ({bare}) y),
+ asked AS (SELECT *, TRY_CAST(split_part(eia_id, '.', 1) AS INT) AS eid FROM {source}),
  known AS (SELECT a.* EXCLUDE (eia_id), e[1] AS id_canon, e[2] AS id_name, b.canonical_id AS name_canon, b.display_name AS name_shown, match_type, matched_eia, clean,
    CASE WHEN utility_type = 'water' THEN 'passthrough' WHEN e IS NOT NULL THEN 'eia_id' WHEN coalesce(matched AND (match_type <> 'fuzzy' OR similarity >= 95 OR (similarity >= 90 AND (coalesce(candidate_state, '') = ''
      OR list_contains(states, upper(trim(candidate_state)))))), false) THEN match_type ELSE 'passthrough' END AS match_method
    FROM asked a LEFT JOIN by_eia USING (eid) LEFT JOIN best b ON b.name = a.raw_name LEFT JOIN of_canon o ON o.canonical_id = b.canonical_id LEFT JOIN in_states s ON s.canonical_id = b.canonical_id LEFT JOIN plain p ON p.raw_name = a.raw_name),
  valued AS (SELECT *, coalesce(set_confidence, least(CASE WHEN utility_type = 'water' THEN {V.WATER_CONFIDENCE}::DOUBLE ELSE CASE match_method {_bases} END END, {V.MAX_CONFIDENCE}::DOUBLE, max_confidence)) AS c FROM known),
- resolved AS MATERIALIZED (SELECT address_id, utility_type, source_ordinal, CASE match_method WHEN 'eia_id' THEN id_name WHEN 'passthrough' THEN clean ELSE name_shown END AS provider_name,
+ resolved AS MATERIALIZED (SELECT * FROM (SELECT address_id, utility_type, source_ordinal, CASE match_method WHEN 'eia_id' THEN id_name WHEN 'passthrough' THEN clean ELSE name_shown END AS provider_name,
    CASE match_method WHEN 'eia_id' THEN id_canon WHEN 'passthrough' THEN NULL ELSE name_canon END AS canonical_id, CASE match_method WHEN 'eia_id' THEN eid WHEN 'passthrough' THEN NULL ELSE matched_eia END AS eia_id,
-   CASE WHEN starts_with(source, 'state_gis') THEN greatest(c, 0.90::DOUBLE) ELSE c END AS confidence, match_method, source, utility_type <> 'water' AND {_tdus} AS is_deregulated FROM valued)"""
+   CASE WHEN starts_with(source, 'state_gis') THEN greatest(c, 0.90::DOUBLE) ELSE c END AS confidence, match_method, source,
+   utility_type <> 'water' AND CASE WHEN {_public} THEN contains(upper(raw_name), 'LUBBOCK') WHEN {_tdus} THEN true ELSE {_area} END AS is_deregulated FROM valued) r WHERE provider_name <> '')"""
 
 
-@query("v1_resolve_candidate", f"WITH {RESOLVED} SELECT * FROM resolved WHERE provider_name <> ''")
+@query("v1_resolve_candidate", f"WITH given AS (SELECT *, NULL::VARCHAR AS cntrl_area, NULL::VARCHAR AS territory_type FROM raw_candidates), {resolved_ctes('given')} SELECT * FROM resolved")
 def _(t):
     out = V.resolve_candidates(t.raw_candidates, t.aliases, t.reps, state_index(t), eia_index(t))
     return out.drop("deregulated_note")
@@ -302,6 +311,64 @@ def all_sources(t) -> Sources:
         state_defaults=t.state_defaults, catalog=prepared(t), contacts=t.contacts, broadband=R.parse_broadband_json(t.broadband))
 
 
+_none, _text = "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)"
+
+
+def _branch(ordinal: int, rows: str, columns: str = "address_id, utility_type, raw_name, source, max_confidence, set_confidence, candidate_state", eia_id: str = _text) -> str:
+    return f"SELECT {columns}, {eia_id} AS eia_id, {_text} AS cntrl_area, {_text} AS territory_type, CAST({ordinal} AS INT) AS source_ordinal FROM ({rows}) b{ordinal}"
+
+
+def _territory(ordinal: int, utility_type: str, tag: str, rows: str) -> str:
+    return f"""SELECT point_id, '{utility_type}', name, '{tag}', {_none}, {_none}, state, eia_id, cntrl_area, type, {ordinal} FROM ({rows}) b{ordinal} WHERE name IS NOT NULL"""
+
+
+#: All sources in their order.  The county cooperatives (place 4) are asked in no state, as every state has polygons.
+GATHERED = f"""{HITS}, {SCORED}, gathered AS MATERIALIZED ({" UNION ALL ".join([
+    _branch(0, TEXTS["j5_correction_by_address"]), _branch(1, TEXTS["j6_correction_by_zip"]),
+    _branch(2, "SELECT point_id AS address_id, 'electric' AS utility_type, name AS raw_name, source, state AS candidate_state FROM (" + TEXTS["j4_state_source_join"].replace("WHERE NOT (lat = 0 AND lon = 0)", "WHERE lat IS NOT NULL") + ") s JOIN addresses ON address_id = point_id",
+            f"address_id, utility_type, raw_name, source, {_none} AS max_confidence, {_none} AS set_confidence, candidate_state"),
+    _branch(3, TEXTS["j8_gas_zip_join"]), _branch(5, TEXTS["j9_county_gas_join"]),
+    _territory(6, "electric", "HIFLD Electric Retail Service Territories", "SELECT * FROM electric"),
+    _territory(7, "gas", "HIFLD Natural Gas Service Territories", "SELECT h.* FROM hits h JOIN (" + TEXTS["v6_resolve_overlap_gas"] + ") USING (point_id, territory_id)"),
+    _territory(8, "water", "EPA CWS Boundaries", "SELECT h.* FROM hits h JOIN (" + TEXTS["v7_resolve_overlap_water"] + ") USING (point_id, territory_id)"),
+    _branch(9, f"SELECT address_id, 'electric' AS utility_type, live_name AS raw_name, 'hifld_api' AS source, 0.78::DOUBLE AS max_confidence, {_none} AS set_confidence, coalesce(live_state, state) AS candidate_state FROM live_layer JOIN addresses USING (address_id)"),
+    _branch(10, TEXTS["j11_zip_dominance_join"], f"address_id, utility_type, raw_name, source, table_confidence AS max_confidence, {_none} AS set_confidence, (SELECT state FROM addresses a WHERE a.address_id = b10.address_id) AS candidate_state"),
+    _branch(11, TEXTS["j12_special_district_join"]), _branch(12, TEXTS["j13_eia_zip_join"].replace("'eia_zip' AS source", "'eia_zip' AS source, eiaid"), eia_id="eiaid"), _branch(13, TEXTS["j14_city_cache_join"]), _branch(14, TEXTS["j15_state_default_join"]),
+])})"""
+
+#: Candidates of one provider as one, ranked, the utility in doubt behind the local one, the leader checked against the registry.
+ANSWERED = f"""keyed AS (SELECT r.*, coalesce(upper(i.canonical_id), upper(trim(provider_name))) AS k FROM resolved r LEFT JOIN alias_index i ON i.alias_lower = lower(regexp_replace(trim(provider_name), '\\s+', ' ', 'g'))),
+ dd AS MATERIALIZED (SELECT * EXCLUDE (confidence, source), CASE WHEN n > 1 THEN least(0.98::DOUBLE, confidence + least(0.10, 0.05 * (n - 1))) ELSE confidence END AS confidence,
+   CASE WHEN n > 1 AND low <> high THEN source || ' (+' || (n - 1) || ' agree)' ELSE source END AS source FROM (
+   SELECT *, count(*) OVER w AS n, min(source_ordinal) OVER w AS first_ordinal, min(source) OVER w AS low, max(source) OVER w AS high,
+     row_number() OVER (PARTITION BY address_id, utility_type, k ORDER BY confidence DESC, source_ordinal) AS rn FROM keyed WINDOW w AS (PARTITION BY address_id, utility_type, k)) q WHERE rn = 1),
+ rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY address_id, utility_type ORDER BY confidence DESC, first_ordinal, provider_name) AS rank FROM dd),
+ need AS (SELECT address_id, CASE WHEN contains(lower(source), 'eia_zip') THEN 0.55 WHEN contains(lower(source), 'state_gis') THEN 0.70 ELSE 0.60 END AS need FROM rk WHERE rank = 1 AND utility_type = 'electric' AND {has_any("upper(provider_name)", rules.LARGE_IOU_NAMES)}),
+ pro AS (SELECT address_id, min(rank) AS p FROM rk JOIN need USING (address_id) WHERE utility_type = 'electric' AND rank > 1 AND {has_any("upper(provider_name)", rules.LOCAL_WORDS + rules.LOCAL_NAMES)} AND confidence >= need
+   AND NOT contains(lower(source), 'findenergy_city') AND NOT contains(lower(source), 'state_gas_default') GROUP BY address_id),
+ dm AS MATERIALIZED (SELECT rk.* EXCLUDE (rank), CASE WHEN rank = p THEN 1 WHEN rank < p THEN rank + 1 ELSE rank END AS rank FROM rk LEFT JOIN pro ON pro.address_id = rk.address_id AND utility_type = 'electric'),
+ leaders AS (SELECT DISTINCT zip_code, provider_name FROM dm JOIN addresses USING (address_id) WHERE rank = 1 AND utility_type = 'electric' AND source NOT IN {in_list(V.NOT_VERIFIED_SOURCES)} AND zip_code IS NOT NULL),
+ {VERIFY.replace('verify_pairs', 'leaders')},
+ checked AS MATERIALIZED (SELECT dm.* EXCLUDE (confidence, eia_id), CASE WHEN v.zip_code IS NULL THEN confidence ELSE greatest(0, least(1, confidence + coalesce(gain, -0.05)::DOUBLE)) END AS confidence,
+   coalesce(eia_id, CAST(v.eiaid AS INT)) AS eia_id FROM dm JOIN addresses a USING (address_id) LEFT JOIN verdict v ON rank = 1 AND utility_type = 'electric' AND source NOT IN {in_list(V.NOT_VERIFIED_SOURCES)} AND v.zip_code = a.zip_code AND v.provider_name = dm.provider_name),
+ lead AS (SELECT * FROM checked WHERE rank = 1),
+ alts AS (SELECT d.address_id, d.utility_type, string_agg(d.provider_name || '/' || round(d.confidence, 3)::DOUBLE, '|' ORDER BY d.rank) AS alternatives FROM checked d JOIN lead l USING (address_id, utility_type)
+   WHERE d.rank BETWEEN 2 AND 5 AND upper(d.provider_name) <> upper(l.provider_name) AND NOT EXISTS (SELECT 1 FROM checked e WHERE e.address_id = d.address_id AND e.utility_type = d.utility_type AND e.rank BETWEEN 2 AND 5 AND e.rank < d.rank
+     AND upper(e.provider_name) = upper(d.provider_name)) GROUP BY d.address_id, d.utility_type)"""
+
+
+@query("v17_lookup_answers", f"""WITH {GATHERED}, {resolved_ctes('gathered')}, {ANSWERED}
+SELECT address_id, utility_type, provider_name, canonical_id, eia_id, round(confidence, 6) AS confidence, match_method, source, is_deregulated, n AS n_agree, confidence < 0.7 AS needs_review, coalesce(alternatives, '') AS alternatives
+FROM lead LEFT JOIN alts USING (address_id, utility_type)""")
+def _(t):
+    """The whole lookup from addresses to ranked answers; catalog ids, contacts and sewer are added by v17_lookup."""
+    s = all_sources(t)
+    s.catalog = s.contacts = None
+    answers = lookup(t.addresses, s, base=BASE)
+    return answers.select("address_id", "utility_type", "provider_name", "canonical_id", "eia_id", F.round("confidence", 6).alias("confidence"), "match_method", "source", "is_deregulated", "n_agree", "needs_review",
+                          F.array_join(F.transform("alternatives", lambda a: F.concat_ws("/", a["provider"], a["confidence"].cast("string"))), "|").alias("alternatives"))
+
+
 @query("v17_lookup")
 def _(t):
     answers = lookup(t.addresses, all_sources(t), base=BASE, sewer=True)

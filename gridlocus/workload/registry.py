@@ -11,6 +11,8 @@ from gridlocus.workload.bindings import Tables, oracle
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The SQL as written, for checks that are composed of others.
+TEXTS: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, recursive: bool = False):
@@ -18,6 +20,7 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
         assert name not in QUERIES, name
         QUERIES[name] = fn
         if sql is not None:
+            TEXTS[name] = sql
             ORACLES[name] = oracle(sql, recursive)
         return fn
 
