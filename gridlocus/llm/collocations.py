@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridlocus.llm.folding import Fold
 from gridlocus.llm.store import stored
-from gridlocus.llm.textual import SPACES, U64, Words, binary_array, mix, parts_of, ragged, shingles
+from gridlocus.llm.textual import SPACES, U64, Words, binary_array, mix, parts_of, ragged, shingles, text_bytes
 
 #: `[.,;:!?\x0A-\x0D]` separates pieces; space and tab separate words inside them.
 BREAKS = np.zeros(256, bool)
@@ -222,22 +222,32 @@ def bitmap_of(rows: DataFrame, slots: int, bits: int) -> np.ndarray:
 
 
 # ---- exact counts ------------------------------------------------------------
-GRAMS = "slot int, grams array<struct<lang: string, phrase: binary, f: long>>"
+GRAMS = "slot int, lang string, phrases binary, counts binary"
 
 
 def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(slot, lang, phrase, f) as rows of one slot and up to ``GRAMS_A_ROW`` phrases."""
-    rows = rows.sort_by("slot").combine_chunks()
-    slot = rows["slot"].to_numpy()
-    heads = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-    ends = np.append(heads[1:], len(slot))
-    cuts = np.append(np.concatenate([np.arange(a, b, GRAMS_A_ROW) for a, b in zip(heads, ends)]), len(slot))
-    grams = rows.select(["lang", "phrase", "f"]).to_struct_array().combine_chunks()
-    grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+    """(slot, lang, phrase, f) as rows of one slot and language with up to ``GRAMS_A_ROW`` phrases, in order and a line each
+    (no word holds a line end), and their counts as unsigned 32-bit integers."""
+    rows = rows.sort_by([("slot", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+    slot, lang, phrase, f = (x.chunk(0) if isinstance(x := rows[c].combine_chunks(), pa.ChunkedArray) else x for c in ("slot", "lang", "phrase", "f"))
+    same = pc.and_(pc.equal(slot[1:], slot[:-1]), pc.equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+    heads = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    cuts = np.append(np.concatenate([np.arange(a, b, GRAMS_A_ROW) for a, b in zip(heads, np.append(heads[1:], len(slot)))]), len(slot))
+    counts = f.to_numpy().astype("<u4").view(np.uint8)
     for a in range(0, len(cuts) - 1, 200):
         part = cuts[a : a + 201]
-        lists = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), grams.slice(part[0], part[-1] - part[0]))
-        yield pa.RecordBatch.from_arrays([pa.array(slot[part[:-1]].astype(np.int32)), lists], ["slot", "grams"])
+        within = part - part[0]
+        lists = pa.ListArray.from_arrays(pa.array(within.astype(np.int32)), phrase.slice(part[0], part[-1] - part[0]))
+        first = pa.array(part[:-1])
+        yield pa.RecordBatch.from_arrays(
+            [slot.take(first).cast(pa.int32()), lang.take(first), pc.binary_join(lists, b"\n"), binary_array(counts[4 * part[0] : 4 * part[-1]], 4 * within)], ["slot", "lang", "phrases", "counts"])
+
+
+def unpacked(rows: pa.RecordBatch) -> pa.Table:
+    phrases = pc.split_pattern(rows.column("phrases"), "\n")
+    counts = np.frombuffer(text_bytes(rows.column("counts"))[0].tobytes(), "<u4").astype(np.int64)
+    lang = rows.column("lang").take(pa.array(np.repeat(np.arange(rows.num_rows), pc.list_value_length(phrases).to_numpy())))
+    return pa.table({"lang": lang, "phrase": phrases.flatten(), "f": counts})
 
 
 def exact_counts(df: DataFrame, bitmap, slots: int, bits: int, threshold: int, longest: int) -> DataFrame:
@@ -285,8 +295,7 @@ def exact_counts(df: DataFrame, bitmap, slots: int, bits: int, threshold: int, l
                     if held is not None:
                         yield from close()
                     slot, held = slots_here[a], Fold(["lang", "phrase"], ["f"], 300_000, spills=False)
-                grams = batch.column("grams").slice(a, b - a).flatten()
-                for _ in held.add(pa.Table.from_arrays(grams.flatten(), ["lang", "phrase", "f"])):
+                for _ in held.add(unpacked(batch.slice(a, b - a))):
                     raise AssertionError("a fold of bounded keys does not spill")
         if held is not None:
             yield from close()
