@@ -7,6 +7,8 @@ the buckets before it comes from one pre-aggregated row per (key, bucket).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,48 +24,50 @@ def _micros(ts: str) -> Column:
 
 def rolling_count(events: DataFrame, key: str, ts: str, event_id: str, seconds: int = WINDOW_SECONDS, bucket: int = HOUR) -> DataFrame:
     """Adds ``n_recent``: events of the key less than ``seconds`` old at each event's
-    own instant, itself included.  ``seconds`` is a multiple of ``bucket``.
+    own instant, itself included.  ``seconds`` is a multiple of ``bucket``.  Events
+    without a key or an instant are left out.
 
-    Whole buckets in between are summed from per-bucket counts; the bucket an event
-    is in and the one its window starts in are counted row by row.
+    The rows pass one exchange, by (key, bucket), and nothing is joined back to them.
+    Beside them travel, in the same frame, a ghost of every event ``seconds`` later,
+    which tells who has left the window, and one carry row per bucket with the number
+    of events in the whole buckets between; those come from per-bucket counts.
     """
     span, width = seconds * 1_000_000, bucket * 1_000_000
     steps = seconds // bucket
-    df = events.withColumn("_t", _micros(ts)).withColumn("_b", F.floor(F.col("_t") / width))
-    # Own bucket (up to the event) and the opening bucket (from t - span) in one
-    # window: an event re-appears `steps` buckets later as a ghost at t + span.
-    live = df.select(key, "_b", "_t", F.lit(0).alias("_ghost"), event_id)
-    ghosts = df.select(key, (F.col("_b") + steps).alias("_b"), (F.col("_t") + span).alias("_t"), F.lit(1).alias("_ghost"), event_id)
-    per_bucket = df.groupBy(key, "_b").agg(F.count("*").alias("_n"))
-    both = live.unionByName(ghosts)
-    upto = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(1, Window.unboundedFollowing)
-    counted = both.select(
-        key, "_b", "_ghost", event_id,
-        F.sum(1 - F.col("_ghost")).over(upto).alias("_own"),
-        F.coalesce(F.sum("_ghost").over(after), F.lit(0)).alias("_open"),
-    ).where("_ghost = 0").drop("_ghost")
-    between = Window.partitionBy(key).orderBy("_b").rangeBetween(-(steps - 1), -1)
-    middle = per_bucket.select(key, "_b", F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_middle"))
-    total = counted.join(middle, [key, "_b"]).select(event_id, key, (F.col("_own") + F.col("_open") + F.col("_middle")).alias("n_recent"))
-    return events.join(total, [event_id, key])
+    given = F.struct(*events.columns)
+    df = events.withColumn("_t", _micros(ts)).where(F.col("_t").isNotNull() & F.col(key).isNotNull()).withColumn("_b", F.floor(F.col("_t") / width))
+    between = Window.partitionBy("_k").orderBy("_b").rangeBetween(-(steps - 1), -1)
+    per_bucket = df.groupBy(F.col(key).alias("_k"), "_b").agg(F.count("*").alias("_n"))
+    carry = per_bucket.select("_k", "_b", (F.col("_b") * width).alias("_t"), F.lit(2).alias("_kind"), F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_middle"))
+    live = df.select(F.col(key).alias("_k"), "_b", "_t", F.lit(0).alias("_kind"), given.alias("_row"))
+    ghosts = df.select(F.col(key).alias("_k"), (F.col("_b") + steps).alias("_b"), (F.col("_t") + span).alias("_t"), F.lit(1).alias("_kind"))
+    every = live.unionByName(ghosts, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+
+    place = Window.partitionBy("_k", "_b")
+    upto = place.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    after = place.orderBy("_t").rangeBetween(1, Window.unboundedFollowing)
+    number = lambda kind: F.when(F.col("_kind") == kind, 1).otherwise(0)
+    counted = every.select(
+        "_kind", "_row",
+        (F.sum(number(0)).over(upto) + F.coalesce(F.sum(number(1)).over(after), F.lit(0)) + F.coalesce(F.max("_middle").over(place), F.lit(0))).alias("n_recent"),
+    )
+    return counted.where("_kind = 0").select("_row.*", "n_recent")
 
 
 def lookup_limits(events: DataFrame, allowed_emails: list[str] | None = None, limit: int = LOOKUP_LIMIT) -> DataFrame:
     """Lookups in the last 24 hours by the same e-mail or the same IP, not counting
     the event itself twice.  ``events``: event_id, created_at, email, ip_address.
 
-    |E or I| = |E| + |I| - |E and I|, three rolling counts instead of collected ids.
+    |E or I| = |E| + |I| - |E and I|, three rolling counts one after the other instead
+    of collected ids.  An event without a key counts under a key of its own.
     """
-    both = events.withColumn("_pair", F.when(F.col("email").isNotNull() & F.col("ip_address").isNotNull(), F.struct("email", "ip_address")))
-
-    def counted(column: str, out: str) -> DataFrame:
-        rows = both.where(F.col(column).isNotNull()).select("event_id", "created_at", F.col(column).alias("k"))
-        return rolling_count(rows, "k", "created_at", "event_id").select("event_id", F.col("n_recent").alias(out))
-
-    df = events.join(counted("email", "_e"), "event_id", "left").join(counted("ip_address", "_i"), "event_id", "left")
-    df = df.join(counted("_pair", "_p"), "event_id", "left")
-    n = F.coalesce("_e", F.lit(0)) + F.coalesce("_i", F.lit(0)) - F.coalesce("_p", F.lit(0)) - 1
+    alone = F.concat(F.lit("\u0000"), F.col("event_id").cast("string"))
+    email, ip = F.coalesce(F.col("email").cast("string"), alone), F.coalesce(F.col("ip_address").cast("string"), alone)
+    df = events.where("created_at IS NOT NULL")
+    for out, key in (("_e", email), ("_i", ip), ("_p", F.struct(email.alias("e"), ip.alias("i")))):
+        df = rolling_count(df.withColumn("_key", key), "_key", "created_at", "event_id").drop("_key").withColumnRenamed("n_recent", out)
+    known = lambda out, *columns: F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]), F.col(out)).otherwise(0)
+    n = known("_e", "email") + known("_i", "ip_address") - known("_p", "email", "ip_address") - 1
     if allowed_emails:
         n = F.when(F.lower("email").isin([e.lower() for e in allowed_emails]), 0).otherwise(n)
     return df.withColumn("recent_lookups", n).drop("_e", "_i", "_p").withColumns({

@@ -10,6 +10,8 @@ its size bound, larger ones are shuffled with skew splitting.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,53 +65,47 @@ def correction_by_zip(addresses: DataFrame, zip_corrections: DataFrame, by_addre
 GAS_CONFIDENCE = {"override": 0.93, "ambiguous": 0.80, "prefix": 0.88}
 
 
+def _one_per_key(table: DataFrame, kind: str, of: str, key: str, name: str, out: str) -> DataFrame:
+    """(state, ``out``_key, ``out``): the first name of every key of one kind."""
+    return table.where(F.col(kind) == of).groupBy("state", F.col(key).alias(f"{out}_key")).agg(F.min(name).alias(out))
+
+
 def gas_zip_join(addresses: DataFrame, gas_mapping: DataFrame) -> DataFrame:
     """5-digit override, else first provider of an ambiguous ZIP, else 3-digit prefix.
 
-    ``gas_mapping``: state, key_kind, key, name, phone, website.  Both key lengths
-    are probed with one join; the priority is an aggregate, not three joins.
+    ``gas_mapping``: state, key_kind, key, name, phone, website.  One left join per
+    kind; an address is one row throughout.
     """
     zip5 = F.substring(F.trim("zip_code"), 1, 5)
-    probes = addresses.where("zip_code IS NOT NULL AND state IS NOT NULL").select(
-        "address_id", F.upper("state").alias("state"),
-        F.explode(F.array(
-            F.struct(F.lit("override").alias("key_kind"), zip5.alias("key")),
-            F.struct(F.lit("ambiguous").alias("key_kind"), zip5.alias("key")),
-            F.struct(F.lit("prefix").alias("key_kind"), F.substring(zip5, 1, 3).alias("key")),
-        )).alias("k"),
-    ).select("address_id", "state", "k.*")
-    order = F.array_position(F.array(F.lit("override"), F.lit("ambiguous"), F.lit("prefix")), F.col("key_kind"))
-    best = (
-        probes.join(gas_mapping, ["state", "key_kind", "key"])
-        .groupBy("address_id", "state").agg(F.min_by(F.struct("key_kind", "name"), order).alias("b"))
-    )
-    table = F.create_map(*[F.lit(v) for pair in GAS_CONFIDENCE.items() for v in pair])
-    source = F.concat(F.lit("gas_zip_mapping_"), F.lower("state"),
-                      F.when(F.col("b.key_kind") == "ambiguous", "_ambiguous").otherwise(""))
-    return _candidate(best, "gas", "b.name", source, table[F.col("b.key_kind")])
+    df = addresses.where("zip_code IS NOT NULL AND state IS NOT NULL").select(
+        "address_id", F.upper("state").alias("state"), zip5.alias("override_key"), zip5.alias("ambiguous_key"), F.substring(zip5, 1, 3).alias("prefix_key"))
+    for kind in GAS_CONFIDENCE:
+        df = df.join(_one_per_key(gas_mapping, "key_kind", kind, "key", "name", kind), ["state", f"{kind}_key"], "left")
+    found = lambda values: reduce(lambda c, kind: c.when(F.col(kind).isNotNull(), values[kind]), GAS_CONFIDENCE, F)
+    tail = found({kind: F.lit("_ambiguous" if kind == "ambiguous" else "") for kind in GAS_CONFIDENCE})
+    source = F.concat(F.lit("gas_zip_mapping_"), F.lower("state"), tail)
+    return _candidate(df, "gas", F.coalesce(*GAS_CONFIDENCE), source, found({kind: F.lit(c) for kind, c in GAS_CONFIDENCE.items()}))
+
+
+# fixed values: confidence by what was found
+COUNTY_GAS_CONFIDENCE = {"city": 0.88, "county": 0.85, "default": 0.60}
 
 
 def county_gas_join(addresses: DataFrame, county_gas: DataFrame) -> DataFrame:
     """City, else county, else the state's default; names compared without case.
 
-    ``county_gas``: state, kind (city | county | default), key_lower, utility.
+    ``county_gas``: state, kind (city | county | default), key_lower, utility.  One
+    left join per kind; an address is one row throughout.
     """
-    probes = addresses.where("state IS NOT NULL").select(
-        "address_id", F.upper("state").alias("state"),
-        F.explode(F.array(
-            F.struct(F.lit("city").alias("kind"), F.lower(F.trim("city")).alias("key_lower")),
-            F.struct(F.lit("county").alias("kind"), F.lower(county_clean("county")).alias("key_lower")),
-            F.struct(F.lit("default").alias("kind"), F.lit("_default").alias("key_lower")),
-        )).alias("k"),
-    ).select("address_id", "state", "k.*").where("key_lower IS NOT NULL")
-    order = F.array_position(F.array(F.lit("city"), F.lit("county"), F.lit("default")), F.col("kind"))
-    best = probes.join(county_gas, ["state", "kind", "key_lower"]).groupBy("address_id", "state").agg(
-        F.min_by(F.struct("kind", "utility"), order).alias("b")
-    )
-    conf = F.when(F.col("b.kind") == "city", 0.88).when(F.col("b.kind") == "county", 0.85).otherwise(0.60)
-    tail = F.when(F.col("b.kind") == "county", "").otherwise(F.concat(F.lit("_"), F.col("b.kind")))
-    source = F.concat(F.lit("county_gas_"), F.lower("state"), tail)
-    return _candidate(best, "gas", "b.utility", source, conf, cap=conf)
+    df = addresses.where("state IS NOT NULL").select(
+        "address_id", F.upper("state").alias("state"), F.lower(F.trim("city")).alias("city_key"), F.lower(county_clean("county")).alias("county_key"),
+        F.lit("_default").alias("default_key"))
+    for kind in COUNTY_GAS_CONFIDENCE:
+        df = df.join(_one_per_key(county_gas, "kind", kind, "key_lower", "utility", kind), ["state", f"{kind}_key"], "left")
+    found = lambda values: reduce(lambda c, kind: c.when(F.col(kind).isNotNull(), values[kind]), COUNTY_GAS_CONFIDENCE, F)
+    conf = found({kind: F.lit(c) for kind, c in COUNTY_GAS_CONFIDENCE.items()})
+    source = F.concat(F.lit("county_gas_"), F.lower("state"), found({kind: F.lit("" if kind == "county" else f"_{kind}") for kind in COUNTY_GAS_CONFIDENCE}))
+    return _candidate(df, "gas", F.coalesce(*COUNTY_GAS_CONFIDENCE), source, conf, cap=conf)
 
 
 def state_default_join(addresses: DataFrame, state_defaults: DataFrame) -> DataFrame:
