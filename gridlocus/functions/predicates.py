@@ -111,11 +111,15 @@ def is_wholesale(names: Column | str) -> Column:
     return contains_any(F.lower(F.array_join(as_col(names), " ")), rules.WHOLESALE_WORDS)
 
 
-def feature_kept(name, filter_value, filter_text, exclude_names) -> Column:
+def feature_kept(name, filter_value, filter_text, exclude_names, filter_equal=None) -> Column:
     """State-layer feature filter: case-insensitive containment of the configured
-    text in the filter attribute, and the name is not excluded.  NULL = no rule."""
+    text in the filter attribute, equality with a configured number or truth value,
+    and the name is not excluded.  NULL = no rule."""
     name, filter_text = as_col(name), as_col(filter_text)
     passes = filter_text.isNull() | F.lower(as_col(filter_value)).contains(F.lower(filter_text))
+    if filter_equal is not None:
+        equal, value = as_col(filter_equal), as_col(filter_value)
+        passes = passes & (equal.isNull() | F.coalesce(value.try_cast("double") == equal.try_cast("double"), F.lower(value) == F.lower(equal)))
     excluded = F.array_contains(F.coalesce(as_col(exclude_names), F.array().cast("array<string>")), name)
     return F.coalesce(passes, F.lit(False)) & ~F.coalesce(excluded, F.lit(False))
 

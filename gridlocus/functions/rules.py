@@ -11,49 +11,144 @@ from __future__ import annotations
 import re
 
 
-def _lines(text: str) -> list[str]:
-    return [part.strip() for part in text.replace("\n", "|").split("|") if part.strip()]
-
-
 def any_of(words: list[str]) -> str:
     """A regular expression that finds any of the words, taken literally."""
     return "|".join(re.escape(w) for w in words)
 
 
 # ---- fixed values: reserved names (checked in this order) -------------------
-NULL_NAMES = _lines(
-    """n/a | na | none | null | unknown | not needed | not applicable | not required
-    landlord | included | included in rent | choose your electric here | choose texas power
-    power to choose | select | enter | tbd | pending"""
-)
-PROPANE_NAMES = _lines(
-    """amerigas propane | amerigas | suburban propane | direct propane | superior plus propane
-    superior propane | mcphails | ferrellgas | ferrell gas"""
-)
-HOLDING_NAMES = _lines(
-    """berkshire hathaway energy | wec energy group | southern company | exelon | nextera energy
-    eversource energy | entergy corporation | firstenergy corp | edison international
-    sempra energy | cms energy | avangrid | ppl corporation | nisource | agl resources | scana"""
-)
+NULL_NAMES = [
+    "n/a",
+    "na",
+    "none",
+    "null",
+    "unknown",
+    "not needed",
+    "not applicable",
+    "not required",
+    "landlord",
+    "included",
+    "included in rent",
+    "choose your electric here",
+    "choose texas power",
+    "power to choose",
+    "select",
+    "enter",
+    "tbd",
+    "pending",
+]
+PROPANE_NAMES = [
+    "amerigas propane",
+    "amerigas",
+    "suburban propane",
+    "direct propane",
+    "superior plus propane",
+    "superior propane",
+    "mcphails",
+    "ferrellgas",
+    "ferrell gas",
+]
+HOLDING_NAMES = [
+    "berkshire hathaway energy",
+    "wec energy group",
+    "southern company",
+    "exelon",
+    "nextera energy",
+    "eversource energy",
+    "entergy corporation",
+    "firstenergy corp",
+    "edison international",
+    "sempra energy",
+    "cms energy",
+    "avangrid",
+    "ppl corporation",
+    "nisource",
+    "agl resources",
+    "scana",
+]
 # The dictionary build uses one more name than the matcher.
-HOLDING_NAMES_DICTIONARY = HOLDING_NAMES[:11] + ["alliant energy"] + HOLDING_NAMES[11:]
+HOLDING_NAMES_DICTIONARY = [
+    "berkshire hathaway energy",
+    "wec energy group",
+    "southern company",
+    "exelon",
+    "nextera energy",
+    "eversource energy",
+    "entergy corporation",
+    "firstenergy corp",
+    "edison international",
+    "sempra energy",
+    "cms energy",
+    "alliant energy",
+    "avangrid",
+    "ppl corporation",
+    "nisource",
+    "agl resources",
+    "scana",
+]
 
 # ---- fixed values: reported-value placeholders ------------------------------
-TENANT_NULLS = [""] + _lines(
-    """n/a | na | none | null | unknown | not applicable | landlord | included
-    included in rent | included in hoa | hoa | owner | property | management | apt | apartment
-    complex | community | building | self | resident | tenant | renter | occupant | varies | tbd
-    pending | see lease | contact office | ask management | choose your electric here
-    power to choose"""
-)
-PROPANE_WORDS = _lines("amerigas | suburban propane | ferrellgas | blue rhino | propane | tank | bottled gas")
+TENANT_NULLS = [
+    "",
+    "n/a",
+    "na",
+    "none",
+    "null",
+    "unknown",
+    "not applicable",
+    "landlord",
+    "included",
+    "included in rent",
+    "included in hoa",
+    "hoa",
+    "owner",
+    "property",
+    "management",
+    "apt",
+    "apartment",
+    "complex",
+    "community",
+    "building",
+    "self",
+    "resident",
+    "tenant",
+    "renter",
+    "occupant",
+    "varies",
+    "tbd",
+    "pending",
+    "see lease",
+    "contact office",
+    "ask management",
+    "choose your electric here",
+    "power to choose",
+]
+PROPANE_WORDS = [
+    "amerigas",
+    "suburban propane",
+    "ferrellgas",
+    "blue rhino",
+    "propane",
+    "tank",
+    "bottled gas",
+]
 
 # ---- fixed values: Texas delivery utilities ---------------------------------
-TDU_NAMES = _lines(
-    """ONCOR | ONCOR ELECTRIC DELIVERY | CENTERPOINT | CENTERPOINT ENERGY | AEP TEXAS
-    AEP TEXAS CENTRAL | AEP TEXAS NORTH | TEXAS-NEW MEXICO POWER | TNMP | LUBBOCK POWER
-    LUBBOCK P&L | BLUEBONNET ELECTRIC | BLUEBONNET ELEC"""
-)
+TDU_NAMES = [
+    "ONCOR",
+    "ONCOR ELECTRIC DELIVERY",
+    "CENTERPOINT",
+    "CENTERPOINT ENERGY",
+    "AEP TEXAS",
+    "AEP TEXAS CENTRAL",
+    "AEP TEXAS NORTH",
+    "TEXAS-NEW MEXICO POWER",
+    "TNMP",
+    "LUBBOCK POWER",
+    "LUBBOCK P&L",
+    "BLUEBONNET ELECTRIC",
+    "BLUEBONNET ELEC",
+]
 TDU_PRIORITY = {
     "CENTERPOINT ENERGY": 1,
     "AEP TEXAS CENTRAL COMPANY": 2,
@@ -62,53 +157,185 @@ TDU_PRIORITY = {
     "TEXAS-NEW MEXICO POWER CO": 4,
     "CITY OF LUBBOCK - (TX)": 5,
 }
-ERCOT_TDUS = _lines(
-    """ONCOR ELECTRIC DELIVERY COMPANY LLC | CENTERPOINT ENERGY | AEP TEXAS CENTRAL COMPANY
-    AEP TEXAS NORTH COMPANY | TEXAS-NEW MEXICO POWER CO | CITY OF LUBBOCK - (TX)"""
-)
+ERCOT_TDUS = [
+    "ONCOR ELECTRIC DELIVERY COMPANY LLC",
+    "CENTERPOINT ENERGY",
+    "AEP TEXAS CENTRAL COMPANY",
+    "AEP TEXAS NORTH COMPANY",
+    "TEXAS-NEW MEXICO POWER CO",
+    "CITY OF LUBBOCK - (TX)",
+]
 
 # ---- fixed values: large investor-owned utilities and local utilities -------
-LARGE_IOU_NAMES = _lines(
-    """DUKE ENERGY | DUKE ENERGY CAROLINAS | DUKE ENERGY PROGRESS | DUKE ENERGY FLORIDA
-    DUKE ENERGY INDIANA | DUKE ENERGY OHIO | DOMINION ENERGY | DOMINION VIRGINIA POWER
-    DOMINION ENERGY SOUTH CAROLINA | AMERICAN ELECTRIC POWER | AEP | AEP OHIO | AEP TEXAS
-    APPALACHIAN POWER | INDIANA MICHIGAN POWER | KENTUCKY POWER | SOUTHERN COMPANY
-    GEORGIA POWER | ALABAMA POWER | MISSISSIPPI POWER | ENTERGY | ENTERGY ARKANSAS
-    ENTERGY LOUISIANA | ENTERGY MISSISSIPPI | ENTERGY TEXAS | NEXTERA ENERGY
-    FLORIDA POWER & LIGHT | FPL | FLORIDA POWER AND LIGHT | GULF POWER | XCEL ENERGY
-    NORTHERN STATES POWER | PUBLIC SERVICE COMPANY OF COLORADO | PACIFIC GAS & ELECTRIC
-    PACIFIC GAS AND ELECTRIC | PG&E | CONSUMERS ENERGY | EVERSOURCE | EVERSOURCE ENERGY
-    PPL ELECTRIC | PPL CORPORATION | LOUISVILLE GAS AND ELECTRIC | KENTUCKY UTILITIES
-    PACIFICORP | ROCKY MOUNTAIN POWER | PACIFIC POWER | AMEREN | AMEREN ILLINOIS
-    AMEREN MISSOURI | APS | ARIZONA PUBLIC SERVICE | IDAHO POWER | TAMPA ELECTRIC | TECO ENERGY"""
-)
-LOCAL_WORDS = _lines(
-    """COOPERATIVE | COOP | ELECTRIC MEMBERSHIP | ELECTRIC MEMBER | MUNICIPAL | CITY OF | TOWN OF
-    VILLAGE OF | PUBLIC UTILITIES | UTILITIES COMMISSION | PUD | PUBLIC UTILITY DISTRICT | EMC
-    CPW | REA | REC"""
-)
-LOCAL_NAMES = _lines(
-    """ENERGY UNITED | BRIGHTRIDGE | JEA | GREER CPW | GREER COMMISSION OF PUBLIC WORKS
-    SANTEE COOPER | SECO ENERGY | PEDERNALES ELECTRIC | PEDERNALES ELECTRIC COOPERATIVE
-    NEW BRAUNFELS UTILITIES | BRYAN TEXAS UTILITIES | CPS ENERGY | AUSTIN ENERGY | EPB
-    EPB CHATTANOOGA | GAINESVILLE REGIONAL UTILITIES | KISSIMMEE UTILITY AUTHORITY
-    TALQUIN ELECTRIC | COWETA-FAYETTE EMC | COWETA FAYETTE EMC | CANOOCHEE EMC
-    SNAPPING SHOALS EMC | WAKE EMC | PIEDMONT EMC | PIEDMONT ELECTRIC MEMBERSHIP | CENTRAL EMC
-    CENTRAL ELECTRIC MEMBERSHIP | LUMBEE RIVER EMC | PEE DEE ELECTRIC | BROAD RIVER ELECTRIC
-    MID-CAROLINA ELECTRIC | MID CAROLINA ELECTRIC | NEWBERRY ELECTRIC"""
-)
+LARGE_IOU_NAMES = [
+    "DUKE ENERGY",
+    "DUKE ENERGY CAROLINAS",
+    "DUKE ENERGY PROGRESS",
+    "DUKE ENERGY FLORIDA",
+    "DUKE ENERGY INDIANA",
+    "DUKE ENERGY OHIO",
+    "DOMINION ENERGY",
+    "DOMINION VIRGINIA POWER",
+    "DOMINION ENERGY SOUTH CAROLINA",
+    "AMERICAN ELECTRIC POWER",
+    "AEP",
+    "AEP OHIO",
+    "AEP TEXAS",
+    "APPALACHIAN POWER",
+    "INDIANA MICHIGAN POWER",
+    "KENTUCKY POWER",
+    "SOUTHERN COMPANY",
+    "GEORGIA POWER",
+    "ALABAMA POWER",
+    "MISSISSIPPI POWER",
+    "ENTERGY",
+    "ENTERGY ARKANSAS",
+    "ENTERGY LOUISIANA",
+    "ENTERGY MISSISSIPPI",
+    "ENTERGY TEXAS",
+    "NEXTERA ENERGY",
+    "FLORIDA POWER & LIGHT",
+    "FPL",
+    "FLORIDA POWER AND LIGHT",
+    "GULF POWER",
+    "XCEL ENERGY",
+    "NORTHERN STATES POWER",
+    "PUBLIC SERVICE COMPANY OF COLORADO",
+    "PACIFIC GAS & ELECTRIC",
+    "PACIFIC GAS AND ELECTRIC",
+    "PG&E",
+    "CONSUMERS ENERGY",
+    "EVERSOURCE",
+    "EVERSOURCE ENERGY",
+    "PPL ELECTRIC",
+    "PPL CORPORATION",
+    "LOUISVILLE GAS AND ELECTRIC",
+    "KENTUCKY UTILITIES",
+    "PACIFICORP",
+    "ROCKY MOUNTAIN POWER",
+    "PACIFIC POWER",
+    "AMEREN",
+    "AMEREN ILLINOIS",
+    "AMEREN MISSOURI",
+    "APS",
+    "ARIZONA PUBLIC SERVICE",
+    "IDAHO POWER",
+    "TAMPA ELECTRIC",
+    "TECO ENERGY",
+]
+LOCAL_WORDS = [
+    "COOPERATIVE",
+    "COOP",
+    "ELECTRIC MEMBERSHIP",
+    "ELECTRIC MEMBER",
+    "MUNICIPAL",
+    "CITY OF",
+    "TOWN OF",
+    "VILLAGE OF",
+    "PUBLIC UTILITIES",
+    "UTILITIES COMMISSION",
+    "PUD",
+    "PUBLIC UTILITY DISTRICT",
+    "EMC",
+    "CPW",
+    "REA",
+    "REC",
+]
+LOCAL_NAMES = [
+    "ENERGY UNITED",
+    "BRIGHTRIDGE",
+    "JEA",
+    "GREER CPW",
+    "GREER COMMISSION OF PUBLIC WORKS",
+    "SANTEE COOPER",
+    "SECO ENERGY",
+    "PEDERNALES ELECTRIC",
+    "PEDERNALES ELECTRIC COOPERATIVE",
+    "NEW BRAUNFELS UTILITIES",
+    "BRYAN TEXAS UTILITIES",
+    "CPS ENERGY",
+    "AUSTIN ENERGY",
+    "EPB",
+    "EPB CHATTANOOGA",
+    "GAINESVILLE REGIONAL UTILITIES",
+    "KISSIMMEE UTILITY AUTHORITY",
+    "TALQUIN ELECTRIC",
+    "COWETA-FAYETTE EMC",
+    "COWETA FAYETTE EMC",
+    "CANOOCHEE EMC",
+    "SNAPPING SHOALS EMC",
+    "WAKE EMC",
+    "PIEDMONT EMC",
+    "PIEDMONT ELECTRIC MEMBERSHIP",
+    "CENTRAL EMC",
+    "CENTRAL ELECTRIC MEMBERSHIP",
+    "LUMBEE RIVER EMC",
+    "PEE DEE ELECTRIC",
+    "BROAD RIVER ELECTRIC",
+    "MID-CAROLINA ELECTRIC",
+    "MID CAROLINA ELECTRIC",
+    "NEWBERRY ELECTRIC",
+]
 
 # ---- fixed values: water -----------------------------------------------------
-WATER_WORDS = _lines(
-    """WATER | CITY OF | TOWN OF | VILLAGE OF | COUNTY | MUNICIPAL | UTILITY | UTILITIES | DISTRICT
-    MUD | WSC | SUD | PUD | WCID | AUTHORITY | COMMISSION | DEPARTMENT | DEPT | SERVICE | SUPPLY
-    SYSTEM | WORKS | COOPERATIVE | COOP | CORP | CORPORATION | IMPROVEMENT | SPECIAL | RURAL"""
-)
-WATER_GENERIC_WORDS = _lines(
-    """city | of | the | water | utilities | utility | department | dept | system | public
-    authority | county | town | service | services | district | plant | filtration
-    metropolitan | regional | board | commission | village | municipal | works"""
-)
+WATER_WORDS = [
+    "WATER",
+    "CITY OF",
+    "TOWN OF",
+    "VILLAGE OF",
+    "COUNTY",
+    "MUNICIPAL",
+    "UTILITY",
+    "UTILITIES",
+    "DISTRICT",
+    "MUD",
+    "WSC",
+    "SUD",
+    "PUD",
+    "WCID",
+    "AUTHORITY",
+    "COMMISSION",
+    "DEPARTMENT",
+    "DEPT",
+    "SERVICE",
+    "SUPPLY",
+    "SYSTEM",
+    "WORKS",
+    "COOPERATIVE",
+    "COOP",
+    "CORP",
+    "CORPORATION",
+    "IMPROVEMENT",
+    "SPECIAL",
+    "RURAL",
+]
+WATER_GENERIC_WORDS = [
+    "city",
+    "of",
+    "the",
+    "water",
+    "utilities",
+    "utility",
+    "department",
+    "dept",
+    "system",
+    "public",
+    "authority",
+    "county",
+    "town",
+    "service",
+    "services",
+    "district",
+    "plant",
+    "filtration",
+    "metropolitan",
+    "regional",
+    "board",
+    "commission",
+    "village",
+    "municipal",
+    "works",
+]
 WATER_ABBREVIATIONS = [
     (r"\bWtr\b", "Water"),
     (r"\bCo\b(?=\s|$)", "County"),
@@ -131,12 +358,26 @@ WATER_ABBREVIATIONS = [
     (r"\bSd\b(?=\s*\d)", "Supply District"),
     (r"\bWtp\b", "Water Treatment Plant"),
 ]
-WATER_GENERIC_SUFFIXES = _lines(
-    """Water Utilities Department | Water Utility Department | Water Department | Water Utilities
-    Water Utility | Public Water System | Water System | Water Works | Waterworks | Water Dept
-    Water Svc | Water Service | City Utilities | Municipal Utilities | Public Utilities
-    Dept Of Public Utilities | Department Of Public Utilities | Pws"""
-)
+WATER_GENERIC_SUFFIXES = [
+    "Water Utilities Department",
+    "Water Utility Department",
+    "Water Department",
+    "Water Utilities",
+    "Water Utility",
+    "Public Water System",
+    "Water System",
+    "Water Works",
+    "Waterworks",
+    "Water Dept",
+    "Water Svc",
+    "Water Service",
+    "City Utilities",
+    "Municipal Utilities",
+    "Public Utilities",
+    "Dept Of Public Utilities",
+    "Department Of Public Utilities",
+    "Pws",
+]
 
 # ---- fixed values: comparison ------------------------------------------------
 CROSS_STATE_DENY = {
@@ -146,13 +387,32 @@ CROSS_STATE_DENY = {
 GAS_ONLY_NAMES = ["intermountain gas"]
 ELECTRIC_WORDS_IN_GAS = ["electric", " emc", "membership corp", "power company", "duke energy",
                          "rocky mountain power", "xcel energy"]
-GA_GAS_DISTRIBUTORS = _lines("nicor gas | atlanta gas light | liberty utilities | atmos energy")
-GA_GAS_MARKETERS = _lines(
-    """georgia natural gas | scana energy | gas south | constellation | constellation energy
-    infinite energy | xoom energy | xoom | stream energy | stream | santanna energy
-    volunteer energy | true natural gas | true gas | walton emc natural gas
-    snapping shoals emc natural gas | sawnee emc | fuel georgia"""
-)
+GA_GAS_DISTRIBUTORS = [
+    "nicor gas",
+    "atlanta gas light",
+    "liberty utilities",
+    "atmos energy",
+]
+GA_GAS_MARKETERS = [
+    "georgia natural gas",
+    "scana energy",
+    "gas south",
+    "constellation",
+    "constellation energy",
+    "infinite energy",
+    "xoom energy",
+    "xoom",
+    "stream energy",
+    "stream",
+    "santanna energy",
+    "volunteer energy",
+    "true natural gas",
+    "true gas",
+    "walton emc natural gas",
+    "snapping shoals emc natural gas",
+    "sawnee emc",
+    "fuel georgia",
+]
 CORE_STRIP_PATTERNS = [
     r"\s*-\s*\([a-z]{2}\)", r"\s*\([a-z]{2}\)",
     r"\bpud no \d+ of\b", r"\bcity of\b", r"\btown of\b",
@@ -160,55 +420,209 @@ CORE_STRIP_PATTERNS = [
     r"\belectric\b", r"\benergy\b", r"\bpower\b", r"\butilities\b",
     r"\bcooperative\b", r"\bcoop\b", r"\bmember\b", r"\bcorporation\b",
 ]
-CATEGORIES = _lines(
-    """BOTH_EMPTY | ENGINE_ONLY | TENANT_ONLY | TENANT_NULL | TENANT_PROPANE | MATCH | MATCH_TDU
-    MATCH_PARENT | MATCH_ALT | MISMATCH"""
-)
-ID_BUCKETS = _lines(
-    """ID_MATCH | ID_MATCH_TDU | NAME_MATCH_ID_MISMATCH | TRUE_MISMATCH | TENANT_ID_MISSING
-    ENGINE_ID_MISSING | BOTH_ID_MISSING"""
-)
+CATEGORIES = [
+    "BOTH_EMPTY",
+    "ENGINE_ONLY",
+    "TENANT_ONLY",
+    "TENANT_NULL",
+    "TENANT_PROPANE",
+    "MATCH",
+    "MATCH_TDU",
+    "MATCH_PARENT",
+    "MATCH_ALT",
+    "MISMATCH",
+]
+ID_BUCKETS = [
+    "ID_MATCH",
+    "ID_MATCH_TDU",
+    "NAME_MATCH_ID_MISMATCH",
+    "TRUE_MISMATCH",
+    "TENANT_ID_MISSING",
+    "ENGINE_ID_MISSING",
+    "BOTH_ID_MISSING",
+]
 PARENT_GROUPS = {
-    "Dominion Energy": """Dominion Virginia Power | Dominion Energy Virginia | Dominion Energy
-        Dominion NC | Dominion Energy South Carolina | Dominion Energy Ohio | Questar Gas
-        Virginia Natural Gas | Dominion""",
-    "Duke Energy": """Duke Energy | Duke Energy Carolinas | Duke Energy Progress
-        Duke Energy Indiana | Duke Energy Ohio | Duke Energy Florida | Piedmont Natural Gas | Duke""",
-    "Southern Company": "Georgia Power | Alabama Power | Mississippi Power | Gulf Power | Southern Company",
-    "Eversource": """Eversource | Eversource CT | Eversource MA | Eversource NH | NSTAR | Yankee Gas
-        Yankee Gas Service | United Illuminating""",
-    "WEC Energy": "We Energies | Wisconsin Public Service | Peoples Gas | North Shore Gas | WEC Energy",
-    "Xcel Energy": """Xcel Energy | Northern States Power | Public Service Company of Colorado
-        Southwestern Public Service""",
-    "FirstEnergy": """FirstEnergy | Ohio Edison | Cleveland Illuminating | Cleveland Electric Illum
-        Cleveland Electric Illuminating | The Illuminating Company | Illuminating Company
-        Toledo Edison | Mon Power | Monongahela Power | Potomac Edison | West Penn Power
-        West Penn Power Company | Jersey Central P&L | Met-Ed | Penelec""",
-    "AEP": """AEP | AEP Ohio | AEP Texas Central | AEP Texas North | AEP Texas | Appalachian Power
-        Indiana Michigan Power | Kentucky Power | Public Service Company of Oklahoma
-        Southwestern Electric Power""",
-    "Exelon": """Exelon | ComEd | Commonwealth Edison | PECO | PECO Energy | BGE
-        Baltimore Gas and Electric | Pepco | Potomac Electric Power | Delmarva Power
-        Atlantic City Electric""",
-    "PSE&G": """PSE&G | PSEG | Public Service Electric and Gas | Public Service Enterprise Group""",
-    "National Grid": "National Grid | National Grid MA | KeySpan | New England Power",
-    "Entergy": """Entergy | Entergy Arkansas | Entergy Louisiana | Entergy Mississippi
-        Entergy New Orleans | Entergy Texas""",
-    "Sempra": "SDG&E | San Diego Gas & Electric | SoCalGas | Southern California Gas",
-    "PG&E": "PG&E | Pacific Gas and Electric | Pacific Gas & Electric",
-    "Con Edison": "Con Edison | ConEd | Consolidated Edison | Orange and Rockland | O&R",
-    "Alliant Energy": """Alliant Energy | Wisconsin Power & Light | Wisconsin Power And Light
-        Interstate Power and Light | IPL""",
-    "Enbridge": """Enbridge Gas | Enbridge Gas Ohio | Enbridge Gas North Carolina | Enbridge Gas NC
-        Public Service NC | Public Service Company of North Carolina | PSNC Energy
-        Vectren Energy | Vectren""",
-    "Gas South": "Gas South | Gas South Avalon | Nicor Gas",
-    "Hawaiian Electric": """Hawaiian Electric | Hawaiian Electric Company | Hawaii Electric Light
-        Hawaii Electric Light Company | HELCO | Maui Electric | MECO""",
-    "Seattle Utilities": "Seattle City Light | Seattle Public Utilities",
-    "Dominion Energy Utah": "Dominion Energy | Dominion Energy Utah | Questar Gas",
-    "Columbia Gas": """Columbia Gas | Columbia Gas VA | Columbia Gas of Virginia
-        Columbia Gas of Pennsylvania | Columbia Gas of Ohio | Columbia Gas of Maryland""",
+    "Dominion Energy": [
+        "Dominion Virginia Power",
+        "Dominion Energy Virginia",
+        "Dominion Energy",
+        "Dominion NC",
+        "Dominion Energy South Carolina",
+        "Dominion Energy Ohio",
+        "Questar Gas",
+        "Virginia Natural Gas",
+        "Dominion",
+    ],
+    "Duke Energy": [
+        "Duke Energy",
+        "Duke Energy Carolinas",
+        "Duke Energy Progress",
+        "Duke Energy Indiana",
+        "Duke Energy Ohio",
+        "Duke Energy Florida",
+        "Piedmont Natural Gas",
+        "Duke",
+    ],
+    "Southern Company": [
+        "Georgia Power",
+        "Alabama Power",
+        "Mississippi Power",
+        "Gulf Power",
+        "Southern Company",
+    ],
+    "Eversource": [
+        "Eversource",
+        "Eversource CT",
+        "Eversource MA",
+        "Eversource NH",
+        "NSTAR",
+        "Yankee Gas",
+        "Yankee Gas Service",
+        "United Illuminating",
+    ],
+    "WEC Energy": [
+        "We Energies",
+        "Wisconsin Public Service",
+        "Peoples Gas",
+        "North Shore Gas",
+        "WEC Energy",
+    ],
+    "Xcel Energy": [
+        "Xcel Energy",
+        "Northern States Power",
+        "Public Service Company of Colorado",
+        "Southwestern Public Service",
+    ],
+    "FirstEnergy": [
+        "FirstEnergy",
+        "Ohio Edison",
+        "Cleveland Illuminating",
+        "Cleveland Electric Illum",
+        "Cleveland Electric Illuminating",
+        "The Illuminating Company",
+        "Illuminating Company",
+        "Toledo Edison",
+        "Mon Power",
+        "Monongahela Power",
+        "Potomac Edison",
+        "West Penn Power",
+        "West Penn Power Company",
+        "Jersey Central P&L",
+        "Met-Ed",
+        "Penelec",
+    ],
+    "AEP": [
+        "AEP",
+        "AEP Ohio",
+        "AEP Texas Central",
+        "AEP Texas North",
+        "AEP Texas",
+        "Appalachian Power",
+        "Indiana Michigan Power",
+        "Kentucky Power",
+        "Public Service Company of Oklahoma",
+        "Southwestern Electric Power",
+    ],
+    "Exelon": [
+        "Exelon",
+        "ComEd",
+        "Commonwealth Edison",
+        "PECO",
+        "PECO Energy",
+        "BGE",
+        "Baltimore Gas and Electric",
+        "Pepco",
+        "Potomac Electric Power",
+        "Delmarva Power",
+        "Atlantic City Electric",
+    ],
+    "PSE&G": [
+        "PSE&G",
+        "PSEG",
+        "Public Service Electric and Gas",
+        "Public Service Enterprise Group",
+    ],
+    "National Grid": [
+        "National Grid",
+        "National Grid MA",
+        "KeySpan",
+        "New England Power",
+    ],
+    "Entergy": [
+        "Entergy",
+        "Entergy Arkansas",
+        "Entergy Louisiana",
+        "Entergy Mississippi",
+        "Entergy New Orleans",
+        "Entergy Texas",
+    ],
+    "Sempra": [
+        "SDG&E",
+        "San Diego Gas & Electric",
+        "SoCalGas",
+        "Southern California Gas",
+    ],
+    "PG&E": [
+        "PG&E",
+        "Pacific Gas and Electric",
+        "Pacific Gas & Electric",
+    ],
+    "Con Edison": [
+        "Con Edison",
+        "ConEd",
+        "Consolidated Edison",
+        "Orange and Rockland",
+        "O&R",
+    ],
+    "Alliant Energy": [
+        "Alliant Energy",
+        "Wisconsin Power & Light",
+        "Wisconsin Power And Light",
+        "Interstate Power and Light",
+        "IPL",
+    ],
+    "Enbridge": [
+        "Enbridge Gas",
+        "Enbridge Gas Ohio",
+        "Enbridge Gas North Carolina",
+        "Enbridge Gas NC",
+        "Public Service NC",
+        "Public Service Company of North Carolina",
+        "PSNC Energy",
+        "Vectren Energy",
+        "Vectren",
+    ],
+    "Gas South": [
+        "Gas South",
+        "Gas South Avalon",
+        "Nicor Gas",
+    ],
+    "Hawaiian Electric": [
+        "Hawaiian Electric",
+        "Hawaiian Electric Company",
+        "Hawaii Electric Light",
+        "Hawaii Electric Light Company",
+        "HELCO",
+        "Maui Electric",
+        "MECO",
+    ],
+    "Seattle Utilities": [
+        "Seattle City Light",
+        "Seattle Public Utilities",
+    ],
+    "Dominion Energy Utah": [
+        "Dominion Energy",
+        "Dominion Energy Utah",
+        "Questar Gas",
+    ],
+    "Columbia Gas": [
+        "Columbia Gas",
+        "Columbia Gas VA",
+        "Columbia Gas of Virginia",
+        "Columbia Gas of Pennsylvania",
+        "Columbia Gas of Ohio",
+        "Columbia Gas of Maryland",
+    ],
 }
 
 # ---- fixed values: names -----------------------------------------------------
@@ -217,16 +631,104 @@ LEGAL_SUFFIXES = [", INC.", ", INC", " INC.", " INC", ", CORP.", ", CORP", " COR
                   " COMPANY", " CO.", " CO"]
 DISPLAY_SUFFIXES = [", Inc.", ", Inc", " Inc.", " Inc", ", Corp.", ", Corp", " Corp.", " Corp",
                     ", LLC", " LLC", ", L.L.C.", " Company", " Co.", ", L.P.", " L.P."]
-STATE_CODES = """AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV
-    NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC""".split()
-EIA_STOP_WORDS = """ELECTRIC POWER ENERGY COMPANY CORPORATION CORP INC LLC CO OF THE AND UTILITY
-    UTILITIES SERVICE SERVICES LIGHT GAS COOPERATIVE COOP ASSOCIATION AUTHORITY DEPARTMENT DEPT
-    COMMISSION BOARD DISTRICT MUNICIPAL CITY COUNTY STATE PUBLIC RURAL""".split()
-WHOLESALE_WORDS = _lines(
-    """bonneville power | western area power | tennessee valley authority
-    southwestern power admin | southeastern power admin | power marketing | generation
-    transmission"""
-)
+STATE_CODES = [
+    "AL",
+    "AK",
+    "AZ",
+    "AR",
+    "CA",
+    "CO",
+    "CT",
+    "DE",
+    "FL",
+    "GA",
+    "HI",
+    "ID",
+    "IL",
+    "IN",
+    "IA",
+    "KS",
+    "KY",
+    "LA",
+    "ME",
+    "MD",
+    "MA",
+    "MI",
+    "MN",
+    "MS",
+    "MO",
+    "MT",
+    "NE",
+    "NV",
+    "NH",
+    "NJ",
+    "NM",
+    "NY",
+    "NC",
+    "ND",
+    "OH",
+    "OK",
+    "OR",
+    "PA",
+    "RI",
+    "SC",
+    "SD",
+    "TN",
+    "TX",
+    "UT",
+    "VT",
+    "VA",
+    "WA",
+    "WV",
+    "WI",
+    "WY",
+    "DC",
+]
+EIA_STOP_WORDS = [
+    "ELECTRIC",
+    "POWER",
+    "ENERGY",
+    "COMPANY",
+    "CORPORATION",
+    "CORP",
+    "INC",
+    "LLC",
+    "CO",
+    "OF",
+    "THE",
+    "AND",
+    "UTILITY",
+    "UTILITIES",
+    "SERVICE",
+    "SERVICES",
+    "LIGHT",
+    "GAS",
+    "COOPERATIVE",
+    "COOP",
+    "ASSOCIATION",
+    "AUTHORITY",
+    "DEPARTMENT",
+    "DEPT",
+    "COMMISSION",
+    "BOARD",
+    "DISTRICT",
+    "MUNICIPAL",
+    "CITY",
+    "COUNTY",
+    "STATE",
+    "PUBLIC",
+    "RURAL",
+]
+WHOLESALE_WORDS = [
+    "bonneville power",
+    "western area power",
+    "tennessee valley authority",
+    "southwestern power admin",
+    "southeastern power admin",
+    "power marketing",
+    "generation",
+    "transmission",
+]
 CASING = {
     "pg&e": "PG&E", "pge": "PG&E", "sce": "SCE", "sdg&e": "SDG&E", "sdge": "SDG&E",
     "socalgas": "SoCalGas", "comed": "ComEd", "cps energy": "CPS Energy", "aep": "AEP",
@@ -338,38 +840,96 @@ CONTACT_SUFFIXES = {
 }
 
 # ---- fixed values: retail provider extraction (Texas) -----------------------
-NOT_RETAIL = _lines(
-    """oncor | oncor electric-tx | oncor electric delivery | oncor electric delivery company
-    oncor electric delivery company llc | centerpoint energy | centerpoint energy - tx
-    centerpoint energy houston electric | aep texas | aep texas central | aep texas north
-    aep texas inc. | texas-new mexico power | texas-new mexico power company | tnmp
-    lubbock power & light | lubbock power & light system | lubbock power & light - tx
-    entergy texas | entergy texas, inc. | entergy | el paso electric | el paso electric company
-    southwestern electric power company | southwestern electric power company - ar | swepco
-    xcel energy | xcel energy colorado | xcel energy minnesota | aep energy
-    austin energy | cps energy | bryan texas utilities | san marcos texas utilities
-    college station utilities | georgetown utility systems | garland power & light
-    new braunfels utilities | brownsville public utilities board - tx
-    floresville electric light & power system (felps)
-    geus (greenville electric utility system) | kerrville public utility board
-    seguin electric division | boerne utilities | brenham | denton municipal electric
-    city of lubbock | city of brownsville
-    pedernales electric cooperative | pedernales electric | pedernales | pec
-    bluebonnet electric | coserv | coserv electric cooperative, inc. | gvec
-    guadalupe valley electric cooperative, inc. | hilco electric cooperative, inc.
-    magic valley electric cooperative, inc. | sam houston electric cooperative, inc.
-    south plains electric co | south plains electric cooperative, inc.
-    south plains electric cooperative - tx | tri-county electric cooperative, inc.
-    trinity valley electric cooperative, inc. | trinity valley electric
-    united electric cooperative services, inc. | grayson-collin electric cooperative, inc.
-    deep east texas electric cooperative, inc. | mid-south electric cooperative association
-    bandera electric cooperative, inc. | bartlett electric cooperative, inc.
-    farmers electric cooperative, inc.
-    choose your electric here | choose texas power | power to choose | tx) | tx | inc - (tx)
-    spring | inc. | inc
-    green mountain power - vt | green mountain power | peco electric | atmos energy
-    atmos energy - tx | centerpoint energy gas"""
-)
+NOT_RETAIL = [
+    "oncor",
+    "oncor electric-tx",
+    "oncor electric delivery",
+    "oncor electric delivery company",
+    "oncor electric delivery company llc",
+    "centerpoint energy",
+    "centerpoint energy - tx",
+    "centerpoint energy houston electric",
+    "aep texas",
+    "aep texas central",
+    "aep texas north",
+    "aep texas inc.",
+    "texas-new mexico power",
+    "texas-new mexico power company",
+    "tnmp",
+    "lubbock power & light",
+    "lubbock power & light system",
+    "lubbock power & light - tx",
+    "entergy texas",
+    "entergy texas, inc.",
+    "entergy",
+    "el paso electric",
+    "el paso electric company",
+    "southwestern electric power company",
+    "southwestern electric power company - ar",
+    "swepco",
+    "xcel energy",
+    "xcel energy colorado",
+    "xcel energy minnesota",
+    "aep energy",
+    "austin energy",
+    "cps energy",
+    "bryan texas utilities",
+    "san marcos texas utilities",
+    "college station utilities",
+    "georgetown utility systems",
+    "garland power & light",
+    "new braunfels utilities",
+    "brownsville public utilities board - tx",
+    "floresville electric light & power system (felps)",
+    "geus (greenville electric utility system)",
+    "kerrville public utility board",
+    "seguin electric division",
+    "boerne utilities",
+    "brenham",
+    "denton municipal electric",
+    "city of lubbock",
+    "city of brownsville",
+    "pedernales electric cooperative",
+    "pedernales electric",
+    "pedernales",
+    "pec",
+    "bluebonnet electric",
+    "coserv",
+    "coserv electric cooperative, inc.",
+    "gvec",
+    "guadalupe valley electric cooperative, inc.",
+    "hilco electric cooperative, inc.",
+    "magic valley electric cooperative, inc.",
+    "sam houston electric cooperative, inc.",
+    "south plains electric co",
+    "south plains electric cooperative, inc.",
+    "south plains electric cooperative - tx",
+    "tri-county electric cooperative, inc.",
+    "trinity valley electric cooperative, inc.",
+    "trinity valley electric",
+    "united electric cooperative services, inc.",
+    "grayson-collin electric cooperative, inc.",
+    "deep east texas electric cooperative, inc.",
+    "mid-south electric cooperative association",
+    "bandera electric cooperative, inc.",
+    "bartlett electric cooperative, inc.",
+    "farmers electric cooperative, inc.",
+    "choose your electric here",
+    "choose texas power",
+    "power to choose",
+    "tx)",
+    "tx",
+    "inc - (tx)",
+    "spring",
+    "inc.",
+    "inc",
+    "green mountain power - vt",
+    "green mountain power",
+    "peco electric",
+    "atmos energy",
+    "atmos energy - tx",
+    "centerpoint energy gas",
+]
 NOT_RETAIL_WORDS = ["cooperative", "co-op", "coop", "municipal", "city of", "choose", "county"]
 
 # ---- fixed values: review ----------------------------------------------------

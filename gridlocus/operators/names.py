@@ -182,7 +182,7 @@ def parent_table(spark, groups: dict[str, str] | None = None) -> DataFrame:
     takes the last parent."""
     table: dict[str, str] = {}
     for parent, listed in (groups or rules.PARENT_GROUPS).items():
-        for n in rules._lines(listed):
+        for n in listed:
             table[n.lower()] = parent
     rows = [(n, p, i) for i, (n, p) in enumerate(table.items())]
     return spark.createDataFrame(rows, "name_lower string, parent string, ordinal int")

@@ -384,7 +384,8 @@ def state_source_join(
 
     ``points``: point_id, x, y, state, utility_type.
     ``config``: utility_type, state, kind, layer_ordinal, filter_text, exclude_names,
-    is_fallback, confidence, default_name — one row per layer.
+    is_fallback, confidence, default_name and optionally filter_equal — one row per
+    layer.  Filters and excluded names hold for sources of one URL (`arcgis`) only.
     ``features``: state, utility_type, layer_ordinal, feature_ordinal, name,
     filter_value, rings.
     """
@@ -397,13 +398,16 @@ def state_source_join(
         .join(conf.select("state", "utility_type", "confidence"), ["state", "utility_type"])
         .select(*key, "name", "confidence", F.lit(False).alias("is_fallback"))
     )
+    one_url = F.col("kind") == "arcgis"
+    equal = F.col("filter_equal").cast("string") if "filter_equal" in config.columns else F.lit(None).cast("string")
     layers = config.where("kind IN ('arcgis', 'layers')").select(
-        "state", "utility_type", "layer_ordinal", "filter_text", "exclude_names", "is_fallback", "confidence"
+        "state", "utility_type", "layer_ordinal", F.when(one_url, F.col("filter_text")).alias("filter_text"), F.when(one_url, equal).alias("filter_equal"),
+        F.when(one_url, F.col("exclude_names")).alias("exclude_names"), "is_fallback", "confidence"
     )
     shapes = with_bbox(features.join(layers, ["state", "utility_type", "layer_ordinal"])).withColumn(
         "territory_id", F.struct("layer_ordinal", "feature_ordinal")
     )
-    usable = shapes.where(F.col("filter_text").isNull() | P.feature_kept("name", "filter_value", "filter_text", F.lit(None).cast("array<string>")))
+    usable = shapes.where(P.feature_kept("name", "filter_value", "filter_text", F.lit(None).cast("array<string>"), "filter_equal"))
     hits = point_in_territory(
         points.select(*key, "x", "y"), usable, base, inclusive=True, on=("state", "utility_type")
     )

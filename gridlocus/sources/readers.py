@@ -292,7 +292,10 @@ def flatten_state_sources(docs: DataFrame, doc: str = "doc") -> tuple[DataFrame,
     """(layers, regions) from {utility: {state: settings}}.
 
     Layers: utility_type, state, kind, layer_ordinal, layer, name_field, filter_field,
-    filter_text, exclude_names, is_fallback, confidence, default_name.
+    filter_text, filter_equal, exclude_names, is_fallback, confidence, default_name.
+    A layer that is a number or a name stands for ``{layer}`` in the state's URL.  A
+    filter value that is text is looked for in the attribute, any other has to equal
+    it.  Filters and excluded names hold for sources of one URL, not for layers.
     """
     top = docs.select(F.explode(entries(F.col(doc), STR_MAP)).alias("u")).select(
         F.col("u.key").alias("utility_type"), F.explode("u.value").alias("state", "v")).where(
@@ -301,7 +304,8 @@ def flatten_state_sources(docs: DataFrame, doc: str = "doc") -> tuple[DataFrame,
     named = F.coalesce(field("type"), F.lit("arcgis"))
     layered = field("layers").isNotNull()
     confidence = field("confidence").try_cast("double")
-    listed = F.transform(F.from_json(field("layers"), "array<string>"), lambda x: F.coalesce(F.get_json_object(x, "$.url"), x))
+    listed = F.transform(F.from_json(field("layers"), "array<string>"), lambda x: F.coalesce(F.get_json_object(x, "$.url"), F.replace(field("url"), F.lit("{layer}"), x), x))
+    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json("v"), "$.filter_value", "variant")) == "STRING"
     main = F.when(layered, listed).otherwise(F.array(field("url")))
     fallback = F.when(~layered & field("fallback_url").isNotNull(), F.array(field("fallback_url"))).otherwise(F.array().cast("array<string>"))
     default = F.when(named == "single_utility", 0.95).when(named == "coordinate_mapping", 0.95).when(layered, 0.92).otherwise(0.90)
@@ -309,15 +313,15 @@ def flatten_state_sources(docs: DataFrame, doc: str = "doc") -> tuple[DataFrame,
         "utility_type", "state", F.when(layered, "layers").otherwise(named).alias("kind"), F.size(main).alias("_n"),
         F.posexplode(F.concat(main, fallback)).alias("layer_ordinal", "layer"),
         field("name_field").alias("_name"), F.coalesce(field("fallback_name_field"), field("name_field")).alias("_fallback_name"),
-        field("filter_field").alias("_filter_field"), field("filter_value").alias("_filter_value"),
-        F.coalesce(F.from_json(field("exclude_names"), "array<string>"), F.array().cast("array<string>")).alias("exclude_names"),
+        F.when(~layered, field("filter_field")).alias("_filter_field"), F.when(~layered, field("filter_value")).alias("_filter_value"), is_text.alias("_is_text"),
+        F.coalesce(F.when(~layered, F.from_json(field("exclude_names"), "array<string>")), F.array().cast("array<string>")).alias("exclude_names"),
         F.coalesce(confidence, default).alias("_conf"),
         F.coalesce(field("fallback_confidence").try_cast("double"), confidence, F.lit(0.85)).alias("_fallback_conf"),
         field("default_name").alias("default_name"))
     back = F.col("layer_ordinal") >= F.col("_n")
     layers = rows.select(
         "utility_type", "state", "kind", "layer_ordinal", "layer", F.when(back, F.col("_fallback_name")).otherwise(F.col("_name")).alias("name_field"),
-        F.when(~back, F.col("_filter_field")).alias("filter_field"), F.when(~back, F.col("_filter_value")).alias("filter_text"),
+        F.when(~back, F.col("_filter_field")).alias("filter_field"), F.when(~back & F.col("_is_text"), F.col("_filter_value")).alias("filter_text"), F.when(~back & ~F.col("_is_text"), F.col("_filter_value")).alias("filter_equal"),
         "exclude_names", back.alias("is_fallback"), F.when(back, F.col("_fallback_conf")).otherwise(F.col("_conf")).alias("confidence"), "default_name")
     region = lambda f: F.get_json_object("e.value", f"$.{f}")
     regions = top.where(named == "coordinate_mapping").select("utility_type", "state", F.posexplode(entries(field("mappings"))).alias("ordinal", "e")).select(

@@ -239,6 +239,11 @@ def _(t):
     return t.territories.select("territory_id", P.feature_kept("name", "type", F.lit("Coop"), excluded).alias("kept"))
 
 
+@query("p15_feature_filter_equal", "SELECT territory_id, customers IS NOT NULL AND customers = 0 AND name <> 'Nicor Gas' AS kept FROM territories")
+def _(t):
+    return t.territories.select("territory_id", P.feature_kept("name", F.col("customers").cast("string"), F.lit(None).cast("string"), F.array(F.lit("Nicor Gas")), F.lit("0.0")).alias("kept"))
+
+
 @query("p16_is_compound_key", """
 SELECT p_partkey, contains(raw_name, ', ') AND len(list_filter(string_split(raw_name, ', '), lambda p: len(trim(p)) <= 3)) = 0
   AND len(list_filter(string_split(raw_name, ', '), lambda p: len(trim(p)) > 5)) >= 2 AS compound FROM raw_names

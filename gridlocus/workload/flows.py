@@ -205,15 +205,17 @@ def _(t):
 
 BINDINGS["endpoint_docs"] = f"""
 SELECT s_suppkey, '{{"electric": {{"S' || {as_text('s_suppkey')} || '": {{"layers": ["a", {{"url": "b"}}], "url": "x", "name_field": "N"}}}}, "gas": {{"S' || {as_text('s_suppkey')} || '": {{"url": "g", "name_field": "N", "filter_field": "K", "filter_value": "gas", "exclude_names": ["Z"], "fallback_url": "h", "fallback_name_field": "M", "confidence": 0.9}}, "H' || {as_text('s_suppkey')}
-  || '": {{"type": "coordinate_mapping", "mappings": {{"Oahu": {{"name": "HECO", "lon_range": [-159, -157], "lat_min": 21}}}}}}}}}}' AS doc FROM supplier
+  || '": {{"type": "coordinate_mapping", "mappings": {{"Oahu": {{"name": "HECO", "lon_range": [-159, -157], "lat_min": 21}}}}}}}}, "water": {{"W' || {as_text('s_suppkey')} || '": {{"layers": [3, 7], "url": "http://x/{{layer}}/query", "name_field": "N", "filter_field": "A", "filter_value": "q", "exclude_names": ["Y"]}}, "V' || {as_text('s_suppkey')}
+  || '": {{"url": "v", "name_field": "N", "filter_field": "F", "filter_value": 5}}}}}}' AS doc FROM supplier
 """
 
 
-@query("s21_read_state_source_config", """SELECT utility_type, state || s_suppkey AS state, kind, layer_ordinal, layer, name_field, filter_text, is_fallback, confidence FROM supplier, (VALUES ('electric', 'S', 'layers', 0, 'a', 'N', NULL, false, 0.92::DOUBLE), ('electric', 'S', 'layers', 1, 'b', 'N', NULL, false, 0.92::DOUBLE), ('gas', 'S', 'arcgis', 0, 'g', 'N', 'gas', false, 0.9::DOUBLE),
+@query("s21_read_state_source_config", """SELECT utility_type, state || s_suppkey AS state, kind, layer_ordinal, layer, name_field, filter_text, CASE WHEN state = 'V' THEN '5' END AS filter_equal, CASE WHEN utility_type = 'gas' AND kind = 'arcgis' THEN 1 ELSE 0 END AS n_excluded, is_fallback, confidence FROM supplier, (VALUES ('electric', 'S', 'layers', 0, 'x', 'N', NULL, false, 0.92::DOUBLE), ('electric', 'S', 'layers', 1, 'b', 'N', NULL, false, 0.92::DOUBLE), ('gas', 'S', 'arcgis', 0, 'g', 'N', 'gas', false, 0.9::DOUBLE),
+ ('water', 'W', 'layers', 0, 'http://x/3/query', 'N', NULL, false, 0.92::DOUBLE), ('water', 'W', 'layers', 1, 'http://x/7/query', 'N', NULL, false, 0.92::DOUBLE), ('water', 'V', 'arcgis', 0, 'v', 'N', NULL, false, 0.9::DOUBLE),
  ('gas', 'S', 'arcgis', 1, 'h', 'M', NULL, true, 0.9::DOUBLE), ('gas', 'H', 'coordinate_mapping', 0, NULL, NULL, NULL, false, 0.95::DOUBLE)) v(utility_type, state, kind, layer_ordinal, layer, name_field, filter_text, is_fallback, confidence)""")
 def _(t):
     layers, _regions = R.flatten_state_sources(t.endpoint_docs)
-    return layers.select("utility_type", "state", "kind", "layer_ordinal", "layer", "name_field", "filter_text", "is_fallback", "confidence")
+    return layers.select("utility_type", "state", "kind", "layer_ordinal", "layer", "name_field", "filter_text", "filter_equal", F.size("exclude_names").alias("n_excluded"), "is_fallback", "confidence")
 
 
 BINDINGS["stored_docs"] = f"""

@@ -321,7 +321,7 @@ def _(t):
 def _parent_values() -> str:
     table: dict[str, str] = {}
     for parent, listed in rules.PARENT_GROUPS.items():
-        for n in rules._lines(listed):
+        for n in listed:
             table[n.lower()] = parent
     return ", ".join(f"({quoted(n)}, {quoted(p)}, {i})" for i, (n, p) in enumerate(table.items()))
 

@@ -8,6 +8,7 @@ from gridlocus.functions import rules
 from gridlocus.functions.address import address_key
 from gridlocus.operators import lookups as L
 from gridlocus.operators import resolve as V
+from gridlocus.operators.projections import internet_projection
 from gridlocus.operators import spatial as S
 from gridlocus.sources.readers import parse_broadband_json
 from gridlocus.workload.bindings import BINDINGS, STATES, pick
@@ -148,9 +149,9 @@ _shown = ", ".join(f"'{n}'" for n in ["DUKE ENERGY CAROLINAS, LLC"])
  single AS (SELECT point_id, default_name AS name, false AS fb FROM pts JOIN cfg ON state = address_state AND kind = 'single_utility'),
  mapped AS (SELECT point_id, name, false AS fb FROM (SELECT point_id, r.name, row_number() OVER (PARTITION BY point_id ORDER BY ordinal) AS rn FROM pts JOIN cfg ON cfg.state = address_state AND kind = 'coordinate_mapping'
     JOIN regions r ON r.state = address_state AND x BETWEEN lon_min AND lon_max AND (lat_min IS NULL OR lat_min = 0 OR y >= lat_min)) q WHERE rn = 1),
- lay AS (SELECT point_id, f.layer_ordinal, is_fallback AS fb, f.name, row_number() OVER (PARTITION BY point_id, f.layer_ordinal ORDER BY feature_ordinal) AS rn FROM pts JOIN feats f ON f.state = address_state
-    AND abs(x - cx) + abs(y - cy) <= r JOIN state_config c ON c.state = f.state AND c.layer_ordinal = f.layer_ordinal AND (filter_text IS NULL OR contains(lower(filter_value), filter_text))),
- layered AS (SELECT point_id, name, fb FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY layer_ordinal) AS r2 FROM lay WHERE rn = 1 AND name NOT IN ({_shown})) q WHERE r2 = 1)
+ lay AS (SELECT point_id, f.layer_ordinal, is_fallback AS fb, f.name, c.kind, row_number() OVER (PARTITION BY point_id, f.layer_ordinal ORDER BY feature_ordinal) AS rn FROM pts JOIN feats f ON f.state = address_state
+    AND abs(x - cx) + abs(y - cy) <= r JOIN state_config c ON c.state = f.state AND c.layer_ordinal = f.layer_ordinal AND (filter_text IS NULL OR c.kind = 'layers' OR contains(lower(filter_value), filter_text))),
+ layered AS (SELECT point_id, name, fb FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY layer_ordinal) AS r2 FROM lay WHERE rn = 1 AND (kind = 'layers' OR name NOT IN ({_shown}))) q WHERE r2 = 1)
 SELECT point_id, name, 'state_gis_' || lower(address_state) || CASE WHEN fb THEN '_fallback' ELSE '' END AS source FROM (SELECT * FROM single UNION ALL SELECT * FROM mapped UNION ALL SELECT * FROM layered) a JOIN pts USING (point_id)""")
 def _(t):
     points, config, features = state_inputs(t)
@@ -341,6 +342,17 @@ def _(t):
     return s.select("block_geoid", F.array_join(F.transform("internet_providers", lambda p: F.concat_ws("/", p["name"], p["technology"])), "|").alias("listed"), "provider_count", "has_fiber", "has_cable", "max_download_speed")
 
 
+@query("a11_internet_projection", f"""
+WITH e AS (SELECT block_geoid, i, p ->> ('$[' || i || '].name') AS name, p ->> ('$[' || i || '].tech') AS tech, CAST(p ->> ('$[' || i || '].down') AS INT) AS down
+  FROM (SELECT block_geoid, p, unnest(range(0, CAST(json_array_length(p) AS BIGINT))) AS i FROM (SELECT block_geoid, CASE WHEN providers LIKE '{{%' THEN '[' || providers || ']' ELSE providers END AS p FROM broadband) q) q2)
+SELECT block_geoid, array_to_string(list(name || '/' || {_labels} || '/' || down ORDER BY {_order}, -down, i)[1:2], '|') AS shown, least(count(*), 2)::INT AS n_shown FROM e GROUP BY block_geoid
+""")
+def _(t):
+    shown = internet_projection(V.broadband_summary(parse_broadband_json(t.broadband)), 2)
+    line = F.transform("internet", lambda p: F.concat_ws("/", p["name"], p["technology"], p["max_download_mbps"].cast("string")))
+    return shown.select("block_geoid", F.array_join(line, "|").alias("shown"), F.size("internet").alias("n_shown"))
+
+
 BINDINGS["address_points"] = """
 SELECT lower(address) AS address_key, 'primary' AS source, CASE WHEN address_id % 6 = 0 THEN 0e0 ELSE lat END AS lat, CASE WHEN address_id % 6 = 0 THEN 0e0 ELSE lon END AS lon, 95e-2 AS confidence, city, state, zip_code, county, block_geoid FROM addresses WHERE address_id % 5 <> 0
 UNION ALL SELECT lower(address) AS address_key, 'fallback' AS source, lat + 1 AS lat, lon AS lon, 8e-1 AS confidence, city, state, zip_code, county, block_geoid FROM addresses WHERE address_id % 7 <> 0
