@@ -179,16 +179,26 @@ def _cell_size(base: float, level) -> Column:
     return F.lit(base) * F.pow(F.lit(float(SPREAD)), level)
 
 
+def grid_level(base: float) -> Column:
+    """The finest grid on which a bounding box spans at most ``CELLS_PER_AXIS`` cells per axis."""
+    extent = F.greatest(
+        F.col("bbox.xmax") - F.col("bbox.xmin"), F.col("bbox.ymax") - F.col("bbox.ymin"), F.lit(1e-12)
+    )
+    fit = F.ceil(F.log(extent / (base * CELLS_PER_AXIS)) / F.log(F.lit(float(SPREAD))))
+    return F.least(F.greatest(fit, F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+
+
+def levels_in_use(territories: DataFrame, base: float) -> list[int]:
+    """The grids that territories of this layer lie on, at most ``LEVELS`` numbers: points are looked up on no other."""
+    return sorted(r.level for r in territories.select(grid_level(base).alias("level")).distinct().collect())
+
+
 def territory_cells(territories: DataFrame, base: float, keys: list[str], inclusive: bool = False) -> DataFrame:
     """(keys…, level, ix, iy, edges): edges is empty where the whole cell is inside.
 
     ``territories`` carries ``rings`` and ``bbox``.
     """
-    extent = F.greatest(
-        F.col("bbox.xmax") - F.col("bbox.xmin"), F.col("bbox.ymax") - F.col("bbox.ymin"), F.lit(1e-12)
-    )
-    fit = F.ceil(F.log(extent / (base * CELLS_PER_AXIS)) / F.log(F.lit(float(SPREAD))))
-    df = territories.withColumn("level", F.least(F.greatest(fit, F.lit(0)), F.lit(LEVELS - 1)).cast("int"))
+    df = territories.withColumn("level", grid_level(base))
     df = df.withColumn("_s", _cell_size(base, F.col("level"))).withColumn("_edges", edges_of(F.col("rings")))
 
     def span(low, high):
@@ -210,15 +220,15 @@ def territory_cells(territories: DataFrame, base: float, keys: list[str], inclus
     )
 
 
-def point_cells(points: DataFrame, base: float, x: str = "x", y: str = "y") -> DataFrame:
-    """One row per grid level and point; points without coordinates have none."""
+def point_cells(points: DataFrame, base: float, levels: list[int], x: str = "x", y: str = "y") -> DataFrame:
+    """One row per point and grid level of the territories; points without coordinates have none."""
     cells = F.array(*[
         F.struct(
             F.lit(k).alias("level"),
             F.floor(F.col(x) / (base * SPREAD**k)).alias("ix"),
             F.floor(F.col(y) / (base * SPREAD**k)).alias("iy"),
         )
-        for k in range(LEVELS)
+        for k in levels or [0]
     ])
     return points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("*", F.inline(cells))
 
@@ -232,7 +242,7 @@ def point_in_territory(
     state).  Attributes travel beside the geometry, never through it.
     """
     cells = territory_cells(territories, base, [*keys, *on])
-    joined = point_cells(points, base).join(cells, ["level", "ix", "iy", *on])
+    joined = point_cells(points, base, levels_in_use(territories, base)).join(cells, ["level", "ix", "iy", *on])
     x, y = F.col("x"), F.col("y")
     odd = crossings(F.col("edges"), x, y) % 2 == 1
     edge = on_outline(F.col("edges"), x, y)
@@ -245,15 +255,13 @@ def point_in_territory(
 def bbox_candidates(points: DataFrame, territories: DataFrame, base: float = 0.05) -> DataFrame:
     """Pairs whose point lies in the territory's bounding box (edges included)."""
     size = _cell_size(base, F.col("level"))
-    extent = F.greatest(F.col("bbox.xmax") - F.col("bbox.xmin"), F.col("bbox.ymax") - F.col("bbox.ymin"), F.lit(1e-12))
-    fit = F.ceil(F.log(extent / (base * CELLS_PER_AXIS)) / F.log(F.lit(float(SPREAD))))
-    boxes = territories.withColumn("level", F.least(F.greatest(fit, F.lit(0)), F.lit(LEVELS - 1)).cast("int"))
+    boxes = territories.withColumn("level", grid_level(base))
     boxes = boxes.select(
         "territory_id", "bbox", "level",
         F.explode(F.sequence(F.floor(F.col("bbox.xmin") / size), F.floor(F.col("bbox.xmax") / size))).alias("ix"),
     ).select("*", F.explode(F.sequence(F.floor(F.col("bbox.ymin") / size), F.floor(F.col("bbox.ymax") / size))).alias("iy"))
     return (
-        point_cells(points, base).join(boxes, ["level", "ix", "iy"])
+        point_cells(points, base, levels_in_use(territories, base)).join(boxes, ["level", "ix", "iy"])
         .where(F.col("x").between(F.col("bbox.xmin"), F.col("bbox.xmax"))
                & F.col("y").between(F.col("bbox.ymin"), F.col("bbox.ymax")))
         .select(*points.columns, "territory_id")
