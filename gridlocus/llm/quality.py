@@ -3,12 +3,17 @@
 Statistics are column expressions over the whole text; repeated five-word windows are found inside the row by sorting
 the hashes of its windows, so nothing is exploded or shuffled per word.
 
-Each (language, source) has a minimum-covariance-determinant estimate of the transformed statistics, found by
-concentration steps: from medians and median deviations, the ``share`` of the rows with the least distance gives a
-mean and covariance, which give new distances, until the determinants stand still.  Every step is two aggregations with
-mergeable states (moments and approximate quantiles), so a source that holds a third of the rows is summed in parts.
-Rows whose Mahalanobis distance from their estimate is beyond the cut are rejected.  Groups of fewer than ``least``
-rows share one estimate.
+Each (language, source), each language and the whole table has a minimum-covariance-determinant estimate of the
+transformed statistics, found by concentration steps: a start's mean and covariance give distances, the ``share`` of the
+rows with the least of them gives the next mean and covariance, until the determinants stand still.  There are three starts
+(medians with deviations, plain moments, moments of directions); after ``TRIAL_STEPS`` steps each group goes on from the
+one of least determinant.  Every step is two aggregations with mergeable states (moments and approximate quantiles), so a
+source that holds a third of the rows is summed in parts; what the groups know is joined to the rows as a small table.
+
+A group is judged by a mean and covariance between its own and its language's (and that between its own and the table's),
+weighted w and 1 - w with w = m / (m + ``STEADY_ROWS``) and m its rows beyond the ``NEEDED_ROWS`` that four dimensions
+need.  So there is no size at which a group is suddenly judged by another estimate: a row more moves w by less than
+1 / ``STEADY_ROWS``.  Rows whose Mahalanobis distance from that estimate is beyond the cut are rejected.
 
 Cases: a null text has no words; a text of under ``min_words`` words fails the fixed rules; a null language or source is a
 group value of its own kind, the empty string; equal rows have equal results, however often they occur; ties at the quantile are all taken in;
@@ -33,6 +38,11 @@ CONSISTENCY = 1.486
 CUT = 28.5
 PRIOR_WORDS = 20
 MOST_STEPS = 12
+TRIAL_STEPS = 2
+NEEDED_ROWS = 8
+STEADY_ROWS = 50
+#: Tables of at most so many rows (a few hundred bytes each) are broadcast to the rows; larger ones are joined by key.
+BROADCAST_ROWS = 50_000
 
 
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -99,33 +109,91 @@ def distance() -> Column:
     return reduce(lambda a, b: a + b, [x * x for x in solved])
 
 
-def estimates(rows: DataFrame, share: float = SHARE, most_steps: int = MOST_STEPS) -> DataFrame:
-    """Mean and factored covariance of each ``grp`` of rows with columns v1.. by concentration steps."""
-    near = rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5, 2000).alias(f"m{i}") for i, v in enumerate(NAMES)])
-    away = rows.join(near, "grp").groupBy("grp").agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(NAMES))], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, v in enumerate(NAMES)])
+MEANS = [f"m{i}" for i in range(len(NAMES))]
+COVARIANCES = [f"c{i}{j}" for j in range(len(NAMES)) for i in range(j + 1)]
+
+
+def with_table(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of a table that has a row per key; the rows stay where they are if the table is small."""
+    table = stored(table, "groups")
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, keys)
+
+
+def moments(weight: float = 1.0) -> list[Column]:
+    """Aggregates: means, and covariances times ``weight`` with the floors' squares added."""
     floors = list(FLOORS.values())
-    spread = [F.when(F.lit(i == j), F.pow(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floors[i])), 2)).otherwise(0.0).alias(f"c{i}{j}") for j in range(len(NAMES)) for i in range(j + 1)]
-    state = stored(factored(away.select("grp", *[f"m{i}" for i in range(len(NAMES))], *spread)), "estimate")
-    for _ in range(most_steps):
-        far = rows.join(state, "grp").select("grp", *NAMES, distance().alias("d"), F.col("log_det").alias("was"))
-        cuts = far.groupBy("grp").agg(F.percentile_approx("d", share, 5000).alias("cut"))
-        central = far.join(cuts, "grp").where("d <= cut")
-        moments = central.groupBy("grp").agg(
-            F.first("was").alias("was"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(NAMES)],
-            *[(F.covar_pop(NAMES[i], NAMES[j]) * CONSISTENCY + (floors[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for j in range(len(NAMES)) for i in range(j + 1)])
-        state = stored(factored(moments), "estimate")
-        if (state.agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0] or 0.0) < 0.01:
+    return [*[F.avg(v).alias(m) for v, m in zip(NAMES, MEANS)],
+            *[(F.covar_pop(NAMES[i], NAMES[j]) * weight + (floors[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for j in range(len(NAMES)) for i in range(j + 1)]]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, m_i, c_ij) of three starts per group."""
+    size, floors = len(NAMES), list(FLOORS.values())
+    near = rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5, 2000).alias(m) for v, m in zip(NAMES, MEANS)])
+    centred = with_table(rows, near, ["grp"])
+    spread = centred.groupBy("grp").agg(*[F.first(m).alias(m) for m in MEANS], *[F.percentile_approx(F.abs(F.col(v) - F.col(m)), 0.5, 2000).alias(f"d{i}") for i, (v, m) in enumerate(zip(NAMES, MEANS))])
+    spread = spread.select("grp", *MEANS, *[F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floors[i])).alias(f"s{i}") for i in range(size)])
+    medians = spread.select("grp", F.lit(0).alias("start"), *MEANS, *[F.when(F.lit(i == j), F.col(f"s{i}") * F.col(f"s{i}")).otherwise(0.0).alias(f"c{i}{j}") for j in range(size) for i in range(j + 1)])
+    plain = rows.groupBy("grp").agg(*moments()).select("grp", F.lit(1).alias("start"), *MEANS, *COVARIANCES)
+    scaled = with_table(rows, spread, ["grp"])
+    for i, (v, m) in enumerate(zip(NAMES, MEANS)):
+        scaled = scaled.withColumn(f"z{i}", (F.col(v) - F.col(m)) / F.col(f"s{i}"))
+    length = F.greatest(reduce(lambda a, i: a + F.col(f"z{i}") * F.col(f"z{i}"), range(size), F.lit(0.0)), F.lit(1e-12))
+    turned = scaled.groupBy("grp").agg(*[F.first(c).alias(c) for c in (*MEANS, *[f"s{i}" for i in range(size)])],
+                                       *[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / length).alias(f"u{i}{j}") for j in range(size) for i in range(j + 1)])
+    directions = turned.select("grp", F.lit(2).alias("start"), *MEANS, *[
+        (F.col(f"u{i}{j}") * size * F.col(f"s{i}") * F.col(f"s{j}") + (floors[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for j in range(size) for i in range(j + 1)])
+    return medians.unionByName(plain).unionByName(directions)
+
+
+def concentrated(rows: DataFrame, state: DataFrame, share: float) -> DataFrame:
+    """One concentration step of every (grp, start)."""
+    keys = ["grp", "start"]
+    far = with_table(rows, state.select(*keys, *MEANS, *[c for c in state.columns if c.startswith("l")]), ["grp"]).select(*keys, *NAMES, distance().alias("d"), F.col("log_det").alias("was"))
+    cuts = far.groupBy(*keys).agg(F.percentile_approx("d", share, 5000).alias("cut"))
+    central = with_table(far, cuts, keys).where("d <= cut")
+    return stored(factored(central.groupBy(*keys).agg(F.first("was").alias("was"), *moments(CONSISTENCY))), "estimate")
+
+
+def estimates(rows: DataFrame, share: float = SHARE, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(grp, n, m_i, c_ij): rows, mean and covariance of each ``grp`` of rows with columns v1.. by concentration steps."""
+    state = stored(factored(starts(rows)), "estimate")
+    for step in range(most_steps):
+        state = concentrated(rows, state, share)
+        if step + 1 == TRIAL_STEPS:
+            rest = [c for c in state.columns if c != "grp"]
+            state = stored(state.groupBy("grp").agg(F.min_by(F.struct(*rest), F.struct("log_det", "start")).alias("s")).select("grp", "s.*"), "estimate")
+        elif step + 1 > TRIAL_STEPS and (state.agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0] or 0.0) < 0.01:
             break
-    return state.drop("was", "log_det")
+    return state.join(rows.groupBy("grp").agg(F.count("*").alias("n")), "grp").select("grp", "n", *MEANS, *COVARIANCES)
+
+
+def shrunk(own: DataFrame, parent: DataFrame) -> DataFrame:
+    """Estimates (grp, parent, n, ...) drawn towards those of their parents (grp, ...) by their rows."""
+    above = parent.select(F.col("grp").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in (*MEANS, *COVARIANCES)])
+    m = F.greatest(F.col("n") - NEEDED_ROWS, F.lit(0))
+    weighed = own.join(above, "parent").withColumn("w", m / (m + STEADY_ROWS))
+    return weighed.select("grp", *[(F.col("w") * F.col(c) + (1 - F.col("w")) * F.col(f"p_{c}")).alias(c) for c in (*MEANS, *COVARIANCES)])
+
+
+def models(rows: DataFrame, levels: int) -> DataFrame:
+    """(grp, m_i, l_ij) of the last level, from rows with columns k0 (the whole table), k1, ... and v1..."""
+    keys = F.explode(F.array(*[F.concat(F.lit(f"{i}\x1f"), F.col(f"k{i}")) for i in range(levels)])).alias("grp")
+    known = stored(estimates(rows.select(keys, *NAMES)), "estimates")
+    of = lambda i: known.where(F.col("grp").startswith(f"{i}\x1f")).withColumn("grp", F.substr("grp", F.lit(3)))
+    drawn = of(0)
+    for i in range(1, levels):
+        parents = rows.select(F.col(f"k{i}").alias("grp"), F.col(f"k{i - 1}").alias("parent")).distinct()
+        drawn = shrunk(of(i).join(parents, "grp"), drawn)
+    return factored(drawn)
 
 
-def judged(df: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), key: str = "doc_id", cut: float = CUT, least: int = 100, min_words: int = 10, most_repeated: int = 20) -> DataFrame:
+def judged(df: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), key: str = "doc_id", cut: float = CUT, min_words: int = 10, most_repeated: int = 20) -> DataFrame:
     """(key, statistics, base_failed, distance2, kept)."""
-    label = F.concat_ws("\x1f", *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups])
-    stats = stored(text_statistics(df.select(key, F.col(text).alias("text"), label.alias("label"))).drop("text").withColumn("base_failed", fixed_rules(min_words, most_repeated)).select("*", *vectors()), "statistics")
-    sizes = stats.groupBy("label").agg(F.count("*").alias("m"))
-    grouped = stats.join(sizes, "label").withColumn("grp", F.when(F.col("m") >= least, F.col("label")).otherwise(F.lit("\x1frest"))).drop("m", "label")
-    model = estimates(grouped.select("grp", *NAMES))
-    far = grouped.join(model, "grp").select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance().alias("distance2"))
+    names = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups]
+    labels = [F.concat_ws("\x1f", F.lit(""), *names[:i]).alias(f"k{i}") for i in range(len(groups) + 1)]
+    given = text_statistics(df.select(key, F.col(text).alias("text"), *labels)).drop("text")
+    stats = stored(given.withColumn("base_failed", fixed_rules(min_words, most_repeated)).select("*", *vectors()), "statistics")
+    model = models(stats, len(groups) + 1).withColumnRenamed("grp", f"k{len(groups)}")
+    far = with_table(stats, model, [f"k{len(groups)}"]).select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance().alias("distance2"))
     return far.withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= cut))

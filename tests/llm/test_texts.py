@@ -1,6 +1,7 @@
 """Operators on texts against plain versions, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import base64
+import itertools
 import random
 import zlib
 
@@ -258,6 +259,62 @@ def test_outliers_are_rejected_per_group_and_others_stay(spark):
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def vector_rows(rng, n, outliers, at):
+    """Four statistics of n rows around a point, some of them far away."""
+    rows = rng.normal(size=(n, 4)) * [0.3, 0.2, 0.4, 0.3] + at
+    rows[: int(outliers)] += rng.uniform(4, 6, size=(int(outliers), 4))
+    return rows
+
+
+def regular_log_det(rows):
+    floors = np.diag([f**2 for f in quality.FLOORS.values()])
+    return np.linalg.slogdet(np.cov(rows.T, bias=True) * quality.CONSISTENCY + floors)[1]
+
+
+def test_estimates_are_the_least_determinant_of_all_subsets(spark):
+    rng = np.random.default_rng(5)
+    groups = {f"g{k}": vector_rows(rng, 9 + k, k % 3, k) for k in range(4)}
+    df = spark.createDataFrame([(g, *map(float, r)) for g, rows in groups.items() for r in rows], "grp string, v1 double, v2 double, v3 double, v4 double").repartition(3)
+    for e in quality.estimates(df).collect():
+        rows = groups[e.grp]
+        h = -(-3 * len(rows) // 4)
+        best = min(itertools.combinations(range(len(rows)), h), key=lambda s: regular_log_det(rows[list(s)]))
+        got = np.array([[e[f"c{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)])
+        least = regular_log_det(rows[list(best)])
+        assert e.n == len(rows) and least - 1e-9 <= np.linalg.slogdet(got)[1] <= least + 1  # a local minimum at worst
+        if e.grp in ("g0", "g1", "g2"):  # steps from three starts find the very subset here
+            assert np.allclose([e[f"m{i}"] for i in range(4)], rows[list(best)].mean(0))
+
+
+def test_groups_are_drawn_to_their_language_by_their_rows(spark):
+    rng = np.random.default_rng(8)
+    sizes = {("a", "s"): 300, ("a", "t"): 20, ("a", "u"): 8, ("b", "s"): 2}
+    rows = [(f"\x1f{x}", f"\x1f{x}\x1f{y}", *map(float, r)) for k, ((x, y), n) in enumerate(sizes.items()) for r in vector_rows(rng, n, 0, k)]
+    df = spark.createDataFrame(rows, "k1 string, k2 string, v1 double, v2 double, v3 double, v4 double").withColumn("k0", F.lit("")).repartition(3)
+    of = lambda k: {e.grp: e for e in quality.estimates(df.withColumn("grp", F.col(k))).collect()}
+    own, lang, table = of("k2"), of("k1"), of("k0")[""]
+    got = {e.grp: e for e in quality.models(df, 3).collect()}
+    assert set(got) == set(own)
+    weight = lambda n: max(0, n - 8) / (max(0, n - 8) + 50)
+    for g, e in own.items():
+        up = lang[g.rsplit("\x1f", 1)[0]]
+        for i in range(4):
+            w, v = weight(e.n), weight(up.n)
+            want = w * e[f"m{i}"] + (1 - w) * (v * up[f"m{i}"] + (1 - v) * table[f"m{i}"])
+            assert abs(got[g][f"m{i}"] - want) < 1e-6, (g, i)
+
+
+def test_one_more_row_moves_no_distance_much(spark):
+    rng = random.Random(4)
+    texts = [" ".join("x" * rng.randint(2, 9) + str(rng.randint(0, 10**6)) for _ in range(rng.randint(50, 150))) for _ in range(600)]
+    mean = {}
+    for n in (99, 100):
+        docs = [(i, x, "aa" if i < n else "bb", "s") for i, x in enumerate(texts) if i < n or i >= 200]
+        out = quality.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).where(F.col("doc_id") < 99)
+        mean[n] = out.agg(F.avg("distance2")).first()[0]
+    assert abs(mean[99] - mean[100]) < 0.1 * mean[99]
+
+
 def test_factored_distance_equals_numpy(spark):
     rng = np.random.default_rng(1)
     a = rng.normal(size=(4, 4))
