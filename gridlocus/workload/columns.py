@@ -214,10 +214,10 @@ def _(t):
     return t.results.select("row_id", P.review_reason("comparison", "engine_needs_review", "engine_provider", "engine_catalog_id", "engine_id_confident").alias("reason"))
 
 
-_deny = " OR ".join(f"(contains(lower(engine_provider), {quoted(n)}) AND upper(state) IN {in_list(s)})" for n, s in rules.CROSS_STATE_DENY.items())
+DENY = " OR ".join(f"(contains(lower(engine_provider), {quoted(n)}) AND upper(state) IN {in_list(s)})" for n, s in rules.CROSS_STATE_DENY.items())
 
 
-@query("p13_cross_state_override", f"SELECT row_id, coalesce({_deny}, false) AS denied FROM results")
+@query("p13_cross_state_override", f"SELECT row_id, coalesce({DENY}, false) AS denied FROM results")
 def _(t):
     return t.results.select("row_id", P.cross_state_override("engine_provider", "state").alias("denied"))
 
@@ -279,6 +279,9 @@ _w = rf"regexp_replace({_w}, '\b({'|'.join(rules.WATER_GENERIC_SUFFIXES)}|Mud \d
 _w = rf"regexp_replace(trim(regexp_replace({_w}, '\s+', ' ', 'g')), '^[ \-,.]+|[ \-,.]+$', '', 'g')"
 
 
+WATER_NORM = _w
+
+
 @query("n10_normalize_water_name", f"SELECT s_suppkey, {_w} AS water_name FROM water_names")
 def _(t):
     return t.water_names.select("s_suppkey", text.normalize_water_name("name").alias("water_name"))

@@ -112,10 +112,10 @@ SELECT 'water' AS utility_type, lower(canonical_id || ' water') AS name_lower, l
 UNION ALL SELECT 'electric' AS utility_type, lower(canonical_id || ' inc') AS name_lower, 'brand ' || lower(parent_company) AS renamed FROM canonicals WHERE ordinal % 3 = 0
 UNION ALL SELECT 'gas' AS utility_type, lower(canonical_id || ' electric') AS name_lower, lower(display_name) AS renamed FROM canonicals
 """
-_core = "lower(trim({0}))"
+CORE = "lower(trim({0}))"
 for _p in rules.CORE_STRIP_PATTERNS:
-    _core = f"trim(regexp_replace({_core}, '{_p}', '', 'g'))"
-_core = rf"trim(regexp_replace({_core}, '\s+', ' ', 'g'))"
+    CORE = f"trim(regexp_replace({CORE}, '{_p}', '', 'g'))"
+CORE = rf"trim(regexp_replace({CORE}, '\s+', ' ', 'g'))"
 
 
 def over(a: str, b: str) -> str:
@@ -127,7 +127,7 @@ FACTS = f"""{segment_ctes(PAIR_NAMES)}, {match_ctes('SELECT segment AS name FROM
  m_all AS (SELECT s.name, s.cleaned, pos, segment, canonical_id, display_name, matched, is_rep, match_type, similarity, matched_on FROM m_seg s JOIN m_match m ON m.name = s.segment),
  m_best AS (SELECT name, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN matched THEN 0 ELSE 1 END, CASE WHEN matched THEN similarity END DESC, pos) AS rn FROM m_all) x WHERE rn = 1),
  m_norm AS (SELECT name, nullif(normalized, '~null') AS normalized FROM ({N3}) y),
- facts AS MATERIALIZED (SELECT name, lower(trim(name)) AS lower_name, {_core.replace('{0}', 'name')} AS core, canonical_id, normalized FROM m_best JOIN m_norm USING (name))"""
+ facts AS MATERIALIZED (SELECT name, lower(trim(name)) AS lower_name, {CORE.replace('{0}', 'name')} AS core, canonical_id, normalized FROM m_best JOIN m_norm USING (name))"""
 
 
 @query("n7_names_match", f"""WITH {FACTS} SELECT p.a, p.b,
@@ -318,7 +318,7 @@ def _(t):
     return names.rebrand(t.named_rows, t.rebrands).select("p_partkey", "rebranded")
 
 
-def _parent_values() -> str:
+def parent_values() -> str:
     table: dict[str, str] = {}
     for parent, listed in rules.PARENT_GROUPS.items():
         for n in listed:
@@ -332,7 +332,7 @@ SELECT DISTINCT {pick('s_suppkey % 9', ['Duke', "='Dominion Energy ' || s_name",
 
 
 @query("j26_parent_join", f"""
-WITH parents(name_lower, parent, ordinal) AS (VALUES {_parent_values()})
+WITH parents(name_lower, parent, ordinal) AS (VALUES {parent_values()})
 SELECT name, coalesce((SELECT parent FROM parents WHERE name_lower = lower(trim(name))), (SELECT arg_min(parent, ordinal) FROM parents WHERE contains(name_lower, lower(trim(name))) OR contains(lower(trim(name)), name_lower))) AS parent
 FROM family_names
 """)

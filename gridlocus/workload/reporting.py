@@ -10,8 +10,8 @@ from gridlocus.session import cut_lineage
 from gridlocus.sources.readers import clean_catalog
 from gridlocus.workload.bindings import BINDINGS, pick
 from gridlocus.workload.bindings import text as as_text
-from gridlocus.workload.columns import CATEGORY, DUE, INFER, REASON, registry
-from gridlocus.workload.matching import match_ctes, segment_ctes
+from gridlocus.workload.columns import CATEGORY, DENY, DUE, INFER, REASON, WATER_NORM, registry
+from gridlocus.workload.matching import CORE, N3, match_ctes, over, parent_values, segment_ctes
 from gridlocus.workload.registry import has_any, in_list, query
 
 
@@ -58,7 +58,63 @@ def _(t):
     return compared(t).where("comparison IN ('BOTH_EMPTY', 'ENGINE_ONLY', 'TENANT_PROPANE', 'TENANT_ONLY')").select("row_id", "comparison")
 
 
-@query("c1_compare_providers")
+def _same(x: str, y: str) -> str:
+    """The names of two rows of ``full`` mean one entity."""
+    norm = lambda t: f"coalesce({t}.normalized, '')"
+    return f"""coalesce({x}.low <> '' AND {y}.low <> '' AND ({x}.low = {y}.low OR {over(f'{x}.low', f'{y}.low')} OR {over(f'{x}.core', f'{y}.core')} OR coalesce({x}.canonical_id = {y}.canonical_id, false)
+  OR ({norm(x)} <> '' AND {norm(y)} <> '' AND (contains(lower({norm(x)}), lower({norm(y)})) OR contains(lower({norm(y)}), lower({norm(x)}))))), false)"""
+
+
+def _same_water(x: str, y: str) -> str:
+    least = f"least(len({x}.wcore), len({y}.wcore))"
+    return f"""coalesce({x}.low <> '' AND {y}.low <> '' AND ({x}.wa = {y}.wa OR ({x}.wn <> '' AND {y}.wn <> '' AND ({x}.wna = {y}.wna OR {x}.wn = {y}.wn OR {over(f'{x}.wn', f'{y}.wn')}
+  OR ({least} > 0 AND len(list_intersect({x}.wcore, {y}.wcore)) >= {least})))), false)"""
+
+
+def compared_ctes(rows: str) -> str:
+    """Common table expressions from ``rows`` (row_id, utility_type, state, engine_provider, tenant_raw, alt) to ``compared``:
+    early cases by themselves, all others through the names of both sides."""
+    parents = f"parents(name_lower, parent, ordinal) AS (VALUES {parent_values()})"
+    renamed = lambda kind, name: f"coalesce((SELECT max(renamed) FROM rebrands WHERE utility_type = '{kind}' AND name_lower = {name}), {name})"
+    tenants, used = "SELECT tenant AS name FROM due", "SELECT candidate AS name FROM pairs UNION SELECT segment FROM pairs UNION SELECT display FROM pairs"
+    has = lambda column, words: has_any(column, words)
+    deny = DENY.replace("engine_provider", "engine")
+    return f"""{parents},
+ placed AS MATERIALIZED (SELECT row_id, utility_type, upper(coalesce(state, '')) AS state, nullif(trim(engine_provider), '') AS engine, trim(coalesce(tenant_raw, '')) AS tenant, alt,
+   CASE WHEN {_nul} THEN CASE WHEN nullif(trim(engine_provider), '') IS NULL THEN 'BOTH_EMPTY' ELSE 'ENGINE_ONLY' END WHEN utility_type = 'gas' AND {has('lower(tenant_raw)', rules.PROPANE_WORDS)} THEN 'TENANT_PROPANE'
+     WHEN nullif(trim(engine_provider), '') IS NULL THEN 'TENANT_ONLY' END AS early FROM {rows}),
+ due AS MATERIALIZED (SELECT * FROM placed WHERE early IS NULL),
+ {segment_ctes(tenants, 't')}, {match_ctes('SELECT segment AS name FROM t_seg', tag='t')},
+ parts AS MATERIALIZED (SELECT s.name AS tenant, pos, trim(segment) AS segment, coalesce(display_name, '') AS display FROM t_seg s JOIN t_match m ON m.name = s.segment),
+ pairs AS MATERIALIZED (SELECT row_id, alt_pos, candidate, segment, display, utility_type FROM (SELECT row_id, -1 AS alt_pos, engine AS candidate, tenant, utility_type FROM due UNION ALL SELECT row_id, 0, alt, tenant, utility_type FROM due WHERE alt <> '') x JOIN parts USING (tenant)),
+ {segment_ctes(used)}, {match_ctes('SELECT segment AS name FROM m_seg')},
+ m_all AS (SELECT s.name, s.cleaned, pos, segment, canonical_id, display_name, matched, is_rep, match_type, similarity, matched_on FROM m_seg s JOIN m_match m ON m.name = s.segment),
+ m_best AS (SELECT name, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN matched THEN 0 ELSE 1 END, CASE WHEN matched THEN similarity END DESC, pos) AS rn FROM m_all) x WHERE rn = 1),
+ m_norm AS (SELECT name, nullif(normalized, '~null') AS normalized FROM ({N3}) y),
+ named AS (SELECT name, lower(trim(name)) AS low, {CORE.replace('{0}', 'name')} AS core, lower({WATER_NORM}) AS wn, canonical_id, normalized FROM ({used}) u LEFT JOIN m_best USING (name) LEFT JOIN m_norm USING (name)),
+ families AS (SELECT name, coalesce((SELECT parent FROM parents WHERE name_lower = low), (SELECT arg_min(parent, ordinal) FROM parents WHERE low <> '' AND (contains(name_lower, low) OR contains(low, name_lower)))) AS parent FROM named),
+ full_names AS MATERIALIZED (SELECT n.*, parent, {renamed('electric', 'low')} AS ea, {renamed('gas', 'low')} AS ga, {renamed('water', 'low')} AS wa, {renamed('water', 'wn')} AS wna,
+   list_filter(list_distinct(string_split(wn, ' ')), lambda w: w <> '' AND w NOT IN {in_list(rules.WATER_GENERIC_WORDS)}) AS wcore FROM named n JOIN families USING (name)),
+ flagged AS MATERIALIZED (SELECT p.*, {_same('a', 's')} OR (display <> segment AND {_same('a', 'd')}) AS hit, utility_type = 'water' AND ({_same_water('a', 's')} OR (display <> segment AND {_same_water('a', 'd')})) AS water,
+   (utility_type = 'electric' AND (a.ea = s.ea OR (display <> segment AND a.ea = d.ea))) OR (utility_type = 'gas' AND (a.ga = s.ga OR (display <> segment AND a.ga = d.ga))) AS renamed,
+   coalesce(a.parent = s.parent OR a.parent = d.parent, false) AS related, a.parent AS parent_name
+   FROM pairs p JOIN full_names a ON a.name = candidate JOIN full_names s ON s.name = segment JOIN full_names d ON d.name = display),
+ flags AS (SELECT row_id, bool_or(alt_pos = -1 AND (hit OR water OR renamed)) AS match, bool_or(alt_pos = -1 AND related) AS parent, max(parent_name) FILTER (WHERE alt_pos = -1 AND related) AS parent_name,
+   min(candidate) FILTER (WHERE alt_pos = 0 AND (hit OR water)) AS alt_hit FROM flagged GROUP BY row_id),
+ listed AS (SELECT tenant, string_agg(segment, ' | ' ORDER BY pos) AS tn FROM (SELECT DISTINCT tenant, pos, segment FROM parts) x GROUP BY tenant),
+ sides AS (SELECT p.*, coalesce(tn, '') AS tn, coalesce(match, false) AS match, coalesce(parent, false) AS related, parent_name, alt_hit FROM placed p LEFT JOIN listed USING (tenant) LEFT JOIN flags USING (row_id)),
+ judged AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN match THEN 'MATCH' WHEN state = 'TX' AND utility_type = 'electric' AND {has('upper(engine)', rules.TDU_NAMES)} AND tn <> '' THEN 'MATCH_TDU'
+   WHEN state = 'GA' AND utility_type = 'gas' AND (({has('lower(engine)', rules.GA_GAS_DISTRIBUTORS)} AND {has('lower(trim(tn))', rules.GA_GAS_MARKETERS)}) OR ({has('lower(engine)', rules.GA_GAS_MARKETERS)} AND {has('lower(trim(tn))', rules.GA_GAS_DISTRIBUTORS)})) THEN 'GA'
+   WHEN related THEN 'MATCH_PARENT' WHEN alt_hit IS NOT NULL THEN 'MATCH_ALT' WHEN {deny} THEN 'DENIED' WHEN utility_type = 'electric' AND lower(engine) IN {in_list(rules.GAS_ONLY_NAMES)} THEN 'GAS_ONLY'
+   WHEN utility_type = 'gas' AND {has('lower(tn)', rules.ELECTRIC_WORDS_IN_GAS)} THEN 'ELECTRIC' ELSE 'MISMATCH' END AS verdict FROM sides),
+ compared AS MATERIALIZED (SELECT row_id, utility_type, state, CASE verdict WHEN 'GA' THEN 'MATCH_TDU' WHEN 'DENIED' THEN 'MISMATCH' WHEN 'GAS_ONLY' THEN 'MISMATCH' WHEN 'ELECTRIC' THEN 'MATCH' ELSE verdict END AS comparison,
+   CASE verdict WHEN 'TENANT_PROPANE' THEN 'propane=' || tenant WHEN 'TENANT_ONLY' THEN 'no_polygon_hit' WHEN 'MATCH_TDU' THEN 'tdu=' || engine || ', rep=' || tn WHEN 'GA' THEN 'ga_gas_deregulated: ldc=' || engine || ', marketer=' || tn
+     WHEN 'MATCH_PARENT' THEN 'parent=' || parent_name WHEN 'MATCH_ALT' THEN 'alt=' || alt_hit || ', primary=' || engine WHEN 'DENIED' THEN 'cross_state_override: engine=' || engine || ' wrong for ' || state
+     WHEN 'GAS_ONLY' THEN 'gas_provider_in_electric: engine=' || engine WHEN 'ELECTRIC' THEN 'tenant_electric_in_gas: tenant=' || tn WHEN 'MISMATCH' THEN 'engine=' || engine || ' vs tenant=' || tn ELSE '' END AS match_detail,
+   CASE WHEN early = 'TENANT_ONLY' THEN tenant WHEN early IS NULL THEN tn ELSE '' END AS tenant_normalized FROM judged)"""
+
+
+@query("c1_compare_providers", f"WITH {compared_ctes('cases')} SELECT row_id, comparison, match_detail, tenant_normalized FROM compared")
 def _(t):
     return compared(t).select("row_id", "comparison", "match_detail", "tenant_normalized")
 
