@@ -235,17 +235,3 @@ def recompare(stored: DataFrame, aliases, reps, rebrands, parents, min_score: fl
         stored.drop("comparison", "match_detail", "tenant_normalized"), aliases, reps, rebrands, parents, min_score
     )
     return fresh, accuracy_change(stored, fresh)
-
-
-def retest_outcome(old_mismatches: DataFrame, retested: DataFrame) -> DataFrame:
-    """Per type, state and source: mismatches fixed, still wrong, without coordinates.
-
-    ``old_mismatches``: row_id, utility_type, state.  ``retested``: row_id,
-    utility_type, comparison, source, lat, lon.
-    """
-    joined = old_mismatches.select("row_id", "utility_type", "state").join(retested.drop("state"), ["row_id", "utility_type"], "left")
-    no_coordinates = F.col("lat").isNull() | ((F.col("lat") == 0) & (F.col("lon") == 0))
-    outcome = F.when(no_coordinates, "no_coords").when(F.col("comparison").isin(CORRECT), "fixed").otherwise("still_mismatch")
-    return joined.withColumn("outcome", outcome).groupBy("utility_type", "state", F.coalesce("source", F.lit("none")).alias("source")).agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("fixed", "still_mismatch", "no_coords")]
-    )

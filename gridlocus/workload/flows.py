@@ -7,12 +7,15 @@ import os
 from pyspark.sql import functions as F
 
 from gridlocus.functions import rules
-from gridlocus.operators import activity
+from gridlocus.operators import activity, report
 from gridlocus.operators import resolve as V
 from gridlocus.operators.catalog import catalog_overrides
+from gridlocus.operators.compare import CORRECT, compare_providers
 from gridlocus.operators.dictionary import build_dictionary
-from gridlocus.operators.names import canonical_states
+from gridlocus.operators.names import canonical_states, parent_table
+from gridlocus.plans import retest
 from gridlocus.plans.lookup import Sources, lookup, lookup_wide, territory_candidates
+from gridlocus.session import cut_lineage
 from gridlocus.sources import readers as R
 from gridlocus.sources import writers as W
 from gridlocus.streaming import operators as T
@@ -22,7 +25,7 @@ from gridlocus.workload.bindings import BINDINGS, pick
 from gridlocus.workload.bindings import text as as_text
 from gridlocus.workload.matching import match_ctes, prepared, segment_ctes
 from gridlocus.workload.registry import TEXTS, has_any, in_list, query, quoted
-from gridlocus.workload.reporting import RUNS, result_alternatives, reviewed
+from gridlocus.workload.reporting import RUNS, compared_ctes, result_alternatives, reviewed
 from gridlocus.workload.resolving import BASE, HITS, SCORED, VERIFY, state_inputs
 
 
@@ -366,7 +369,11 @@ def _(t):
     """The whole lookup from addresses to ranked answers; catalog ids, contacts and sewer are added by v17_lookup."""
     s = all_sources(t)
     s.catalog = s.contacts = None
-    answers = lookup(t.addresses, s, base=BASE)
+    return answer_rows(lookup(t.addresses, s, base=BASE))
+
+
+def answer_rows(answers):
+    """Answers with their alternatives as text."""
     return answers.select("address_id", "utility_type", "provider_name", "canonical_id", "eia_id", F.round("confidence", 6).alias("confidence"), "match_method", "source", "is_deregulated", "n_agree", "needs_review",
                           F.array_join(F.transform("alternatives", lambda a: F.concat_ws("/", a["provider"], a["confidence"].cast("string"))), "|").alias("alternatives"))
 
@@ -384,6 +391,61 @@ def _(t):
     return wide.select("address_id", *[F.col(f"{u}.provider_name").alias(u) for u in ("electric", "gas", "water")], F.col("internet.provider_count").alias("internet_providers"))
 
 
+# Stored answers per address and type, every other one wrong; what was reported is a name that some source may give now.
+BINDINGS["stored_rows"] = f"""
+SELECT c_custkey * 3 + k AS row_id, c_custkey AS address_id, {pick('k', ['electric', 'gas', 'water'])} AS utility_type, state,
+  {pick('(c_custkey + k) % 7', ["=p_name || ' Energy'", "='Cached ' || p_name", "='City of ' || n_name", "='State gas ' || n_name", "=p_name || ' district'", 'landlord', '=upper(p_name)'])} AS tenant_raw,
+  'Old ' || p_name AS engine_provider, CASE WHEN c_custkey % 2 = 0 THEN 'MISMATCH' ELSE 'MATCH' END AS comparison
+FROM (SELECT *, @SERIES(3) AS k FROM customer_names) x
+"""
+
+RETESTED = f"""fresh AS MATERIALIZED (WITH {GATHERED}, {resolved_ctes('gathered')}, {ANSWERED} SELECT address_id, utility_type, provider_name, source FROM lead),
+ again AS MATERIALIZED (SELECT s.row_id, s.address_id, s.utility_type, s.state, tenant_raw, s.engine_provider AS old_provider, CASE WHEN here THEN provider_name END AS engine_provider, CASE WHEN here THEN source END AS source, here
+   FROM (SELECT s.*, NOT (lat = 0 AND lon = 0) AS here FROM stored_rows s JOIN addresses USING (address_id) WHERE comparison = 'MISMATCH') s LEFT JOIN fresh USING (address_id, utility_type)),
+ again_rows AS (SELECT *, NULL::VARCHAR AS alt FROM again WHERE here), {compared_ctes('again_rows')},
+ changes AS MATERIALIZED (SELECT a.*, c.comparison, CASE WHEN NOT here THEN 'no_coords' WHEN c.comparison IN {in_list(CORRECT)} THEN 'fixed' ELSE 'still_mismatch' END AS outcome FROM again a LEFT JOIN compared c USING (row_id))"""
+
+
+def changed(t, rows):
+    """The change set of wrong rows with the lookup as it is now, without catalog ids and contacts, which no comparison reads."""
+    s = all_sources(t)
+    s.catalog = s.contacts = None
+    compare = lambda due: compare_providers(due, t.aliases, t.reps, t.rebrands, parent_table(t.spark))
+    return retest.change_set(rows, t.addresses, lambda asked: lookup(asked, s, base=BASE), compare)
+
+
+@query("c5_retest_changes", f"WITH {RETESTED} SELECT row_id, old_provider, engine_provider AS new_provider, source, comparison, outcome FROM changes")
+def _(t):
+    return changed(t, t.stored_rows.where("comparison = 'MISMATCH'")).select("row_id", "old_provider", "new_provider", "source", "comparison", "outcome")
+
+
+@query("c5_retest_rows", f"""WITH {RETESTED} SELECT utility_type, state, coalesce(source, 'none') AS source, count(*) AS n, count(*) FILTER (WHERE outcome = 'fixed') AS fixed,
+  count(*) FILTER (WHERE outcome = 'still_mismatch') AS still_mismatch, count(*) FILTER (WHERE outcome = 'no_coords') AS no_coords FROM changes GROUP BY 1, 2, 3""")
+def _(t):
+    return retest.outcome_counts(changed(t, t.stored_rows.where("comparison = 'MISMATCH'")))
+
+
+def fix_rates(t, per_stratum: int):
+    """Wrong rows sampled per type and state, tested again, and their fix rate carried over to all wrong rows."""
+    wrong = cut_lineage(t.stored_rows.where("comparison = 'MISMATCH'"))
+    changes = changed(t, report.stratified_sample(wrong, ["utility_type", "state"], "row_id", per_stratum))
+    tested = changes.where("outcome <> 'no_coords'").select("utility_type", "state", (F.col("outcome") == "fixed").alias("fixed"))
+    return report.stratified_fix_rate(wrong, tested).withColumn("fix_rate", F.round("fix_rate", 6))
+
+
+@query("g18_stratified_fix_rate")
+def _(t):
+    return fix_rates(t, 20)
+
+
+@query("g18_whole_fix_rate", f"""WITH {RETESTED}, sizes AS (SELECT utility_type, state, count(*) AS mismatches, row_number() OVER (PARTITION BY utility_type ORDER BY count(*) DESC, state) AS rn FROM stored_rows WHERE comparison = 'MISMATCH' GROUP BY 1, 2),
+ rates AS (SELECT utility_type, state, count(*) AS tested, count(*) FILTER (WHERE outcome = 'fixed') AS fixed FROM changes WHERE here GROUP BY 1, 2)
+SELECT utility_type, state, mismatches, tested, fixed, round(fixed::DOUBLE / tested, 6) AS fix_rate, CAST(floor(fixed::DOUBLE / tested * mismatches) AS BIGINT) AS projected FROM sizes JOIN rates USING (utility_type, state) WHERE rn <= 15""")
+def _(t):
+    """The same with strata taken whole."""
+    return fix_rates(t, 1 << 30)
+
+
 FLAGSHIP = f"""WITH {HITS}, {SCORED}, named AS (SELECT point_id, name FROM electric)
 SELECT name AS provider, count(*) AS n_addresses, min(point_id) AS first_address FROM named GROUP BY name"""
 
@@ -437,17 +499,18 @@ def _(t):
     return drain_batches(stream, resolve, "address_id bigint, provider string")
 
 
-@query("t1_stream_whole_lookup")
+@query("t1_stream_whole_lookup", TEXTS["v17_lookup_answers"])
 def _(t):
-    """Three micro-batches of addresses through the whole lookup, all sources as published snapshots."""
+    """Three micro-batches of addresses through the whole lookup, all sources as published snapshots; equal to the batch lookup."""
     folder = shared_folder(t.spark)
-    snapshots = Snapshots(t.spark, os.path.join(folder, "sources"), Sources)
-    snapshots.publish(all_sources(t))
+    snapshots, sources = Snapshots(t.spark, os.path.join(folder, "sources"), Sources), all_sources(t)
+    sources.catalog = sources.contacts = None
+    snapshots.publish(sources)
     stream = arrivals(t.spark, write_arrivals(t.addresses, F.col("address_id") % BATCHES, BATCHES))
     out, progress = os.path.join(folder, "answers"), os.path.join(folder, "progress")
-    writer = lookup_stream(stream, snapshots, lambda batch, sources: lookup(batch, sources, base=BASE, sewer=True), out, progress)
+    writer = lookup_stream(stream, snapshots, lambda batch, s: lookup(batch, s, base=BASE), out, progress)
     writer.trigger(availableNow=True).start().awaitTermination()
-    return answers(t.spark, out).withColumn("alternatives", F.array_join(F.transform("alternatives", lambda a: a["provider"]), "|"))
+    return answer_rows(answers(t.spark, out))
 
 
 #: One row of a key after the other, by (ts, event_id), each step from the state that the row before left.

@@ -140,25 +140,9 @@ def _(t):
     return compare.id_match_bucket(t.results.drop("id_match"), t.catalog_aliases).select("row_id", "id_match")
 
 
-@query("c4_recompare")
-def _(t):
-    stored = cut_lineage(case_rows(t).withColumn("comparison", F.when(F.col("row_id") % 2 == 0, "MATCH").otherwise("MISMATCH")))
-    fresh, change = compare.recompare(stored, t.aliases, t.reps, t.rebrands, names.parent_table(t.spark))
-    return change
-
-
 BINDINGS["after_rows"] = """SELECT row_id, utility_type, CASE WHEN row_id % 3 = 0 THEN 'MATCH' WHEN row_id % 7 = 0 THEN 'MATCH_ALT' ELSE comparison END AS comparison, CASE WHEN row_id % 11 = 0 THEN 0e0 ELSE 1e0 END AS lat, CASE WHEN row_id % 11 = 0 THEN 0e0 ELSE 1e0 END AS lon, engine_source AS source FROM results"""
 
 
-@query("c5_retest_rows", """
-SELECT r.utility_type, r.state, a.source, count(*) AS n, count(*) FILTER (WHERE lat <> 0 AND a.comparison IN ('MATCH', 'MATCH_TDU', 'MATCH_PARENT')) AS fixed,
-  count(*) FILTER (WHERE lat <> 0 AND a.comparison NOT IN ('MATCH', 'MATCH_TDU', 'MATCH_PARENT')) AS still_mismatch, count(*) FILTER (WHERE lat = 0) AS no_coords
-FROM results r JOIN after_rows a USING (row_id) WHERE r.comparison = 'MISMATCH' GROUP BY 1, 2, 3
-""")
-def _(t):
-    return compare.retest_outcome(t.results.where("comparison = 'MISMATCH'"), t.after_rows.withColumn("state", F.lit("")))
-
-
 @query("c6_accuracy_by_type", f"SELECT utility_type, {SCO} AS scoreable, {COR} AS correct, {pct(COR, SCO)} AS accuracy_pct FROM results GROUP BY 1")
 def _(t):
     return compare.accuracy(t.results, ["utility_type"]).withColumns(r6("accuracy_pct"))
@@ -321,14 +305,6 @@ def _(t):
     return report.source_distribution(t.results).withColumns(r6("share_pct"))
 
 
-@query("g18_stratified_fix_rate")
-def _(t):
-    wrong = t.results.where("comparison = 'MISMATCH'")
-    sample = report.stratified_sample(wrong, ["utility_type", "state"], "row_id")
-    tested = sample.join(t.after_rows.select("row_id", F.col("comparison").isin(compare.CORRECT).alias("fixed")), "row_id")
-    return report.stratified_fix_rate(wrong, tested)
-
-
 _altc, _alts = (x.replace("'MATCH', ", "'MATCH', 'MATCH_ALT', ") for x in (COR, SCO))
 
 
@@ -339,6 +315,17 @@ def _(t):
         "delta_pp", F.round(F.col("new_accuracy_pct") - F.col("old_accuracy_pct"), 6))
 
 
+_sides = f"""o AS (SELECT utility_type, {_alts} AS old_scoreable, {_altc} AS old_correct, {pct(_altc, _alts)} AS old_accuracy_pct FROM (SELECT utility_type, CASE WHEN row_id % 2 = 0 THEN 'MATCH' ELSE 'MISMATCH' END AS comparison FROM cases) x GROUP BY 1),
+ n AS (SELECT utility_type, {_alts} AS new_scoreable, {_altc} AS new_correct, {pct(_altc, _alts)} AS new_accuracy_pct FROM compared GROUP BY 1)"""
+
+
+@query("c4_recompare", f"WITH {compared_ctes('cases')}, {_sides} SELECT *, round(new_accuracy_pct - old_accuracy_pct, 6) AS delta_pp FROM o JOIN n USING (utility_type)")
+def _(t):
+    stored = cut_lineage(case_rows(t).withColumn("comparison", F.when(F.col("row_id") % 2 == 0, "MATCH").otherwise("MISMATCH")))
+    _fresh, change = compare.recompare(stored, t.aliases, t.reps, t.rebrands, names.parent_table(t.spark))
+    return change.withColumns(r6("old_accuracy_pct", "new_accuracy_pct")).withColumn("delta_pp", F.round(F.col("new_accuracy_pct") - F.col("old_accuracy_pct"), 6))
+
+
 @query("c4_accuracy_change", f"""WITH o AS (SELECT utility_type, {_alts} AS old_scoreable, {_altc} AS old_correct, {pct(_altc, _alts)} AS old_accuracy_pct FROM results GROUP BY 1), n AS (SELECT utility_type, {_alts} AS new_scoreable, {_altc} AS new_correct, {pct(_altc, _alts)} AS new_accuracy_pct FROM after_rows GROUP BY 1)
 SELECT *, round(new_accuracy_pct - old_accuracy_pct, 6) AS delta_pp FROM o JOIN n USING (utility_type)""")
 def _(t):
