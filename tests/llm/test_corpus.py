@@ -1,17 +1,20 @@
 """Token counts, source divergence and collocations against plain versions."""
 
+import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridlocus.llm import collocations, divergence, queries, token_counts
+from gridlocus.llm import byte_bpe, collocations, divergence, queries, token_counts
 from gridlocus.llm.folding import Fold
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +84,23 @@ def test_token_count_query(spark, library):
         d: (len(x.encode()), n := len(library.encode(x, add_special_tokens=False).ids), n > 512) for d, x in texts.items()}
 
 
+def test_token_queries(spark, library):
+    """Digests, starts and end ids of the token file query, and those of the rank query, by the libraries."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    start, want = 0, {}
+    for d in sorted(texts):
+        ids = np.array([*library.encode(texts[d], add_special_tokens=False).ids, 0], "<u4").tobytes()
+        want[d] = (start, len(ids) // 4, zlib.crc32(ids))
+        start += len(ids) // 4
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op2_token_codes(spark, SMALL).collect()} == want
+    ranks = byte_bpe.ranks_from(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for r in queries.op3_byte_bpe(spark, SMALL).collect():
+        ids = np.array(plain.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(ids.tobytes()), sha(texts[r.doc_id].encode()))
+
+
 # ---- folding -----------------------------------------------------------------
 @pytest.mark.parametrize("limit", [1, 7, 50, 10_000])
 def test_folds_and_their_spills_add_up(limit):
