@@ -1,14 +1,16 @@
 """Keyed state that sees the rows of a key one by one in event-time order.
 
-Rows wait in the state store under the instant they belong to, and a timer at that instant hands them on
-when the watermark has passed it: so rows may arrive in any order within the allowed lateness, in any
-micro-batch, and no more rows of a key are in memory than fall on one instant.  Rows behind the watermark
-are dropped by the engine.  What is known of a key is a record of constant size that goes when its time to
-live is over.  The state store has to keep timers on disk (``session.ENGINE_CONF`` names it)."""
+Rows wait in the state store until the watermark has passed their instant: so rows may arrive in any order
+within the allowed lateness, in any micro-batch.  A key's state is read and written a few times per micro-batch,
+not per row; the first rows that wait lie together, those of a busy key in slots of ten minutes, so no more
+rows of a key are in memory than ``FEW`` and those of a slot.  Rows behind the watermark are dropped by the
+engine.  What is known of a key is a record of constant size that goes when its time to live is over.  The
+state store has to keep timers on disk (``session.ENGINE_CONF`` names it)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 MICROS = 1_000_000
+#: Rows of a key that wait together, and the width in milliseconds of the slots that more of them wait in.
+FEW = 16_384
+SLOT = 600_000
 
 
 def until(micros: int) -> int:
@@ -44,36 +49,105 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint", "micros array<bigint>, ids array<bigint>, kinds array<int>")
+        rows = "micros array<bigint>, ids array<bigint>, kinds array<int>"
+        self.waiting = handle.getValueState("waiting", f"{rows}, slots array<bigint>")
+        self.filed = handle.getMapState("filed", "slot bigint", rows)
         self.record = handle.getValueState("record", self.known)
         self.alarm = handle.getValueState("alarm", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        few, slots = self._waiting()
+        before = self._next(few, slots)
         for row in rows:
             if row.id is None:
                 continue
-            at = (until(row.micros),)
-            if self.waiting.containsKey(at):
-                micros, ids, kinds = self.waiting.getValue(at)
-                self.waiting.updateValue(at, ([*micros, row.micros], [*ids, row.id], [*kinds, row.kind]))
-            else:
-                self.waiting.updateValue(at, ([row.micros], [row.id], [row.kind]))
-                self.handle.registerTimer(at[0])
+            few.append((row.micros, row.kind, row.id))
+            if len(few) >= FEW:
+                slots, few = self._file(few, slots), []
+        self._wait(few, slots, before)
         return iter(())
 
+    def _waiting(self) -> tuple[list[tuple], list[int]]:
+        """The rows (micros, kind, id) that wait together, and the slots that hold others, in order."""
+        state = self.waiting.get()
+        return (list(zip(state[0], state[2], state[1])), list(state[3])) if state else ([], [])
+
+    def _file(self, few: list[tuple], slots: list[int]) -> list[int]:
+        """Put rows into their slots; gives the slots in use."""
+        by_slot: dict[int, list[tuple]] = {}
+        for row in few:
+            by_slot.setdefault(until(row[0]) // SLOT, []).append(row)
+        known = set(slots)
+        for slot, rows in by_slot.items():
+            held = self.filed.getValue((slot,)) if slot in known else ([], [], [])
+            micros, kinds, ids = zip(*rows)
+            self.filed.updateValue((slot,), ([*held[0], *micros], [*held[1], *ids], [*held[2], *kinds]))
+        return sorted(known | by_slot.keys())
+
+    def _next(self, few: list[tuple], slots: list[int]) -> int | None:
+        """The first instant to look at the waiting rows again."""
+        return min([until(row[0]) for row in few] + [slot * SLOT for slot in slots[:1]], default=None)
+
+    def _wait(self, few: list[tuple], slots: list[int], rings: int | None) -> None:
+        """Keep the rows; ``rings`` is the instant of the timer that is set already."""
+        at = self._next(few, slots)
+        if at is None:
+            if self.waiting.exists():
+                self.waiting.clear()
+            return
+        self.waiting.update(([r[0] for r in few], [r[2] for r in few], [r[1] for r in few], slots))
+        if at != rings:
+            self.handle.registerTimer(at)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = (expiredTimerInfo.getExpiryTimeInMs(),)
-        known = tuple(self.record.get()) if self.record.exists() else None
-        if self.waiting.containsKey(at):
-            rows = sorted(zip(*self.waiting.getValue(at)), key=lambda r: (r[0], r[2], r[1]))
-            self.waiting.removeKey(at)
-            for micros, number, kind in rows:
-                known, out = self.decide(key[0], known, micros, number, kind)
-                if out is not None:
-                    yield out
-        if known is not None and until(self.since(known) + self.life(known) * MICROS) < at[0]:
+        rang = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(rang, timerValues.getCurrentWatermarkInMs() - 1)  # instants up to here have passed
+        few, slots = self._waiting()
+        known = self.record.get()
+        known = None if known is None else tuple(known)
+        if few or slots:
+            late = [row for row in few if until(row[0]) > now]
+            due = sorted(row for row in few if until(row[0]) <= now)
+            passed = [slot for slot in slots if slot * SLOT <= now]
+            for part, slot in self._parts(due, passed):
+                if slot is not None:
+                    micros, ids, kinds = self.filed.getValue((slot,))
+                    self.filed.removeKey((slot,))
+                    filed = list(zip(micros, kinds, ids))
+                    late += [row for row in filed if until(row[0]) > now]
+                    part = sorted(part + [row for row in filed if until(row[0]) <= now])
+                for at, rows in groupby(part, lambda row: until(row[0])):
+                    if known is not None and self._over(known) + 1 < at:
+                        known = None
+                    for micros, kind, number in rows:
+                        known, out = self.decide(key[0], known, micros, number, kind)
+                        if out is not None:
+                            yield out
+                    if known is not None and self._over(known) < at:
+                        known = None
+            self._wait(late, slots[len(passed) :], None)
+        if known is not None and self._over(known) < now:
             known = None
-        self._store(known, at[0])
+        self._store(known, now)
+
+    @staticmethod
+    def _parts(due: list[tuple], slots: list[int]) -> Iterator[tuple[list[tuple], int | None]]:
+        """The due rows in order, each slot together with those of its time."""
+        first = 0
+        for slot in slots:
+            start = first
+            while first < len(due) and until(due[first][0]) < slot * SLOT:
+                first += 1
+            yield due[start:first], None
+            start = first
+            while first < len(due) and until(due[first][0]) < (slot + 1) * SLOT:
+                first += 1
+            yield due[start:first], slot
+        yield due[first:], None
+
+    def _over(self, known: tuple) -> int:
+        """The end of a record's life."""
+        return until(self.since(known) + self.life(known) * MICROS)
 
     def _store(self, known: tuple | None, now: int) -> None:
         """Keep the record and one alarm, at which it is looked at again; each later alarm replaces the one that rang."""
@@ -83,8 +157,9 @@ class InOrder(StatefulProcessor):
                     state.clear()
             return
         self.record.update(known)
-        if not self.alarm.exists() or self.alarm.get()[0] <= now:
-            ring = max(until(self.since(known) + self.life(known) * MICROS), now) + 1
+        alarm = self.alarm.get()
+        if alarm is None or alarm[0] <= now:
+            ring = max(self._over(known), now) + 1
             self.alarm.update((ring,))
             self.handle.registerTimer(ring)
 
