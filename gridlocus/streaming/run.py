@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,18 +29,28 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return reader.parquet(path)
 
 
+#: Rows of one input file of a stream: what a task of a micro-batch holds is bounded by it.
+ROWS_PER_FILE = 100_000
+
+
 def write_arrivals(rows: DataFrame, arrival: Column, batches: int, files: int = 4) -> str:
-    """Write rows as the input of a stream: batch number ``arrival`` (0, 1, ...) of a row is the micro-batch it comes with."""
+    """Write rows as the input of a stream: batch number ``arrival`` (0, 1, ...) of a row is the micro-batch it comes with.
+
+    All batches have the same number of files, ``files`` or as many more as the largest batch needs."""
     folder = os.path.join(shared_folder(rows.sparkSession), "arrivals")
+    largest = rows.where(arrival.between(0, batches - 1)).groupBy(arrival.alias("arrival")).count().agg(F.max("count")).first()[0]
+    files = max(files, -(-(largest or 0) // ROWS_PER_FILE))
     for i in range(batches):
         rows.where(arrival == i).repartition(files).write.parquet(os.path.join(folder, f"batch-{i:06d}"))
     return folder
 
 
-def arrivals(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
-    """The stream of rows written by ``write_arrivals``."""
-    schema = spark.read.option("recursiveFileLookup", "true").parquet(folder).schema
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
+def arrivals(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    """The stream of rows written by ``write_arrivals``, a batch of it at a time unless ``files`` says otherwise."""
+    written = spark.read.option("recursiveFileLookup", "true").parquet(folder)
+    if files is None:
+        files = max(Counter(os.path.dirname(f) for f in written.inputFiles()).values())
+    return spark.readStream.schema(written.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def drain(stream: DataFrame) -> DataFrame:

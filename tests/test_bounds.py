@@ -1,9 +1,16 @@
 """Sizes that must not grow with the input: what is broadcast, what a task of a stream holds."""
 
+import os
+import random
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gridlocus.operators import spatial as S
 from gridlocus.session import apply_conf
+from gridlocus.streaming import keyed, run
 
 
 def test_exploded_cells_are_not_broadcast_by_an_estimate(spark):
@@ -17,3 +24,102 @@ def test_exploded_cells_are_not_broadcast_by_an_estimate(spark):
     assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString()
     n = {r.point_id: r.n for r in hits.groupBy("point_id").agg(F.count("*").alias("n")).collect()}
     assert n[2500] == 9 and n[0] == 5 and len(n) == 5000  # |0.25 + d| + 0.25 < 5 for d in -4 ... 4
+
+
+class States:
+    """State of one key and its timers, with a count of the calls."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):
+        return One(self, name)
+
+    def getMapState(self, name, *schema):
+        return Many(self, name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class One:
+    def __init__(self, states, name):
+        self.states, self.name = states, name
+
+    def _kept(self):
+        self.states.calls += 1
+        return self.states.kept
+
+    def get(self):
+        return self._kept().get(self.name)
+
+    def exists(self):
+        return self.name in self._kept()
+
+    def update(self, value):
+        self._kept()[self.name] = value
+
+    def clear(self):
+        del self._kept()[self.name]
+
+
+class Many(One):
+    def getValue(self, key):
+        return self._kept().get((self.name, key))
+
+    def containsKey(self, key):
+        return (self.name, key) in self._kept()
+
+    def updateValue(self, key, value):
+        self._kept()[self.name, key] = value
+
+    def removeKey(self, key):
+        del self._kept()[self.name, key]
+
+
+def decided(processor, batches):
+    """Output for batches of (rows, watermark after them), as the engine runs them, and the calls."""
+    states, out = States(), []
+    processor.init(states)
+    for rows, watermark in batches:
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+        list(processor.handleInputRows(("k",), iter(rows), times))
+        while rung := sorted(t for t in states.timers if t < watermark):
+            states.timers.discard(rung[0])
+            out += processor.handleExpiredTimer(("k",), times, SimpleNamespace(getExpiryTimeInMs=lambda: rung[0]))
+    return out, states
+
+
+@pytest.mark.parametrize("few", [16_384, 7])
+def test_state_is_touched_per_batch_and_rows_come_in_order(monkeypatch, few):
+    monkeypatch.setattr(keyed, "FEW", few, raising=False)
+    rng, hour = random.Random(few), 3_600_000_000
+    rows = [Row(micros=rng.randrange(0, 200 * hour, 500), id=i, kind=rng.randrange(2)) for i in range(1500)]
+    rows += [Row(micros=r.micros, id=2000 + r.id, kind=r.kind) for r in rows[:40]]  # same instants
+    rng.shuffle(rows)
+    batch = lambda r: r.micros // (50 * hour) + (r.id % 3 == 0 and r.micros % (50 * hour) > 44 * hour)
+    batches = [([r for r in rows if batch(r) == b], (50 * b + 44) * 3_600_000) for b in range(5)] + [([], 10**9)]
+
+    now, want = None, []
+    plain = keyed.FailureRun(3, 7200, 5 * 3600)
+    for r in sorted(rows, key=lambda r: (r.micros, r.kind, r.id)):
+        if now is not None and keyed.until(now[1] + 5 * hour) + 1 < keyed.until(r.micros):
+            now = None
+        now, row = plain.decide("k", now, r.micros, r.id, r.kind)
+        want.append(row)
+    got, states = decided(keyed.FailureRun(3, 7200, 5 * 3600), batches)
+    assert got == want and not states.kept
+    assert few < len(rows) or states.calls < 200  # a dozen a batch and one alarm after each, not several a row
+
+
+def test_files_of_a_batch_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(run, "ROWS_PER_FILE", 10)
+    rows = spark.range(150).withColumn("arrival", (F.col("id") % 2).cast("int"))
+    folder = run.write_arrivals(rows, F.col("arrival"), 2)
+    files = [os.path.dirname(f) for f in spark.read.option("recursiveFileLookup", "true").parquet(folder).inputFiles()]
+    assert [files.count(d) for d in sorted(set(files))] == [8, 8]
+    sizes = []
+    query = run.arrivals(spark, folder).writeStream.trigger(availableNow=True).foreachBatch(lambda df, n: sizes.append(df.count()))
+    query.option("checkpointLocation", run.shared_folder(spark)).start().awaitTermination()
+    assert sizes == [75, 75]
