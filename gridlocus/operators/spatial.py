@@ -193,21 +193,37 @@ def levels_in_use(territories: DataFrame, base: float) -> list[int]:
     return sorted(r.level for r in territories.select(grid_level(base).alias("level")).distinct().collect())
 
 
-def territory_cells(territories: DataFrame, base: float, keys: list[str], inclusive: bool = False) -> DataFrame:
+def _tile(cell: str) -> Column:
+    return F.floor(F.col(cell) / CELLS_PER_AXIS)
+
+
+def territory_cells(
+    territories: DataFrame, base: float, keys: list[str], inclusive: bool = False, asked: DataFrame | None = None, on: tuple[str, ...] = (),
+) -> DataFrame:
     """(keys…, level, ix, iy, edges): edges is empty where the whole cell is inside.
 
-    ``territories`` carries ``rings`` and ``bbox``.
+    ``territories`` carries ``rings`` and ``bbox``.  ``asked``: level, ix, iy and the columns of ``on`` that are looked up;
+    no cells are made in tiles of ``CELLS_PER_AXIS`` cells per axis that hold none of them, so few points cost few cells.
     """
     df = territories.withColumn("level", grid_level(base))
-    df = df.withColumn("_s", _cell_size(base, F.col("level"))).withColumn("_edges", edges_of(F.col("rings")))
-
-    def span(low, high):
-        return F.sequence(F.floor(F.col(low) / F.col("_s")), F.floor(F.col(high) / F.col("_s")))
-
-    df = df.select(*keys, "level", "_s", "bbox", "_edges", F.explode(span("bbox.ymin", "bbox.ymax")).alias("iy"))
+    df = df.withColumn("_s", _cell_size(base, F.col("level")))
+
+    def first(low):
+        return F.floor(F.col(low) / F.col("_s"))
+
+    df = df.withColumns({"_x0": first("bbox.xmin"), "_x1": first("bbox.xmax"), "_y0": first("bbox.ymin"), "_y1": first("bbox.ymax")})
+    if asked is not None:
+        df = df.withColumn("_ty", F.explode(F.sequence(_tile("_y0"), _tile("_y1")))).withColumn("_tx", F.explode(F.sequence(_tile("_x0"), _tile("_x1"))))
+        tiles = asked.select("level", _tile("ix").alias("_tx"), _tile("iy").alias("_ty"), *on).distinct()
+        df = df.join(tiles, ["level", "_tx", "_ty", *on], "left_semi")
+        for axis, tile in (("x", "_tx"), ("y", "_ty")):
+            df = df.withColumns({f"_{axis}0": F.greatest(f"_{axis}0", F.col(tile) * CELLS_PER_AXIS),
+                                 f"_{axis}1": F.least(f"_{axis}1", F.col(tile) * CELLS_PER_AXIS + CELLS_PER_AXIS - 1)})
+    df = df.withColumn("_edges", edges_of(F.col("rings")))
+    df = df.select(*keys, "level", "_s", "_x0", "_x1", "_edges", F.explode(F.sequence("_y0", "_y1")).alias("iy"))
     ylo, yhi = F.col("iy") * F.col("_s"), (F.col("iy") + 1) * F.col("_s")
     band = F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= yhi) & (F.greatest(e["y1"], e["y2"]) >= ylo))
-    df = df.select(*keys, "level", "_s", "iy", band.alias("_band"), F.explode(span("bbox.xmin", "bbox.xmax")).alias("ix"))
+    df = df.select(*keys, "level", "_s", "iy", band.alias("_band"), F.explode(F.sequence("_x0", "_x1")).alias("ix"))
     xlo, xhi = F.col("ix") * F.col("_s"), (F.col("ix") + 1) * F.col("_s")
     edges = F.filter("_band", lambda e: F.greatest(e["x1"], e["x2"]) >= xlo)
     df = df.select(*keys, "level", "ix", "iy", "_s", edges.alias("edges"))
@@ -241,8 +257,9 @@ def point_in_territory(
     ``inclusive``.  Columns of both sides; ``on`` adds equality columns (a layer, a
     state).  Attributes travel beside the geometry, never through it.
     """
-    cells = territory_cells(territories, base, [*keys, *on])
-    joined = point_cells(points, base, levels_in_use(territories, base)).join(cells, ["level", "ix", "iy", *on])
+    asked = point_cells(points, base, levels_in_use(territories, base))
+    cells = territory_cells(territories, base, [*keys, *on], asked=asked, on=on)
+    joined = asked.join(cells, ["level", "ix", "iy", *on])
     x, y = F.col("x"), F.col("y")
     odd = crossings(F.col("edges"), x, y) % 2 == 1
     edge = on_outline(F.col("edges"), x, y)

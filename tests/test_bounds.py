@@ -123,3 +123,18 @@ def test_files_of_a_batch_grow_with_its_rows(spark, monkeypatch):
     query = run.arrivals(spark, folder).writeStream.trigger(availableNow=True).foreachBatch(lambda df, n: sizes.append(df.count()))
     query.option("checkpointLocation", run.shared_folder(spark)).start().awaitTermination()
     assert sizes == [75, 75]
+
+
+def test_cells_are_made_only_where_points_are(spark):
+    corner = lambda dx, dy: F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y"))
+    ids = spark.range(400).select(F.col("id").alias("territory_id"), (F.col("id") * 40.0 - 8000).alias("cx"), (F.col("id") % 7 * 9.0 - 30).alias("cy"))
+    r = 2.0 + F.col("territory_id") % 90
+    rings = F.array(F.array(*[corner(dx * r, dy * r) for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1))]))
+    shapes = S.prepare_territories(ids.select("*", r.alias("r"), rings.alias("rings")))
+    points = spark.range(60).select(F.col("id").alias("point_id"), (F.col("id") * 1.5 - 40.25).alias("x"), (F.col("id") % 11 * 3 - 15.125).alias("y"))
+    hits = sorted(map(tuple, S.point_in_territory(points, shapes, 1.0).select("point_id", "territory_id").collect()))
+    want = points.crossJoin(ids.withColumn("r", r)).where("abs(x - cx) + abs(y - cy) < r").select("point_id", "territory_id").collect()
+    assert hits and hits == sorted(map(tuple, want))
+    asked = S.point_cells(points, 1.0, S.levels_in_use(shapes, 1.0))
+    few, all_ = (S.territory_cells(shapes, 1.0, ["territory_id"], asked=a).count() for a in (asked, None))
+    assert few < all_ / 10
