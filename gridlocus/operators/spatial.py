@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridlocus.functions import predicates as P
 from gridlocus.functions import rules
+from gridlocus.session import shuffled
 
 LEVELS = 4
 SPREAD = 4  # one grid level is SPREAD times coarser than the one below
@@ -259,14 +260,14 @@ def point_in_territory(
     """
     asked = point_cells(points, base, levels_in_use(territories, base))
     cells = territory_cells(territories, base, [*keys, *on], asked=asked, on=on)
-    joined = asked.join(cells, ["level", "ix", "iy", *on])
+    joined = asked.join(shuffled(cells), ["level", "ix", "iy", *on])
     x, y = F.col("x"), F.col("y")
     odd = crossings(F.col("edges"), x, y) % 2 == 1
     edge = on_outline(F.col("edges"), x, y)
     inside = F.col("edges").isNull() | ((odd | edge) if inclusive else (odd & ~edge))
     hits = joined.where(inside).select(*points.columns, *keys)
     attributes = territories.drop("rings", "bbox")
-    return hits.join(attributes, [*keys, *on])
+    return hits.join(shuffled(attributes), [*keys, *on])
 
 
 def bbox_candidates(points: DataFrame, territories: DataFrame, base: float = 0.05) -> DataFrame:
@@ -278,7 +279,7 @@ def bbox_candidates(points: DataFrame, territories: DataFrame, base: float = 0.0
         F.explode(F.sequence(F.floor(F.col("bbox.xmin") / size), F.floor(F.col("bbox.xmax") / size))).alias("ix"),
     ).select("*", F.explode(F.sequence(F.floor(F.col("bbox.ymin") / size), F.floor(F.col("bbox.ymax") / size))).alias("iy"))
     return (
-        point_cells(points, base, levels_in_use(territories, base)).join(boxes, ["level", "ix", "iy"])
+        point_cells(points, base, levels_in_use(territories, base)).join(shuffled(boxes), ["level", "ix", "iy"])
         .where(F.col("x").between(F.col("bbox.xmin"), F.col("bbox.xmax"))
                & F.col("y").between(F.col("bbox.ymin"), F.col("bbox.ymax")))
         .select(*points.columns, "territory_id")
@@ -472,7 +473,7 @@ def correction_near_point(
     )
     near = (
         points.withColumns({"gx": F.floor(F.col("lat") / reach), "gy": F.floor(F.col("lon") / reach)})
-        .join(filed, ["utility_type", "gx", "gy"])
+        .join(shuffled(filed), ["utility_type", "gx", "gy"])
         .where((F.abs(F.col("clat") - F.col("lat")) < reach) & (F.abs(F.col("clon") - F.col("lon")) < reach))
     )
     return (
@@ -506,12 +507,12 @@ def territory_overlap(territories: DataFrame, step: float) -> DataFrame:
     size = samples.groupBy("territory_id").agg((F.count("*") * cell).alias("area"))
     other = samples.select(F.col("territory_id").alias("other_id"), "ix", "iy")
     shared = (
-        samples.join(other, ["ix", "iy"]).where("territory_id < other_id")
+        samples.join(shuffled(other), ["ix", "iy"]).where("territory_id < other_id")
         .groupBy("territory_id", "other_id").agg((F.count("*") * cell).alias("overlap"))
     )
     return (
-        shared.join(size, "territory_id")
-        .join(size.select(F.col("territory_id").alias("other_id"), F.col("area").alias("other_area")), "other_id")
+        shared.join(shuffled(size), "territory_id")
+        .join(shuffled(size.select(F.col("territory_id").alias("other_id"), F.col("area").alias("other_area"))), "other_id")
         .select("territory_id", "other_id", "overlap",
                 (100 * F.col("overlap") / F.col("area")).alias("pct_of_first"),
                 (100 * F.col("overlap") / F.col("other_area")).alias("pct_of_second"))

@@ -138,3 +138,42 @@ def test_cells_are_made_only_where_points_are(spark):
     asked = S.point_cells(points, 1.0, S.levels_in_use(shapes, 1.0))
     few, all_ = (S.territory_cells(shapes, 1.0, ["territory_id"], asked=a).count() for a in (asked, None))
     assert few < all_ / 10
+
+
+@pytest.fixture
+def another_bound(spark):
+    """The session as its owner has it when the rows are asked for: a bound under which all of these tables would be broadcast."""
+    apply_conf(spark)
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    kept = {k: spark.conf.get(k) for k in keys}
+    yield lambda: [spark.conf.set(k, "10MB") for k in keys]
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def plan_of(df):
+    """The plan as it ran."""
+    rows = df._jdf.queryExecution()
+    rows.executedPlan().executeCollect()
+    return rows.executedPlan().toString()
+
+
+def squares(spark, n):
+    corner = lambda dx, dy: F.struct((F.col("id") + dx).cast("double").alias("x"), F.lit(float(dy)).alias("y"))
+    ring = F.array(corner(2, 0), corner(0, 2), corner(-2, 0), corner(0, -2))
+    return S.prepare_territories(spark.range(n).select(F.col("id").alias("territory_id"), F.array(ring).alias("rings")))
+
+
+def test_territories_are_not_broadcast_under_any_bound(spark, another_bound):
+    shapes = squares(spark, 200)
+    points = spark.range(200).select(F.col("id").alias("point_id"), (F.col("id") + 0.25).alias("x"), F.lit(0.25).alias("y"))
+    inside = S.point_in_territory(points, shapes, 1.0)
+    boxes = S.bbox_candidates(points, shapes, 1.0)
+    overlap = S.territory_overlap(shapes, 0.5)
+    another_bound()
+    wide = [line for line in plan_of(inside).splitlines() if "BroadcastHashJoin" in line and "LeftSemi" not in line]
+    assert not wide  # the tiles that hold points may go to all tasks, as measured
+    for df in (boxes, overlap):
+        assert "BroadcastHashJoin" not in plan_of(df)
+    assert {r.point_id: r.n for r in boxes.groupBy("point_id").agg(F.count("*").alias("n")).collect()}[100] == 4
+    assert overlap.count() == 199 + 198  # neighbours at distance 1 and 2 share samples
