@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlocus.functions import predicates as P
 from gridlocus.functions import rules, text
-from gridlocus.session import cut_lineage
+from gridlocus.session import cut_lineage, shuffled
 
 
 def _holding_keys() -> list[str]:
@@ -40,11 +40,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes = edges.select(F.explode(F.array(F.col(a), F.col(b))).alias("node")).distinct()
     labels = cut_lineage(nodes.withColumn("label", F.col("node")))
     while True:  # labels only fall, and a round in which none falls is the last
-        near = both.join(labels.select(F.col("node").alias("t"), "label"), "t").groupBy("s").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["s"], "left").select("node", "label", F.least("label", "near").alias("low"))
+        near = both.join(shuffled(labels.select(F.col("node").alias("t"), "label")), "t").groupBy("s").agg(F.min("label").alias("near"))
+        hooked = labels.join(shuffled(near), labels["node"] == near["s"], "left").select("node", "label", F.least("label", "near").alias("low"))
         target = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
         step = cut_lineage(
-            hooked.join(target, "low", "left").select(
+            hooked.join(shuffled(target), "low", "left").select(
                 "node", F.least("low", "jump").alias("label"), (F.least("low", "jump") < F.col("label")).alias("moved"))
         )
         labels = step.drop("moved")
@@ -61,7 +61,7 @@ def merge_groups(edges: DataFrame) -> DataFrame:
 def name_groups(edges: DataFrame, groups: DataFrame, brand_source: str = "brand_resolver", preferred_source: str = "provider_normalizer") -> DataFrame:
     """(component, canonical): a brand name of the group, else a name of the
     preferred source, else the best display text among its canonical names."""
-    own = edges.where("own").select("source", "canonical", F.col("canonical_key").alias("alias_key")).join(groups, "alias_key")
+    own = edges.where("own").select("source", "canonical", F.col("canonical_key").alias("alias_key")).join(shuffled(groups), "alias_key")
     fixed = text.fix_casing("canonical")
     place = F.when(F.col("source") == brand_source, 0).when(F.col("source") == preferred_source, 1).otherwise(2)
     tie = F.when(F.col("source").isin(brand_source, preferred_source), F.struct(F.lit(False).alias("shout"), F.lit(0).alias("short"), fixed.alias("name"))).otherwise(text.display_preference(fixed))
@@ -90,10 +90,10 @@ def attach_auto_aliases(auto: DataFrame, keyed: DataFrame) -> DataFrame:
     clean = auto.select(text.clean_alias("key").alias("key"), text.clean_alias("alias").alias("alias")).where("key <> '' AND alias <> ''")
     clean = clean.where(~P.is_compound_key("key") & ~P.is_compound_key("alias"))
     clean = clean.withColumns({"kk": text.norm_key("key"), "ak": text.norm_key("alias")}).where("kk <> ''")
-    place = lambda column, out: keyed.select(F.col("alias_key").alias(column), F.col("canonical").alias(out))
+    place = lambda column, out: shuffled(keyed.select(F.col("alias_key").alias(column), F.col("canonical").alias(out)))
     links = clean.where(P.names_are_similar(F.col("kk"), F.col("ak"))).select("kk", "ak").distinct()
     links = cut_lineage(links.join(place("kk", "by_key"), "kk", "left").join(place("ak", "by_alias"), "ak", "left"))
-    keys = cut_lineage(clean.groupBy("kk").agg(F.min(text.fix_casing("key")).alias("name")).join(keyed.select(F.col("alias_key").alias("kk")), "kk", "left_anti"))
+    keys = cut_lineage(clean.groupBy("kk").agg(F.min(text.fix_casing("key")).alias("name")).join(shuffled(keyed.select(F.col("alias_key").alias("kk"))), "kk", "left_anti"))
 
     alone = keys.select(F.col("kk").alias("a"), F.col("kk").alias("b")).unionByName(
         links.where("by_key IS NOT NULL AND by_alias IS NULL").select(F.col("ak").alias("a"), F.col("ak").alias("b")))
@@ -103,9 +103,9 @@ def attach_auto_aliases(auto: DataFrame, keyed: DataFrame) -> DataFrame:
     anchors = links.where("by_key IS NOT NULL AND by_alias IS NULL").select(F.col("ak").alias("node"), F.lit(0).alias("place"), F.col("by_key").alias("canonical")).unionByName(
         links.where("by_key IS NULL AND by_alias IS NOT NULL").select(F.col("kk").alias("node"), F.lit(1).alias("place"), F.col("by_alias").alias("canonical"))).unionByName(
         keys.select(F.col("kk").alias("node"), F.lit(2).alias("place"), F.col("name").alias("canonical")))
-    target = anchors.join(groups, "node").groupBy("component").agg(F.min(F.struct("place", "canonical")).alias("t"))
+    target = anchors.join(shuffled(groups), "node").groupBy("component").agg(F.min(F.struct("place", "canonical")).alias("t"))
     kind = F.element_at(F.array(F.lit("existing"), F.lit("via_alias"), F.lit("new")), F.col("t.place") + 1)
-    return groups.join(target, "component").select(F.col("node").alias("alias_key"), F.col("t.canonical").alias("canonical"), kind.alias("placement"))
+    return groups.join(shuffled(target), "component").select(F.col("node").alias("alias_key"), F.col("t.canonical").alias("canonical"), kind.alias("placement"))
 
 
 def _valid_display(candidate, canonical):
@@ -120,11 +120,11 @@ def choose_display(groups: DataFrame, brands: DataFrame) -> DataFrame:
     legal_lower, brand.  A brand of the canonical decides alone, even when it is not
     usable; otherwise the first usable brand of an alias."""
     brand = brands.select("legal_lower", text.fix_casing("brand").alias("brand"))
-    own = groups.select("canonical").distinct().join(brand, F.lower("canonical") == F.col("legal_lower"), "left").select("canonical", F.col("brand").alias("own_brand"))
-    other = groups.join(brand, F.lower("alias_text") == F.col("legal_lower")).where(_valid_display(F.col("brand"), F.col("canonical"))).groupBy("canonical").agg(
+    own = groups.select("canonical").distinct().join(shuffled(brand), F.lower("canonical") == F.col("legal_lower"), "left").select("canonical", F.col("brand").alias("own_brand"))
+    other = groups.join(shuffled(brand), F.lower("alias_text") == F.col("legal_lower")).where(_valid_display(F.col("brand"), F.col("canonical"))).groupBy("canonical").agg(
         F.min_by("brand", "alias_text").alias("alias_brand"))
     usable = _valid_display(F.col("own_brand"), F.col("canonical"))
-    return own.join(other, "canonical", "left").select(
+    return own.join(shuffled(other), "canonical", "left").select(
         "canonical",
         F.when(F.col("own_brand").isNotNull(), F.when(usable, F.col("own_brand")).otherwise(F.col("canonical")))
         .otherwise(F.coalesce("alias_brand", "canonical")).alias("display_name"),
@@ -134,7 +134,7 @@ def choose_display(groups: DataFrame, brands: DataFrame) -> DataFrame:
 def attach_parent(canonicals: DataFrame, parents: DataFrame) -> DataFrame:
     """Parent company as metadata.  ``parents``: child, parent_company."""
     table = parents.groupBy(F.lower("child").alias("_c")).agg(F.max("parent_company").alias("parent_company"))
-    return canonicals.join(table, F.lower("canonical") == F.col("_c"), "left").drop("_c")
+    return canonicals.join(shuffled(table), F.lower("canonical") == F.col("_c"), "left").drop("_c")
 
 
 def build_dictionary(sources: DataFrame, brands: DataFrame, parents: DataFrame, auto: DataFrame | None = None) -> DataFrame:
@@ -142,18 +142,18 @@ def build_dictionary(sources: DataFrame, brands: DataFrame, parents: DataFrame,
     edges = cut_lineage(name_edges(sources))
     groups = merge_groups(edges)
     named = name_groups(edges, groups)
-    keyed = groups.join(named, "component").select("alias_key", "canonical")
+    keyed = groups.join(shuffled(named), "component").select("alias_key", "canonical")
     texts = key_texts(edges)
     if auto is not None:
         extra = attach_auto_aliases(auto, keyed)
         auto_text = auto.select(F.explode(F.array("key", "alias")).alias("alias")).select(text.clean_alias("alias").alias("alias")).withColumn("alias_key", text.norm_key("alias"))
         texts = key_texts(edges.select("alias", "alias_key").unionByName(auto_text))
         keyed = keyed.unionByName(extra.select("alias_key", "canonical"))
-    members = keyed.join(texts, "alias_key").select("canonical", "alias_text")
+    members = keyed.join(shuffled(texts), "alias_key").select("canonical", "alias_text")
     display = choose_display(members, brands)
     full = attach_parent(display, parents)
     aliases = members.where(F.lower("alias_text") != F.lower("canonical")).select("canonical", F.col("alias_text").alias("alias")).distinct()
-    return full.join(aliases, "canonical", "left")
+    return full.join(shuffled(aliases), "canonical", "left")
 
 
 def detect_conflicts(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from gridlocus.operators import dictionary as D
 from gridlocus.operators import spatial as S
 from gridlocus.session import apply_conf
 from gridlocus.streaming import keyed, run
@@ -177,3 +178,21 @@ def test_territories_are_not_broadcast_under_any_bound(spark, another_bound):
         assert "BroadcastHashJoin" not in plan_of(df)
     assert {r.point_id: r.n for r in boxes.groupBy("point_id").agg(F.count("*").alias("n")).collect()}[100] == 4
     assert overlap.count() == 199 + 198  # neighbours at distance 1 and 2 share samples
+
+
+def test_names_are_not_broadcast_under_any_bound(spark, another_bound):
+    sources = spark.range(60).select(F.lit("s1").alias("source"), F.concat(F.lit("name "), F.col("id")).alias("canonical"),
+                                     F.concat(F.lit("Name "), (F.col("id") % 30).cast("string")).alias("alias"))
+    edges = D.name_edges(sources)
+    groups = D.merge_groups(edges)
+    named = D.name_groups(edges, groups, "s1", "s2")
+    brands = spark.createDataFrame([("name 31", "First")], "legal_lower string, brand string")
+    parents = spark.createDataFrame([("name 32", "Parent")], "child string, parent_company string")
+    auto = spark.createDataFrame([("name 3", "name 3 north"), ("other 1", "other 1 plus")], "key string, alias string")
+    whole = D.build_dictionary(sources, brands, parents, auto)
+    another_bound()
+    assert "BroadcastHashJoin" not in plan_of(named)
+    assert "BroadcastHashJoin" not in plan_of(whole)
+    assert named.count() == 30
+    got = {r.canonical.lower(): r for r in whole.collect()}
+    assert got["name 31"].display_name == "First" and got["name 32"].parent_company == "Parent" and "name 1" not in got
