@@ -12,6 +12,7 @@ from gridlocus.operators import dictionary as D
 from gridlocus.operators import spatial as S
 from gridlocus.session import apply_conf
 from gridlocus.streaming import keyed, run
+from gridlocus.streaming import operators as T
 
 
 def test_exploded_cells_are_not_broadcast_by_an_estimate(spark):
@@ -196,3 +197,33 @@ def test_names_are_not_broadcast_under_any_bound(spark, another_bound):
     assert named.count() == 30
     got = {r.canonical.lower(): r for r in whole.collect()}
     assert got["name 31"].display_name == "First" and got["name 32"].parent_company == "Parent" and "name 1" not in got
+
+
+@pytest.mark.parametrize("few", [16_384, 50])
+def test_keys_of_a_group_share_the_calls_to_the_state(monkeypatch, few):
+    monkeypatch.setattr(keyed, "FEW", few)
+    rng, hour = random.Random(3), 3_600_000_000
+    names = [None, *(f"k{i}" for i in range(299))]
+    rows = [Row(micros=rng.randrange(0, 200 * hour, 500), id=i, kind=rng.randrange(2), key=names[i * i % 300]) for i in range(3000)]
+    batches = [([r for r in rows if r.micros // (50 * hour) == b], (50 * b + 44) * 3_600_000) for b in range(4)] + [([], 10**9)]
+    for make in (lambda: keyed.RateLimit(2, 86400), lambda: keyed.RollingCount(3, 86400), lambda: keyed.FailureRun(3, 7200, 5 * 3600)):
+        got, states = decided(make(), batches)
+        want, plain = [], make()
+        for name in names:
+            now = None
+            for r in sorted((r for r in rows if r.key == name), key=lambda r: (r.micros, r.kind, r.id)):
+                if now is not None and plain._over(now) + 1 < keyed.until(r.micros):
+                    now = None
+                now, row = plain.decide(name, now, r.micros, r.id, r.kind)
+                want.append(row)
+        assert sorted(map(str, got)) == sorted(map(str, want)) and not states.kept
+        assert few < len(rows) or states.calls < 200  # not several a key
+
+
+def test_a_stream_groups_keys_of_any_type(spark):
+    apply_conf(spark)
+    rows = [(0, i, i % 40, i) for i in range(400)] + [(1, 400 + i, i % 40, 500 + i) for i in range(40)] + [(2, None, None, 900_000)]
+    df = spark.createDataFrame(rows, "arrival int, event_id long, who long, second long").withColumn("ts", F.timestamp_seconds(F.col("second") + 1_000_000))
+    got = run.drain(T.recent_lookups(run.arrivals(spark, run.write_arrivals(df, F.col("arrival"), 3)), "who"))
+    assert dict(got.dtypes)["who"] == "bigint"
+    assert {r.event_id: (r.who, r.n_before) for r in got.collect()} == {i: (i % 40, min(5, i // 40)) for i in range(440)}
