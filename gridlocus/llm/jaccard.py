@@ -15,9 +15,11 @@ a partner must share that many more prefix shingles before it is worth verifying
   its dear ones): dear shingles need not be read, as r >= 1 cheap ones are always shared.  A
   document without such an l (nearly all its shingles are dear) is open: l = 1 and all are read.
 * Groups: equal sets are one node from the start.  In a few star rounds, each document is verified against one
-  document of the buckets it is in (chosen anew by hash in each round).  The members of a star are then compared with each
-  other by their differences from the star's centre, which are small, so that only those who share a difference meet.  The last
-  round takes the pairs of all buckets whose ends are still in different components and have no star in common.
+  document of the buckets it is in: of those of about its size, the one whose prefix has the fewest rarer shingles before the bucket's,
+  which in a group of copies is the one nearest to what they were copied from.  The members of a star (of all rounds) that are still
+  in different components are then compared with each other by their differences from the star's centre; those that only one
+  member has count against it, so that few members have to meet.  The last round takes the pairs of all buckets whose ends
+  are in different components and have no star in common.
 * Need: with a partner of size m, a document of size n shares at least T = ceil(percent * (n + m) / (100 + percent)), so
   for that pair only the first n - T + l of its prefix count.
 * Verification is exact on the sets of the whole texts.
@@ -29,12 +31,13 @@ null component; an empty table gives an empty table; other columns are ignored."
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -173,7 +176,7 @@ def chosen(repeated: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int, lower: bool, differences: bool = False) -> DataFrame:
     """The pairs (x, y) whose sets really are similar.  With ``differences`` all pairs come back, with ``linked``, the sizes
-    nx and ny, and the members that only one set has, where these are fewer than a quarter of either (else null).  The pair
+    nx and ny, and the members that only one set has, where these are fewer than either has (else null).  The pair
     list is broadcast to the scan of the texts while it is short; a longer one is joined by a shuffle."""
     short = pairs.count() <= BROADCAST_ROWS
     ends = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("doc"))
@@ -201,7 +204,7 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, p
                         only = np.setxor1d(p, q, assume_unique=True) if len(ours) == len(theirs) == 1 else None
                         sizes[0].append(len(p))
                         sizes[1].append(len(q))
-                        apart.append(only.view(np.int64) if only is not None and 4 * len(only) < min(len(p), len(q)) else None)
+                        apart.append(only.view(np.int64) if only is not None and len(only) < min(len(p), len(q)) else None)
                 out = [part.column("x"), part.column("y")]
                 if differences:
                     yield pa.RecordBatch.from_arrays([*out, pa.array(good, pa.bool_()), *(pa.array(n, pa.int64()) for n in sizes), pa.array(apart, pa.list_(pa.int64()))], ["x", "y", "linked", "nx", "ny", "apart"])
@@ -213,42 +216,57 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, p
 
 
 def star_members(stars: DataFrame) -> DataFrame:
-    """(doc, pivot, n, apart): the documents of each star whose difference from the pivot is known, and the pivot."""
+    """(doc, pivot, n, d, apart): the documents of each star whose difference from the pivot is known, d its size, and the pivot."""
     known = stars.where("apart is not null")
-    one = known.select(F.col("doc"), "pivot", F.when(F.col("doc") == F.col("x"), F.col("nx")).otherwise(F.col("ny")).alias("n"), "apart")
+    one = known.select(F.col("doc"), "pivot", F.when(F.col("doc") == F.col("x"), F.col("nx")).otherwise(F.col("ny")).alias("n"), F.size("apart").alias("d"), "apart")
     centre = known.groupBy("pivot").agg(F.first(F.when(F.col("pivot") == F.col("x"), F.col("nx")).otherwise(F.col("ny"))).alias("n"))
-    return one.unionByName(centre.select(F.col("pivot").alias("doc"), "pivot", "n", F.array().cast("array<bigint>").alias("apart")))
+    return one.unionByName(centre.select(F.col("pivot").alias("doc"), "pivot", "n", F.lit(0).alias("d"), F.array().cast("array<bigint>").alias("apart")))
 
 
-def links_within_stars(members: DataFrame, percent: int) -> DataFrame:
-    """(x, y): links that connect every two similar members of a star, found from differences alone.
+def links_without_shared(members: DataFrame, percent: int) -> DataFrame:
+    """(x, y): links that connect every two similar members of a star whose differences from the pivot have nothing in common.
 
-    With d the difference from the pivot, the difference of x and y is |d_x| + |d_y| - 2 |d_x and d_y|, and they are similar
-    if (100 + percent) times it is at most (100 - percent) (n_x + n_y).  Two members that share nothing in their differences
-    and are similar are both similar to the member with the least slack.  Of the others, with |d_x| <= |d_y| and at most D tokens
-    in which x and y may differ, at least |d_x| - D / 2 and |d_y| - D tokens are shared, so that they meet in the first
-    D / 2 + 1 tokens of d_x and D + 1 of d_y in any common order; rare ones come first."""
+    The difference of such two is d_x + d_y, and they are similar if (100 + percent) times it is at most (100 - percent) (n_x + n_y).
+    Then both are similar to the member with the least slack (100 + percent) d - (100 - percent) n."""
     up, down = 100 + percent, 100 - percent
-    with_slack = members.withColumn("slack", up * F.size("apart") - down * F.col("n"))
-    least = stored(with_slack.groupBy("pivot").agg(F.min(F.struct("slack", "doc")).alias("m")), "least")
-    placed = stored(with_slack.join(least, "pivot").withColumn("close", F.col("slack") + F.col("m.slack") <= 0), "placed")
-    near = placed.where("close and doc <> m.doc").select(F.least("doc", "m.doc").alias("x"), F.greatest("doc", "m.doc").alias("y"))
-    rows = placed.select("pivot", "doc", "n", "close", F.size("apart").alias("d"), F.explode("apart").alias("token"))
-    often = stored(rows.groupBy("pivot", "token").agg(F.count("*").alias("m"), F.min("close").alias("all_close")), "often")
+    slack = members.select("pivot", "doc", (up * F.col("d") - down * F.col("n")).alias("slack"))
+    least = slack.groupBy("pivot").agg(F.min(F.struct("slack", "doc")).alias("m"))
+    close = slack.join(least, "pivot").where("slack + m.slack <= 0 and doc <> m.doc")
+    return close.select(F.least("doc", "m.doc").alias("x"), F.greatest("doc", "m.doc").alias("y"))
+
+
+def links_within_stars(members: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the similar pairs of members of a star with different labels, found from differences alone.  Members that are similar
+    without sharing anything in their differences must have one label.
+
+    With d the difference from the pivot, the difference of x and y is |d_x| + |d_y| - 2 |d_x and d_y|, and at most
+    D = (100 - percent) (n_x + n_y) div (100 + percent) if they are similar.  So they share at least S = ceil((|d_x| + |d_y| - D) / 2) tokens
+    of their differences, all of which members of different labels share.  With e_x and e_y such tokens they meet in the first e_x - S + 1
+    and e_y - S + 1 of them in any common order; rare ones come first.  A member with more than (100 - percent) n div percent
+    other tokens in its difference is similar to none."""
+    up, down = 100 + percent, 100 - percent
+    mixed = members.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("pivot")
+    rows = members.join(mixed, "pivot").select("pivot", "doc", "label", "n", "d", F.explode("apart").alias("token"))
+    often = rows.groupBy("pivot", "token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("pivot", "token", "m")
     # each difference in ascending order of how many members share its tokens
-    order = Window.partitionBy("pivot", "doc").orderBy("m", "token")
-    rows = stored(rows.join(often, ["pivot", "token"]).withColumn("at", F.row_number().over(order)).where("m > 1 and not all_close"), "differences")
-    a, b = rows.alias("a"), rows.alias("b")
-    # most tokens that may differ, D, and the members' first D / 2 or D tokens
-    most = f"(({down} * (a.n + b.n)) div {up})"
-    met = a.join(b, F.expr(f"""a.pivot = b.pivot and a.token = b.token and not (a.close and b.close) and (a.d < b.d or a.d = b.d and a.doc < b.doc)
-        and a.at <= {most} div 2 + 1 and b.at <= {most} + 1 and b.d - a.d <= {most}"""))
+    mine = Window.partitionBy("pivot", "doc")
+    shared = rows.join(often, ["pivot", "token"]).withColumn("at", F.row_number().over(mine.orderBy("m", "token"))).withColumn("e", F.count("*").over(mine))
+    shared = stored(shared.where(f"(d - e) * {percent} <= {down} * n").select("pivot", "token", "doc", "label", "n", "d", "e", "at"), "differences")
+    a, b = shared.alias("a"), shared.alias("b")
+    most = f"({down} * (a.n + b.n)) div {up}"
+    least = f"(a.d + b.d - {most} + 1) div 2"
+    met = a.join(b, F.expr(f"""a.pivot = b.pivot and a.token = b.token and a.label <> b.label and a.doc < b.doc and abs(a.n - b.n) <= {most}
+        and a.at <= a.e - {least} + 1 and b.at <= b.e - {least} + 1"""))
     pairs = stored(met.select("a.pivot", F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).distinct(), "candidates")
-    side = lambda c: placed.select("pivot", F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("apart").alias(f"apart_{c}"))
+    side = lambda c: members.select("pivot", F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("apart").alias(f"apart_{c}"))
     both = pairs.join(side("x"), ["pivot", "x"]).join(side("y"), ["pivot", "y"])
     differ = F.size("apart_x") + F.size("apart_y") - 2 * F.size(F.array_intersect("apart_x", "apart_y"))
-    shared = both.where(up * differ <= down * (F.col("nx") + F.col("ny"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    return stored(near.unionByName(shared), "links")
+    return stored(both.where(up * differ <= down * (F.col("nx") + F.col("ny"))).select("x", "y"), "links")
+
+
+def size_class(column: str, percent: int, shift: float) -> Column:
+    """Sizes of one class are similar enough for a link; another shift has other limits between classes."""
+    return F.col(column) if percent >= 100 else F.floor(F.log(column) / math.log(100 / percent) + shift)
 
 
 def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -272,41 +290,46 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wi
     repeated = entries.join(counts, "token").groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "token", "df")).alias("found"))
     buckets = stored(chosen(repeated, percent), "buckets")
 
-    links, stars = None, None
+    labelled = lambda rows, groups: rows.join(groups, rows.doc == groups.node, "left").select(*rows.columns, F.coalesce("label", "doc").alias("label"))
+    links, members, rays = None, None, None
     named = buckets.withColumn("label", F.col("doc"))
-    for turn in range(STAR_ROUNDS + 1):
-        apart = named.groupBy("token").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("any_open"), F.max("dear").alias("is_dear"),
-            F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "label")).alias("p")).where("lo < hi")
-        apart = stored(apart, "apart")
-        if turn < STAR_ROUNDS:  # each document with one document of the bucket that it meets most
-            near = F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent
-            met = named.join(apart.select("token", "p"), "token").where("label <> p.label").where(near).groupBy("doc", F.col("p.doc").alias("pivot")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-            enough = F.col("shared") * 4 >= F.col("n") * (100 - percent) / 100
-            best = met.where(enough).groupBy("doc").agg(F.max(F.struct("shared", "pivot")).alias("b"))
-            rays = stored(best.select("doc", F.col("b.pivot").alias("pivot")), "rays")
-            ends = [F.least("doc", "pivot").alias("x"), F.greatest("doc", "pivot").alias("y")]
-            compared = verified(stored(rays.select(*ends).distinct(), "pairs"), with_id, key, text, width, percent, lower, differences=True)
-            members = stored(star_members(rays.select("doc", "pivot", *ends).join(compared, ["x", "y"])), "members")
-            found = compared.where("linked").select("x", "y").unionByName(links_within_stars(members, percent))
-            # members of one pivot in different rounds were not compared with each other
-            joined = members.select("doc", F.struct(F.lit(turn).alias("turn"), "pivot").alias("star"))
-            stars = joined if stars is None else stars.unionByName(joined)
-        else:  # every pair that is still apart and in no common star
-            left = named.join(apart.where("any_open or not is_dear").select("token"), "token")
-            left = left.join(stored(stars.groupBy("doc").agg(F.collect_set("star").alias("stars")), "stars"), "doc", "left")
-            left = stored(left.withColumn("stars", F.coalesce("stars", F.array().cast("array<struct<turn:int,pivot:bigint>>"))), "left")
-            a, b = left.alias("a"), left.alias("b")
-            both = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
-            met = a.join(b, F.expr(f"""a.token = b.token and a.doc < b.doc and a.label <> b.label and (not a.dear or a.open or b.open)
-                and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} and a.pos < a.n - {both} + a.l and b.pos < b.n - {both} + b.l
-                and not arrays_overlap(a.stars, b.stars)"""))
-            counted = met.groupBy(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).agg(F.count("*").alias("shared"), F.min(F.least("a.r", "b.r")).alias("needed"))
-            pairs = stored(counted.where("shared >= needed").select("x", "y"), "pairs")
-            found = verified(pairs, with_id, key, text, width, percent, lower)
+    for turn in range(STAR_ROUNDS):  # each document with one document of about its size, of the buckets that are not of one component
+        sized = named.withColumn("sized", size_class("n", percent, turn / STAR_ROUNDS))
+        heads = sized.groupBy("token", "sized").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("pos", F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n")).alias("p"))
+        heads = stored(heads.where("lo < hi"), "heads")
+        near = F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent
+        met = sized.join(heads.select("token", "sized", "p"), ["token", "sized"]).where("doc <> p.doc").where(near)
+        met = met.groupBy("doc", F.col("p.doc").alias("pivot")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+        if rays is not None:
+            met = met.join(rays, ["doc", "pivot"], "left_anti")
+        enough = F.col("shared") * 4 >= F.col("n") * (100 - percent) / 100
+        best = met.where(enough).groupBy("doc").agg(F.max(F.struct("shared", "pivot")).alias("b"))
+        rays = stored(best.select("doc", F.col("b.pivot").alias("pivot")), "rays")
+        ends = [F.least("doc", "pivot").alias("x"), F.greatest("doc", "pivot").alias("y")]
+        compared = verified(stored(rays.select(*ends).distinct(), "pairs"), with_id, key, text, width, percent, lower, differences=True)
+        joined = stored(star_members(rays.select("doc", "pivot", *ends).join(compared, ["x", "y"])), "members")
+        # a star that two rounds have in common is one
+        members = joined if members is None else members.unionByName(joined.join(members.select("doc", "pivot"), ["doc", "pivot"], "left_anti"))
+        found = compared.where("linked").select("x", "y").unionByName(links_without_shared(members, percent))
         links = found if links is None else links.unionByName(found)
         groups = stored(components(links), "groups")
-        named = buckets.join(groups, buckets.doc == groups.node, "left").select(*buckets.columns, F.coalesce("label", "doc").alias("label"))
+        named = labelled(buckets, groups)
+
+    links = links.unionByName(links_within_stars(labelled(members, groups), percent))
+    # every pair that is still apart and in no common star
+    apart = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("any_open"), F.max("dear").alias("is_dear")).where("lo < hi")
+    left = named.join(stored(apart.where("any_open or not is_dear").select("token"), "apart"), "token")
+    left = left.join(stored(members.groupBy("doc").agg(F.collect_set("pivot").alias("stars")), "stars"), "doc", "left")
+    left = stored(left.withColumn("stars", F.coalesce("stars", F.array().cast("array<bigint>"))), "left")
+    a, b = left.alias("a"), left.alias("b")
+    both = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
+    met = a.join(b, F.expr(f"""a.token = b.token and a.doc < b.doc and a.label <> b.label and (not a.dear or a.open or b.open)
+        and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} and a.pos < a.n - {both} + a.l and b.pos < b.n - {both} + b.l
+        and not arrays_overlap(a.stars, b.stars)"""))
+    counted = met.groupBy(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).agg(F.count("*").alias("shared"), F.min(F.least("a.r", "b.r")).alias("needed"))
+    pairs = stored(counted.where("shared >= needed").select("x", "y"), "pairs")
+    links = links.unionByName(verified(pairs, with_id, key, text, width, percent, lower))
+    groups = stored(components(links), "groups")
 
     placed = classes.join(groups, classes.rep == groups.node, "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component"))
     rows = sets.select("doc", "n", "s1", "s2")

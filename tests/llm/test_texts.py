@@ -13,6 +13,7 @@ from helpers import edits, groups_by_jaccard, plain_words, removed_words, sha, s
 from pyspark.sql import functions as F
 
 from gridlocus.llm import byte_bpe, decontaminate, jaccard, quality, substring, token_codes, toxicity
+from gridlocus.llm.store import stored
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, n long, label string, n_words string, score string"
@@ -152,6 +153,53 @@ def test_jaccard_when_one_pivot_is_chosen_in_both_star_rounds(spark):
     assert {r.doc_id: r.component_id for r in jaccard.similar_documents(frame(spark, docs), width=1, percent=90).collect()} == want
 
 
+def test_jaccard_compares_few_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text with up to nine words replaced or left out: few of those that are not linked to it are linked at all."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(500):
+        w = list(base)
+        for j in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = rng.choice(["", f"e{i}x{j}"])
+        docs.append((i, " ".join(w)))
+    compared = 0
+
+    def counted(rows, label="table"):
+        nonlocal compared
+        kept = stored(rows, label)
+        compared += kept.count() if label in ("pairs", "candidates") else 0
+        return kept
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    want, _ = groups_by_jaccard(docs, 4, 85)
+    rows = jaccard.similar_documents(frame(spark, docs), width=4, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+    assert compared < 10 * len(docs)
+
+
+@pytest.mark.parametrize("percent", [60, 85, 95])
+def test_links_within_a_star_equal_brute_force(spark, percent):
+    """Members far and near, with tokens that one, two or many of them differ in, and two that share nothing in their differences."""
+    rng = random.Random(percent)
+    centre = set(range(80))
+    sets = {0: centre}
+    for i in range(1, 150):
+        gone = set(rng.sample(range(80), rng.randint(0, 12)))
+        more = {rng.choice([1000 + rng.randint(0, 9), 2000 + 50 * i + j]) for j in range(rng.randint(0, 12))}
+        sets[i] = (centre - gone) | more
+    members = spark.createDataFrame([(i, 0, len(x), len(x ^ centre), sorted(x ^ centre)) for i, x in sets.items()], "doc long, pivot long, n long, d int, apart array<long>")
+    near = [(r.x, r.y) for r in jaccard.links_without_shared(members, percent).collect()]
+    similar = {(x, y) for x, y in itertools.combinations(sets, 2) if 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])}
+    assert set(near) <= similar
+    # one label for those linked so far, one each for the others
+    joined = {d for pair in near for d in pair}
+    label = {d: min(joined) if d in joined else d for d in sets}
+    labels = spark.createDataFrame(list(label.items()), "doc long, label long")
+    found = [(r.x, r.y) for r in jaccard.links_within_stars(members.join(labels, "doc"), percent).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(x, y) for x, y in similar if label[x] != label[y]}
+
+
 def test_one_of_each_group_stays(spark, corpus):
     docs = corpus + [(203, "one"), (None, "one"), (204, None)]
     want, _ = groups_by_jaccard([x for x in corpus if x[0] != 204], 5, 80)
